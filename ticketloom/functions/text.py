@@ -15,7 +15,7 @@ import operator
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 # Redaction patterns and their placeholders, in the order applied.
@@ -162,6 +162,16 @@ def space_tokens(c: Column | str) -> Column:
     return F.filter(F.split(F.lower(_col(c)), " "), lambda t: t != F.lit(""))
 
 
+def each(df: DataFrame, array: Column, name: str, *keep: Column | str) -> DataFrame:
+    """One row per array element, as column ``name`` next to ``keep``.
+
+    ``explode_outer`` plus a null filter: a plain ``explode`` makes the optimizer
+    add a size test that evaluates the whole array expression a second time,
+    below any repartitioning.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def stable_order(c: Column | str, seed: int = 42) -> Column:
     """A pseudo-random sort key that does not depend on partitioning."""
     return F.md5(F.concat(F.lit(f"{seed}:"), _col(c).cast("string")))

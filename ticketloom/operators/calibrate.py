@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ticketloom.config import CostSettings
 from ticketloom.functions.probability import log_loss, threshold_argmax
+from ticketloom.session import attach
 
 
 # ---------------------------------------------------------- temperature
@@ -35,14 +36,14 @@ def coarse_grid() -> Column:
 def temperature_fit(df: DataFrame, logits: str, label: str) -> DataFrame:
     """One row ``(temperature, nll)``: best temperature in [0.05, 5] to within 0.001."""
     coarse = temperature_curve(df, logits, label, coarse_grid())
-    centre = coarse.agg(F.min_by("t", F.struct(F.round("nll", 12), "t"))).scalar()
+    centre = coarse.agg(F.min_by("t", F.struct(F.round("nll", 12), "t")).alias("centre"))
     fine = F.array_distinct(
         F.transform(
             F.sequence(F.lit(-50), F.lit(50)),
-            lambda i: F.round(F.greatest(F.lit(0.05), F.least(F.lit(5.0), centre + i * 0.001)), 3),
+            lambda i: F.round(F.greatest(F.lit(0.05), F.least(F.lit(5.0), F.col("centre") + i * 0.001)), 3),
         )
     )
-    refined = temperature_curve(df, logits, label, fine)
+    refined = temperature_curve(attach(df, centre), logits, label, fine)
     best = F.struct(F.round("nll", 12), "t")
     return refined.agg(F.min_by("t", best).alias("temperature"), F.min("nll").alias("nll"))
 

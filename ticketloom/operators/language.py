@@ -8,7 +8,7 @@ from ticketloom.functions import text as X
 
 
 def token_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(id_col, F.explode(X.words(text_col)).alias("token"))
+    return X.each(df, X.words(text_col), "token", id_col)
 
 
 def learn_profile(labelled: DataFrame, lang: str, text: str, per_lang: int = 200) -> DataFrame:
@@ -17,7 +17,7 @@ def learn_profile(labelled: DataFrame, lang: str, text: str, per_lang: int = 200
     Counts combine map-side; the result holds ``per_lang`` rows per language.
     """
     counts = (
-        labelled.select(F.col(lang).alias("lang"), F.explode(X.words(text)).alias("token"))
+        X.each(labelled, X.words(text), "token", F.col(lang).alias("lang"))
         .groupBy("lang", "token")
         .agg(F.count("*").alias("n"))
     )

@@ -5,10 +5,11 @@ collections (brands) apart in one job.  Exact copies are folded into one
 representative before anything is scored and unfolded after ranking, so a
 large group of copies costs one scored row.
 
-``sparse_topk`` never forms every (query, document) pair that shares a term.
-It bounds what the common terms of a query can still add, expands only the
-terms that could lift a document into the top k, and looks the remaining terms
-up for the surviving candidates.  The result is exact.
+``sparse_topk`` knows from the term statistics how many rows a plain join of
+query terms and postings would give, and takes that join only up to a fixed
+budget.  Beyond it, it bounds what the common terms of a query can still add,
+expands only the terms that could lift a document into the top k, and looks the
+remaining terms up for the surviving candidates.  Both ways are exact.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ticketloom.config import STOP_WORDS
 from ticketloom.functions import text as X
+from ticketloom.session import materialize
 
 _SLACK = 1e-9  # floating-point sums may differ by this much between plans
+_DIRECT_ROWS = 50_000_000  # largest query-term/posting join taken without pruning
 _TIE = 9  # scores equal to this many decimals are ties, resolved by id
 
 
@@ -43,11 +46,14 @@ class TfIdf:
 
 
 @dataclass(frozen=True)
-class Collection:
-    """Distinct texts plus the few members of each that a top-k can need."""
+class TextIndex:
+    """Distinct texts of a collection, and the members of each that a top k can need.
+
+    Both are written tables, read many times by the searches below.
+    """
 
     reps: DataFrame  # grp, doc, n_copies, text
-    members: DataFrame | None  # grp, doc, member
+    members: DataFrame  # grp, doc, member
 
 
 def as_collection(
@@ -62,30 +68,47 @@ def as_collection(
     )
 
 
-def fold_copies(docs: DataFrame, k: int) -> Collection:
-    """Group exact copies; keep the k lowest ids of each group for unfolding."""
-    reps = docs.groupBy("grp", "text").agg(
+def fold_copies(docs: DataFrame) -> DataFrame:
+    """``(grp, doc, n_copies, text)``: one row per distinct text, named by its lowest id."""
+    return docs.groupBy("grp", "text").agg(
         F.min("doc").alias("doc"), F.count("*").alias("n_copies")
     )
-    keyed = docs.select("grp", "doc", F.sha2("text", 256).alias("digest"))
-    w = W.partitionBy("grp", "digest").orderBy("doc")
+
+
+def lowest_members(docs: DataFrame, k: int) -> DataFrame:
+    """``(grp, doc, member)``: the k lowest ids of each distinct text.
+
+    The rank filter runs before the shuffle too, so of a large group of copies
+    each task sends k rows.
+    """
+    keyed = docs.select("grp", F.col("doc").alias("member"), F.sha2("text", 256).alias("digest"))
+    w = W.partitionBy("grp", "digest").orderBy("member")
     lowest = keyed.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= k)
-    members = lowest.select(
-        "grp", F.first("doc").over(w).alias("rep"), F.col("doc").alias("member")
+    return lowest.select("grp", F.first("member").over(w).alias("doc"), "member")
+
+
+def build_index(corpus: DataFrame, k: int) -> TextIndex:
+    """Index a ``(grp, doc, text)`` collection for searches of up to k results."""
+    docs = materialize(corpus, "texts")
+    return TextIndex(
+        materialize(fold_copies(docs), "reps"), materialize(lowest_members(docs, k), "members")
     )
-    return Collection(reps, members.withColumnRenamed("rep", "doc"))
 
 
 # ---------------------------------------------------------------- BM25
 
 
 def bm25_counts(reps: DataFrame) -> DataFrame:
-    """``(grp, doc, n_copies, dl, term, tf)`` with whitespace tokens."""
-    tokens = reps.select("grp", "doc", "n_copies", X.space_tokens("text").alias("tokens"))
+    """``(grp, doc, n_copies, dl, term, tf)`` with whitespace tokens.
+
+    Texts are spread by document before they are cut into tokens, so the counts
+    need no second, much larger shuffle of tokens.
+    """
+    tokens = reps.repartition("doc").select(
+        "grp", "doc", "n_copies", X.space_tokens("text").alias("tokens")
+    )
     return (
-        tokens.select(
-            "grp", "doc", "n_copies", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")
-        )
+        X.each(tokens, F.col("tokens"), "term", "grp", "doc", "n_copies", F.size("tokens").alias("dl"))
         .groupBy("grp", "doc", "n_copies", "dl", "term")
         .agg(F.count("*").alias("tf"))
     )
@@ -103,35 +126,40 @@ def bm25_collection_stats(reps: DataFrame) -> DataFrame:
     )
 
 
-def bm25_postings(reps: DataFrame, params: Bm25 = Bm25()) -> DataFrame:
-    """``(grp, term, doc, n_copies, tf, w)``: the part of the score that ignores idf."""
-    stats = bm25_collection_stats(reps).select("grp", "avgdl")
+def bm25_postings(reps: DataFrame, sizes: DataFrame, params: Bm25 = Bm25()) -> DataFrame:
+    """``(grp, term, doc, n_copies, tf, w)``: the part of the score that ignores idf.
+
+    ``sizes`` has one row per collection (brand), so it is broadcast.
+    """
     length_norm = 1 - params.b + params.b * F.col("dl") / F.col("avgdl")
     weight = F.col("tf") * (params.k1 + 1) / (F.col("tf") + params.k1 * length_norm)
-    return bm25_counts(reps).join(stats, "grp").select(
+    return bm25_counts(reps).join(F.broadcast(sizes.select("grp", "avgdl")), "grp").select(
         "grp", "term", "doc", "n_copies", "tf", weight.alias("w")
     )
 
 
-def bm25_term_stats(
-    postings: DataFrame, reps: DataFrame, params: Bm25 = Bm25()
-) -> DataFrame:
+def bm25_term_stats(postings: DataFrame, sizes: DataFrame, params: Bm25 = Bm25()) -> DataFrame:
     """``(grp, term, n_posts, df, total_tf, max_w, idf)`` with the idf floor applied."""
-    per_term = postings.groupBy("grp", "term").agg(
-        F.count("*").alias("n_posts"),
-        F.sum("n_copies").alias("df"),
-        F.sum(F.col("tf") * F.col("n_copies")).alias("total_tf"),
-        F.max("w").alias("max_w"),
-    )
-    sizes = bm25_collection_stats(reps).select("grp", "n_docs")
-    raw = per_term.join(sizes, "grp").withColumn(
-        "raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    raw = materialize(
+        postings.groupBy("grp", "term")
+        .agg(
+            F.count("*").alias("n_posts"),
+            F.sum("n_copies").alias("df"),
+            F.sum(F.col("tf") * F.col("n_copies")).alias("total_tf"),
+            F.max("w").alias("max_w"),
+        )
+        .join(F.broadcast(sizes.select("grp", "n_docs")), "grp")
+        .withColumn(
+            "raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+        ),
+        "term-stats",
     )
+    # one row per collection
     mean = raw.groupBy("grp").agg(F.avg("raw_idf").alias("mean_idf"))
     idf = F.when(F.col("raw_idf") < 0, params.epsilon * F.col("mean_idf")).otherwise(
         F.col("raw_idf")
     )
-    return raw.join(mean, "grp").select(
+    return raw.join(F.broadcast(mean), "grp").select(
         "grp", "term", "n_posts", "df", "total_tf", "max_w", idf.alias("idf")
     )
 
@@ -139,19 +167,19 @@ def bm25_term_stats(
 def query_term_counts(queries: DataFrame) -> DataFrame:
     """``(grp, q, term, qtf)``; a repeated query token counts again."""
     return (
-        queries.select("grp", F.col("doc").alias("q"), F.explode(X.space_tokens("text")).alias("term"))
+        X.each(queries, X.space_tokens("text"), "term", "grp", F.col("doc").alias("q"))
         .groupBy("grp", "q", "term")
         .agg(F.count("*").alias("qtf"))
     )
 
 
-def bm25_topk(
-    queries: DataFrame, corpus: DataFrame, k: int = 15, params: Bm25 = Bm25()
+def bm25_search(
+    queries: DataFrame, index: TextIndex, k: int = 15, params: Bm25 = Bm25()
 ) -> DataFrame:
     """Best k documents per query with a positive score: ``(grp, q, doc, score, rank)``."""
-    folded = fold_copies(corpus, k)
-    postings = bm25_postings(folded.reps, params)
-    terms = bm25_term_stats(postings, folded.reps, params)
+    sizes = materialize(bm25_collection_stats(index.reps), "sizes")
+    postings = materialize(bm25_postings(index.reps, sizes, params), "postings")
+    terms = bm25_term_stats(postings, sizes, params)
     weighted = (
         query_term_counts(queries)
         .join(terms, ["grp", "term"])
@@ -160,42 +188,41 @@ def bm25_topk(
         )
     )
     best = sparse_topk(weighted, postings.select("grp", "term", "doc", "w"), k)
-    return unfold_copies(best, folded.members, k).filter(F.col("score") > 0)
+    return unfold_copies(best, index.members, k).filter(F.col("score") > 0)
 
 
-# -------------------------------------------------------------- tf-idf
+def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 15, params: Bm25 = Bm25()) -> DataFrame:
+    return bm25_search(queries, build_index(corpus, k), k, params)
 
 
-def tfidf_terms(text, params: TfIdf):
-    """Array of the terms of a text: words without stop words, then n-grams."""
-    stop = [w for w in params.stop_words]
-    unigrams = F.filter(X.words(text), lambda t: ~t.isin(stop)) if stop else X.words(text)
-    return unigrams
+# -------------------------------------------------------------- tf-idf
 
 
-def _with_ngrams(df: DataFrame, params: TfIdf) -> DataFrame:
+def with_terms(df: DataFrame, params: TfIdf) -> DataFrame:
     """Add ``terms``; n-grams are formed after the stop words are gone."""
-    out = df.withColumn("terms", tfidf_terms("text", params))
+    stop = list(params.stop_words)
+    found = X.words("text")
+    out = df.withColumn("terms", F.filter(found, lambda t: ~t.isin(stop)) if stop else found)
     if params.ngrams >= 2:
+        # zip the term list with shifted copies of itself
         grams = [F.col("terms")]
         for n in range(2, params.ngrams + 1):
-            starts = F.when(
-                F.size("terms") >= n, F.sequence(F.lit(0), F.size("terms") - n)
-            ).otherwise(F.array().cast("array<int>"))
-            grams.append(
-                F.transform(
-                    starts,
-                    lambda i, n=n: F.array_join(F.slice("terms", i + 1, F.lit(n)), " "),
+            gram = F.col("terms")
+            for shift in range(1, n):
+                gram = F.zip_with(
+                    gram,
+                    F.slice("terms", shift + 1, F.greatest(F.size("terms"), F.lit(1))),
+                    lambda a, b: F.concat(a, F.lit(" "), b),
                 )
-            )
+            grams.append(F.filter(gram, lambda g: g.isNotNull()))
         out = out.withColumn("terms", F.concat(*grams))
     return out
 
 
 def tfidf_vocabulary(reps: DataFrame, params: TfIdf = TfIdf()) -> DataFrame:
     """``(term, df, total_tf, idf)``: at most ``max_features`` rows."""
-    exploded = _with_ngrams(reps, params).select(
-        "doc", "n_copies", F.explode("terms").alias("term")
+    exploded = X.each(
+        with_terms(reps.repartition("doc"), params), F.col("terms"), "term", "doc", "n_copies"
     )
     counts = exploded.groupBy("doc", "n_copies", "term").agg(F.count("*").alias("tf"))
     n_docs = reps.agg(F.sum("n_copies").alias("n")).scalar()
@@ -220,34 +247,28 @@ def tfidf_vectors(
     The vocabulary is broadcast: its size is bounded by ``max_features``.
     """
     hits = (
-        _with_ngrams(texts, params)
-        .select("grp", "doc", F.explode("terms").alias("term"))
+        X.each(with_terms(texts.repartition("doc"), params), F.col("terms"), "term", "grp", "doc")
         .join(F.broadcast(vocabulary.select("term", "idf")), "term")
     )
     raw = hits.groupBy("grp", "doc", "term").agg(
         (F.count("*") * F.first("idf")).alias("raw")
     )
+    # still spread by document: neither the count nor the norm shuffles again
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("grp", "doc")))
     return raw.select("grp", "doc", "term", (F.col("raw") / norm).alias("w"))
 
 
-def cosine_topk(
-    queries: DataFrame, corpus: DataFrame, k: int = 15, params: TfIdf = TfIdf()
-) -> DataFrame:
-    """Nearest k documents per query by tf-idf cosine: ``(grp, q, doc, score, rank)``."""
-    folded = fold_copies(corpus, k)
-    vocabulary = tfidf_vocabulary(folded.reps, params)
-    return cosine_topk_with(queries, folded, vocabulary, k, params)
-
-
-def cosine_topk_with(
+def cosine_search(
     queries: DataFrame,
-    folded: Collection,
-    vocabulary: DataFrame,
-    k: int,
+    index: TextIndex,
+    k: int = 15,
     params: TfIdf = TfIdf(),
+    vocabulary: DataFrame | None = None,
 ) -> DataFrame:
-    postings = tfidf_vectors(folded.reps, vocabulary, params)
+    """Nearest k documents per query by tf-idf cosine: ``(grp, q, doc, score, rank)``."""
+    if vocabulary is None:
+        vocabulary = materialize(tfidf_vocabulary(index.reps, params), "vocabulary")
+    postings = materialize(tfidf_vectors(index.reps, vocabulary, params), "vectors")
     bounds = postings.groupBy("grp", "term").agg(
         F.count("*").alias("n_posts"), F.max("w").alias("max_w")
     )
@@ -256,57 +277,80 @@ def cosine_topk_with(
         .select("grp", F.col("doc").alias("q"), "term", F.col("w").alias("qw"))
         .join(bounds, ["grp", "term"])
     )
-    best = sparse_topk(weighted, postings, k)
-    return unfold_copies(best, folded.members, k)
+    return unfold_copies(sparse_topk(weighted, postings, k), index.members, k)
+
+
+def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 15, params: TfIdf = TfIdf()) -> DataFrame:
+    return cosine_search(queries, build_index(corpus, k), k, params)
 
 
 # --------------------------------------------------------- exact top-k
 
 
-def sparse_topk(weighted: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+def sparse_topk(
+    weighted: DataFrame, postings: DataFrame, k: int, direct_rows: int = _DIRECT_ROWS
+) -> DataFrame:
     """Exact top k of ``sum(qw * w)`` over shared terms.
 
     ``weighted``: ``(grp, q, term, qw, n_posts, max_w)``; ``postings``:
-    ``(grp, term, doc, w)`` with ``w >= 0``.  Skewed terms are left to the
-    adaptive skew join: the join is always followed by a shuffle on other keys.
+    ``(grp, term, doc, w)`` with ``w >= 0``.  The per-query plan and the
+    candidates are written down between the steps: each is read more than once,
+    and their true sizes decide whether the next join broadcasts.  Skewed terms
+    are left to the adaptive skew join: the join is always followed by a shuffle
+    on other keys.
     """
     high = F.greatest(F.col("qw") * F.col("max_w"), F.lit(0.0))
-    low = F.least(F.col("qw") * F.col("max_w"), F.lit(0.0))
-    terms = weighted.select("grp", "q", "term", "qw", "n_posts", high.alias("hi"), low.alias("lo"))
+    terms = materialize(
+        weighted.select("grp", "q", "term", "qw", "n_posts", high.alias("hi")), "terms"
+    )
+    size = terms.agg(F.sum("n_posts").alias("n")).first()["n"] or 0
+    if size <= direct_rows:
+        scored = (
+            terms.join(postings, ["grp", "term"])
+            .groupBy("grp", "q", "doc")
+            .agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
+        )
+        return rank_topk(scored, k)
+    asked = postings.join(terms.select("grp", "term").distinct(), ["grp", "term"], "left_semi")
 
-    # A floor for the k-th best score, from the k heaviest postings of each term.
+    # A floor for the k-th best score: documents among the k heaviest postings of
+    # some term are promising; the best of them are scored in full.
     by_weight = W.partitionBy("grp", "term").orderBy(F.desc("w"), "doc")
-    heaviest = postings.withColumn("i", F.row_number().over(by_weight)).filter(
-        F.col("i") <= k
-    )
-    partial = (
+    heaviest = asked.withColumn("i", F.row_number().over(by_weight)).filter(F.col("i") <= k)
+    by_part = W.partitionBy("grp", "q").orderBy(F.desc("part"), "doc")
+    promising = (
         terms.join(heaviest, ["grp", "term"])
         .groupBy("grp", "q", "doc")
-        .agg(F.sum(F.greatest(F.col("qw") * F.col("w"), F.lit(0.0))).alias("part"))
+        .agg(F.sum(F.col("qw") * F.col("w")).alias("part"))
+        .withColumn("i", F.row_number().over(by_part))
+        .filter(F.col("i") <= 4 * k)
+        .select("grp", "q", "doc")
+    )
+    probed = (
+        promising.join(terms.select("grp", "q", "term", "qw"), ["grp", "q"])
+        .join(asked, ["grp", "doc", "term"])
+        .groupBy("grp", "q", "doc")
+        .agg(F.sum(F.col("qw") * F.col("w")).alias("part"))
     )
-    by_part = W.partitionBy("grp", "q").orderBy(F.desc("part"), "doc")
     floors = (
-        partial.withColumn("i", F.row_number().over(by_part))
-        .filter(F.col("i") <= k)
-        .groupBy("grp", "q")
-        .agg(F.count("*").alias("n"), F.min("part").alias("kth"))
-        .filter(F.col("n") == k)
-        .select("grp", "q", "kth")
+        probed.withColumn("i", F.row_number().over(by_part))
+        .filter(F.col("i") == k)
+        .select("grp", "q", (F.col("part") - _SLACK).alias("floor"))
     )
 
     # Drop the most common terms while all of them together stay below the floor.
     of_query = W.partitionBy("grp", "q")
     commonest = of_query.orderBy(F.desc("n_posts"), "term")
-    planned = (
+    planned = materialize(
         terms.join(floors, ["grp", "q"], "left")
-        .withColumn("floor", F.col("kth") + F.sum("lo").over(of_query) - _SLACK)
         .withColumn(
             "dropped",
             F.coalesce(F.sum("hi").over(commonest) < F.col("floor"), F.lit(False)),
         )
-        .withColumn("rest", F.sum(F.when(F.col("dropped"), F.col("hi")).otherwise(0.0)).over(of_query))
+        .withColumn("rest", F.sum(F.when(F.col("dropped"), F.col("hi")).otherwise(0.0)).over(of_query)),
+        "planned",
     )
-    expanded = (
+    expanded = materialize(
         planned.filter(~F.col("dropped"))
         .select("grp", "q", "term", "qw", "floor", "rest")
         .join(postings, ["grp", "term"])
@@ -317,7 +361,8 @@ def sparse_topk(weighted: DataFrame, postings: DataFrame, k: int) -> DataFrame:
             F.first("rest").alias("rest"),
         )
         .filter(F.col("floor").isNull() | (F.col("part") + F.col("rest") >= F.col("floor")))
-        .select("grp", "q", "doc", "part")
+        .select("grp", "q", "doc", "part"),
+        "candidates",
     )
     remaining = (
         expanded.select("grp", "q", "doc")
@@ -339,10 +384,8 @@ def rank_topk(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def unfold_copies(best: DataFrame, members: DataFrame | None, k: int) -> DataFrame:
+def unfold_copies(best: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """Replace each representative by its copies and rank again."""
-    if members is None:
-        return best
     full = (
         best.drop("rank")
         .join(members, ["grp", "doc"])

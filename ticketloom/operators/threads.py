@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ticketloom.functions import text as X
 from ticketloom.operators.running import previous_row, running_count
 from ticketloom.operators.skew import salted_lookup
-from ticketloom.session import scratch_path
+from ticketloom.session import materialize
 
 
 def parse_inbound(c: str | Column) -> Column:
@@ -191,7 +191,6 @@ def thread_multi_hop(
     folder, which also cuts the lineage.  Messages on a reply cycle reach no root
     and are left out.
     """
-    spark = tweets.sparkSession
     ids = tweets.select("tweet_id", F.col("in_response_to_tweet_id").alias("ptr"))
     known = tweets.select(F.col("tweet_id").alias("ptr"), F.lit(True).alias("known"))
     replies = ids.filter(F.col("ptr").isNotNull())
@@ -199,14 +198,14 @@ def thread_multi_hop(
         "tweet_id", F.when(F.col("known"), F.col("ptr")).alias("ptr")
     )
     start = linked.unionByName(ids.filter(F.col("ptr").isNull()))
-    state = _write(
+    state = materialize(
         start.select(
             "tweet_id",
             F.coalesce("ptr", "tweet_id").alias("ptr"),
             F.when(F.col("ptr").isNull(), 0).otherwise(1).alias("dist"),
             F.col("ptr").isNull().alias("done"),
         ),
-        scratch_path(spark, "hops"),
+        "hops",
     )
     reach = 1
     while reach < 2 * max_depth and not state.filter(~F.col("done")).isEmpty():
@@ -224,18 +223,13 @@ def thread_multi_hop(
             (F.col("dist") + F.col("next_dist")).alias("dist"),
             F.col("next_done").alias("done"),
         )
-        state = _write(state.filter("done").unionByName(moved), scratch_path(spark, "hops"))
+        state = materialize(state.filter("done").unionByName(moved), "hops")
         reach *= 2
     return state.filter("done").select(
         "tweet_id", F.col("ptr").alias("root_id"), F.col("dist").cast("long").alias("depth")
     )
 
 
-def _write(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def turn_counter(
     tweets: DataFrame, key: str = "author_id", max_turns: int = 3
 ) -> DataFrame:

@@ -12,7 +12,7 @@ from ticketloom.operators import (
 )
 from ticketloom.operators.running import gap_sessions
 from ticketloom.plans import scoring
-from ticketloom.session import scratch_path
+from ticketloom.session import attach, materialize, scratch_path
 from ticketloom.sources import files
 from ticketloom.sources.tables import BASE_TEMPERATURE, BRANDS as SAMPLE_BRANDS, RISK_WORDS, TAXONOMY, Tables
 from ticketloom.streaming import jobs
@@ -47,8 +47,13 @@ def threads_of(t: Tables) -> DataFrame:
     return threads.thread_reconstruct(t.tweets, SAMPLE_BRANDS)
 
 
+def stored_threads(t: Tables) -> DataFrame:
+    """The thread table as an ingest job leaves it for the later stages."""
+    return materialize(threads_of(t), "threads")
+
+
 def corpus_of(t: Tables) -> DataFrame:
-    return threads.corpus_of(threads_of(t))
+    return threads.corpus_of(stored_threads(t))
 
 
 def doc_collection(t: Tables) -> DataFrame:
@@ -172,8 +177,9 @@ def load_params(t):
 def sink_index(t):
     path = scratch_path(t.spark, "index")
     corpus = corpus_of(t)
-    reps = lexical.fold_copies(lexical.as_collection(corpus, "passage_id", "customer_query", "brand"), 15).reps
-    files.sink_index(t.spark, path, corpus, t.vectors, lexical.bm25_postings(reps))
+    reps = lexical.fold_copies(lexical.as_collection(corpus, "passage_id", "customer_query", "brand"))
+    sizes = lexical.bm25_collection_stats(reps)
+    files.sink_index(t.spark, path, corpus, t.vectors, lexical.bm25_postings(reps, sizes))
     index = files.load_index(t.spark, path)
     parts = [
         index[name].agg(F.count("*").alias("n_rows")).withColumn("part", F.lit(name))
@@ -466,9 +472,15 @@ def dense_topk(t):
 
 
 def _fused(t: Tables) -> DataFrame:
-    return hybrid.rrf_fuse(
-        lexical.cosine_topk(item_collection(t), doc_collection(t), 15),
-        lexical.bm25_topk(item_collection(t), doc_collection(t), 15),
+    return hybrid.rrf_fuse(*_pools(t))
+
+
+def _pools(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Dense and lexical candidates of every benchmark item among all documents."""
+    index = lexical.build_index(doc_collection(t), 15)
+    return (
+        lexical.cosine_search(item_collection(t), index, 15),
+        lexical.bm25_search(item_collection(t), index, 15),
     )
 
 
@@ -534,10 +546,10 @@ def ingest_stats(t):
 
 @query
 def bm25_corpus_stats(t):
-    reps = lexical.fold_copies(doc_collection(t), 15).reps
-    stats = lexical.bm25_term_stats(lexical.bm25_postings(reps), reps)
-    sizes = lexical.bm25_collection_stats(reps)
-    return stats.join(sizes, "grp").select(
+    reps = materialize(lexical.fold_copies(doc_collection(t)), "reps")
+    sizes = materialize(lexical.bm25_collection_stats(reps), "sizes")
+    stats = lexical.bm25_term_stats(lexical.bm25_postings(reps, sizes), sizes)
+    return stats.join(F.broadcast(sizes), "grp").select(
         "term", "df", "total_tf", r6("idf").alias("idf"), "n_docs", r6("avgdl").alias("avgdl")
     )
 
@@ -617,8 +629,8 @@ def conformal_quantile(t):
 
 
 def _gated(t: Tables) -> DataFrame:
-    q_hat = calibrate.conformal_quantile(t.predictions, "p_true", 0.10).select("q_hat").scalar()
-    return policy.conformal_gate(t.probs, "p", q_hat)
+    q_hat = calibrate.conformal_quantile(t.predictions, "p_true", 0.10).select("q_hat")
+    return policy.conformal_gate(attach(t.probs, q_hat), "p", F.col("q_hat"))
 
 
 @query
@@ -806,10 +818,7 @@ def topk_lexical(t):
 
 @query
 def candidate_union(t):
-    return hybrid.candidate_union(
-        lexical.cosine_topk(item_collection(t), doc_collection(t), 15),
-        lexical.bm25_topk(item_collection(t), doc_collection(t), 15),
-    )
+    return hybrid.candidate_union(*_pools(t))
 
 
 @query
@@ -863,28 +872,26 @@ def cache_admission(t):
     return hybrid.cache_admission(answers, "ticket_id", CACHE).select("ticket_id", "predicted_intent")
 
 
-def _rankings(t: Tables) -> DataFrame:
-    return scoring.nest_contexts(scoring.retrieve_contexts(_tickets_of(t), corpus_of(t)))
-
-
-def _tickets_of(t: Tables) -> DataFrame:
-    return threads_of(t).select(
+def tickets_of(threaded: DataFrame) -> DataFrame:
+    return threaded.select(
         F.col("thread_id").alias("ticket_id"), "brand", F.col("customer_query").alias("query"), F.lit(1).alias("turn_count")
     )
 
 
 @query
 def top_similarity_default(t):
-    tickets = _tickets_of(t).select("ticket_id")
-    return tickets.join(_rankings(t), "ticket_id", "left").select(
+    threaded = stored_threads(t)
+    tickets = tickets_of(threaded)
+    contexts = scoring.nest_contexts(scoring.retrieve_contexts(tickets, threads.corpus_of(threaded)))
+    return tickets.select("ticket_id").join(contexts, "ticket_id", "left").select(
         "ticket_id", r6(policy.top_similarity("first_similarity")).alias("rag_similarity")
     )
 
 
 def scored(t: Tables) -> DataFrame:
-    tickets = _tickets_of(t)
+    threaded = stored_threads(t)
     cache = (
-        threads_of(t)
+        threaded
         .withColumn("intent", classify(X.normalize_text("customer_query")))
         .filter(F.col("intent") == "topic_thing")
         .select(
@@ -893,7 +900,7 @@ def scored(t: Tables) -> DataFrame:
         )
     )
     return scoring.score_tickets(
-        tickets, corpus_of(t), t.intents, t.lexicon, classify, "topic_other", cache, RISK_WORDS
+        tickets_of(threaded), threads.corpus_of(threaded), t.intents, t.lexicon, classify, "topic_other", cache, RISK_WORDS
     )
 
 
@@ -913,14 +920,15 @@ def baseline_trivial(t):
 
 @query
 def baseline_simple(t):
+    threaded = stored_threads(t)
     labelled = (
-        threads_of(t)
+        threaded
         .withColumn("label", classify(F.col("customer_query")))
         .select(F.col("thread_id").alias("ticket_id"), F.lit("all").alias("brand"), F.col("customer_query").alias("query"), "label")
     )
     split = sampling.stratified_split(labelled, "label", "ticket_id")
     predicted = scoring.text_logreg(split.filter(F.col("split") == "train"), labelled, "query", "label")
-    corpus = corpus_of(t).withColumn("brand", F.lit("all"))
+    corpus = threads.corpus_of(threaded).withColumn("brand", F.lit("all"))
     replies = scoring.draft_from_top1(labelled, corpus)
     scored_ = language.with_sentiment(predicted.join(replies, "ticket_id"), "ticket_id", "query", t.lexicon)
     return scoring.baseline_escalation(scored_, "query", RISK_WORDS).select(

@@ -58,8 +58,9 @@ def retrieve(
     """
     queries = lexical.as_collection(tickets, "ticket_id", "query", "brand")
     passages = lexical.as_collection(corpus, "passage_id", "customer_query", "brand")
-    dense = lexical.cosine_topk(queries, passages, settings.candidate_pool, params)
-    sparse = lexical.bm25_topk(queries, passages, settings.candidate_pool)
+    index = lexical.build_index(passages, settings.candidate_pool)
+    dense = lexical.cosine_search(queries, index, settings.candidate_pool, params)
+    sparse = lexical.bm25_search(queries, index, settings.candidate_pool)
     return rrf_fuse(dense, sparse, settings)
 
 
@@ -276,7 +277,7 @@ def text_logreg(train: DataFrame, apply_to: DataFrame, text: str, label: str) ->
     params = lexical.TfIdf(max_features=5000, ngrams=2)
 
     def terms(df: DataFrame) -> DataFrame:
-        return lexical._with_ngrams(df.withColumn("text", F.lower(X.normalize_text(text))), params).drop("text")
+        return lexical.with_terms(df.withColumn("text", F.lower(X.normalize_text(text))), params).drop("text")
 
     fit_rows = terms(train).persist()
     try:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: int | str = 8, app: str = "ticketloom") -> SparkSession:
@@ -45,3 +45,21 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several later steps read, and read it back.
+
+    The copy lies in the shared folder, so it cuts the lineage and outlives a
+    lost executor, and its real size guides the joins that follow.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row DataFrame to every row (a broadcast of one row)."""
+    key = "_one"
+    right = F.broadcast(one_row.limit(1).withColumn(key, F.lit(1)))
+    return df.withColumn(key, F.lit(1)).join(right, key).drop(key)

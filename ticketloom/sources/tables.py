@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ticketloom.config import Intent
 from ticketloom.functions.probability import argmax, softmax
+from ticketloom.session import attach, materialize
 from ticketloom.sources.files import spread
 
 # A taxonomy, risk words and a sentiment lexicon whose words occur
@@ -130,6 +131,7 @@ class Tables:
     def probs(self) -> DataFrame:
         """``(vec_id, y, z, p)``: nearest-centroid logits and softmax as arrays per row.
 
+        Written once, as a classifier's output table would be.
         Only the per-class centroids (classes x dimensions numbers) are shared
         with the rows; the rows themselves are not shuffled.
         """
@@ -143,16 +145,17 @@ class Tables:
         )
         all_classes = centroid.agg(
             F.transform(F.array_sort(F.collect_list(F.struct("label", "c"))), lambda s: s["c"]).alias("m")
-        ).scalar()
+        )  # one row: classes x dimensions numbers
 
         def dot(a, b):
             products = F.zip_with(a, b, lambda x, y: x.cast("double") * y)
             return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
 
-        logits = F.transform(all_classes, lambda c: dot(F.col("embedding"), c))
-        return self.embeddings.select(
+        logits = F.transform("m", lambda c: dot(F.col("embedding"), c))
+        scored = attach(self.embeddings, all_classes).select(
             "vec_id", F.col("label").cast("bigint").alias("y"), logits.alias("z")
-        ).withColumn("p", softmax("z", BASE_TEMPERATURE))
+        )
+        return materialize(scored.withColumn("p", softmax("z", BASE_TEMPERATURE)), "probs")
 
     @cached_property
     def predictions(self) -> DataFrame:
