@@ -972,7 +972,7 @@ def setfit_pairs(t):
 
 
 def _stream(t: Tables, name: str) -> DataFrame:
-    return jobs.file_stream(t.spark, f"{t.path}/{name}.parquet", t.read(name).schema)
+    return jobs.file_stream(t.spark, t.path, t.read(name).schema, names=f"{name}.parquet")
 
 
 def _event_stream(t: Tables) -> DataFrame:

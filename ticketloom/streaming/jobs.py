@@ -19,11 +19,11 @@ from ticketloom.operators.hybrid import cache_admission, cache_lookup
 from ticketloom.sources.files import table_exists
 
 
-def file_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
-                files_per_batch: int = 1) -> DataFrame:
-    return (
-        spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_batch).load(path)
-    )
+def file_stream(spark: SparkSession, folder: str, schema: StructType, fmt: str = "parquet",
+                files_per_batch: int = 1, names: str = "*") -> DataFrame:
+    """Files of a folder, in order of arrival; ``names`` is a file name pattern."""
+    reader = spark.readStream.schema(schema).format(fmt)
+    return reader.option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", names).load(folder)
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str, schema: StructType) -> DataFrame:
