@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ticketloom.config import CostSettings
-from ticketloom.functions.probability import log_loss, threshold_argmax
+from ticketloom.functions.probability import argmax, log_loss
 from ticketloom.session import attach
 
 
@@ -77,20 +77,23 @@ def class_threshold_sweep(
     candidates: Sequence[float],
 ) -> DataFrame:
     """``(candidate, macro_f1)`` when one class's divisor takes each candidate value."""
-    predictions = F.array(
+    def clip(t: float) -> float:
+        return min(max(float(t), 1e-5), 1.0)
+
+    options = F.array(
         *[
             F.struct(
                 F.lit(float(c)).alias("candidate"),
-                threshold_argmax(
-                    probs, [c if i == position else t for i, t in enumerate(thresholds)]
-                ).alias("pred"),
+                F.array(*[F.lit(clip(c if i == position else t)) for i, t in enumerate(thresholds)]).alias("t"),
             )
             for c in candidates
         ]
     )
+    scaled = F.zip_with(F.col(probs), F.col("x.t"), lambda p, t: p / t)
     confusion = (
-        df.select(F.col(label).cast("bigint").alias("y"), F.explode(predictions).alias("x"))
-        .groupBy("x.candidate", "y", "x.pred")
+        df.select(F.col(label).cast("bigint").alias("y"), probs, F.explode(options).alias("x"))
+        .select(F.col("x.candidate").alias("candidate"), "y", argmax(scaled).alias("pred"))
+        .groupBy("candidate", "y", "pred")
         .agg(F.count("*").alias("n"))
     )
     return _macro_f1(confusion, ["candidate"])

@@ -16,6 +16,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ticketloom.session import materialize
+
 _TIE = 9
 _SLACK = 1e-6  # vectors are unit-norm only up to float32 rounding
 _MAX_CELLS = 256
@@ -104,7 +106,7 @@ def _block_join(
     right = (
         corpus.withColumn("cs", _salt("id", lookup(c_parts)))
         .withColumn("qs", series(lookup(q_parts)))
-        .select("cell", "qs", "cs", "id", "vec")
+        .select("cell", "qs", "cs", "id", F.col("vec").alias("vec"))
     )
     keys = ["cell", "qs", "cs"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
@@ -157,8 +159,10 @@ def _topk_with_cells(queries, corpus, k, floor, pairing, cells) -> DataFrame:
         angle = np.arccos(np.clip(sims[np.arange(len(best)), best], -1, 1))
         return pd.DataFrame({"cell": best.astype("int32"), "angle": angle})
 
-    placed = corpus.withColumn("at", nearest_pivot("vec")).select("id", "vec", "at.cell", "at.angle")
-    homes = queries.withColumn("at", nearest_pivot("vec")).select("q", "vec", "at.cell")
+    placed = materialize(
+        corpus.withColumn("at", nearest_pivot("vec")).select("id", "vec", "at.cell", "at.angle"), "placed"
+    )
+    homes = materialize(queries.withColumn("at", nearest_pivot("vec")).select("q", "vec", "at.cell"), "homes")
     # One row per cell, at most _MAX_CELLS.
     sizes = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect()
     c_parts = {r["cell"]: _stripes(r["n"]) for r in sizes}
@@ -169,7 +173,9 @@ def _topk_with_cells(queries, corpus, k, floor, pairing, cells) -> DataFrame:
     q_parts = {r["cell"]: _stripes(r["n"]) for r in home_sizes}
 
     block_corpus = placed.select("id", "vec", "cell")
-    first = _rank(_block_join(homes, block_corpus, q_parts, c_parts, k, floor, pairing), k)
+    first = materialize(
+        _rank(_block_join(homes, block_corpus, q_parts, c_parts, k, floor, pairing), k), "nearest"
+    )
     known = (
         first.groupBy("q")
         .agg(F.count("*").alias("n"), F.min("score").alias("kth"))
