@@ -105,29 +105,34 @@ def mmr_select(
     ``candidates``: ``(q, id, rel, rank)``, a short ranked list per query;
     ``vectors``: ``(id, vec)``.  Gives ``(q, id, pick)``.
     """
-    joined = candidates.join(vectors.select("id", "vec"), "id").select("q", "id", "rel", "rank", "vec")
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rank", kind="stable").reset_index(drop=True)
-        if len(group) <= k:
-            order = list(range(len(group)))
-        else:
-            vec = np.stack(group["vec"].to_numpy()).astype(np.float64)
-            sims = vec @ vec.T
-            rel = group["rel"].to_numpy()
-            order, nearest = [0], sims[0].copy()
-            while len(order) < k:
-                gain = np.round(trade_off * rel - (1.0 - trade_off) * nearest, 12)
-                gain[order] = -np.inf
-                best = int(gain.argmax())  # lowest position wins ties
-                order.append(best)
-                nearest = np.maximum(nearest, sims[best])
-        picked = group.loc[order, ["q", "id"]].copy()
-        picked["pick"] = np.arange(1, len(order) + 1)
-        return picked
-
-    q_type = dict(candidates.dtypes)["q"]
-    return joined.groupBy("q").applyInPandas(choose, f"q {q_type}, id bigint, pick bigint")
+    item = F.struct("rank", "id", "rel", F.col("vec").cast("array<double>").alias("vec"))
+    lists = (
+        candidates.join(vectors.select("id", "vec"), "id")
+        .groupBy("q")
+        .agg(F.array_sort(F.collect_list(item)).alias("c"))
+        .select("q", "c.id", "c.rel", "c.vec")
+    )
+
+    @F.pandas_udf("array<bigint>")
+    def choose(ids: pd.Series, rels: pd.Series, vecs: pd.Series) -> pd.Series:
+        return pd.Series([_greedy(i, r, v, k, trade_off) for i, r, v in zip(ids, rels, vecs)], dtype=object)
+
+    picked = lists.select("q", F.posexplode(choose("id", "rel", "vec")).alias("pick", "id"))
+    return picked.select("q", "id", (F.col("pick") + 1).cast("bigint").alias("pick"))
+
+
+def _greedy(ids, rel, vectors, k: int, trade_off: float) -> np.ndarray:
+    """Ids in the order picked; the first candidate starts, the lowest position wins ties."""
+    if len(ids) <= k:
+        return ids
+    vec = np.stack(vectors)
+    order, nearest = [0], vec @ vec[0]
+    while len(order) < k:
+        gain = np.round(trade_off * rel - (1.0 - trade_off) * nearest, 12)
+        gain[order] = -np.inf
+        order.append(int(gain.argmax()))
+        nearest = np.maximum(nearest, vec @ vec[order[-1]])
+    return ids[order]
 
 
 def cache_lookup(

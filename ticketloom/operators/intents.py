@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ticketloom.config import DEFAULT_INTENT, INTENT_RULES, RULE_CONFIDENCE, Brand
 from ticketloom.functions import text as X
 from ticketloom.operators.dense import dense_topk
+from ticketloom.session import literal_table
 
 
 def intent_dim(spark: SparkSession, brands: Sequence[Brand]) -> DataFrame:
@@ -20,7 +21,8 @@ def intent_dim(spark: SparkSession, brands: Sequence[Brand]) -> DataFrame:
         for b in brands
         for i, x in enumerate(b.intents)
     ]
-    return spark.createDataFrame(
+    return literal_table(
+        spark,
         rows,
         "brand string, brand_name string, ord int, intent_id string, name string, "
         "description string, keywords array<string>, auto_handle_eligible boolean",

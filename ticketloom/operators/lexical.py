@@ -181,7 +181,7 @@ def bm25_search(
     postings = materialize(bm25_postings(index.reps, sizes, params), "postings")
     terms = bm25_term_stats(postings, sizes, params)
     weighted = (
-        query_term_counts(queries)
+        materialize(query_term_counts(queries), "asked")
         .join(terms, ["grp", "term"])
         .select(
             "grp", "q", "term", (F.col("qtf") * F.col("idf")).alias("qw"), "n_posts", "max_w"
@@ -221,17 +221,17 @@ def with_terms(df: DataFrame, params: TfIdf) -> DataFrame:
 
 def tfidf_vocabulary(reps: DataFrame, params: TfIdf = TfIdf()) -> DataFrame:
     """``(term, df, total_tf, idf)``: at most ``max_features`` rows."""
-    exploded = X.each(
-        with_terms(reps.repartition("doc"), params), F.col("terms"), "term", "doc", "n_copies"
-    )
-    counts = exploded.groupBy("doc", "n_copies", "term").agg(F.count("*").alias("tf"))
+    terms = with_terms(reps, params)
+    # Summing by term straight away combines map-side; document frequencies come
+    # from each text's distinct terms, so no (document, term) counts are shuffled.
+    one, none = F.col("n_copies"), F.lit(0).cast("bigint")
+    occurrences = X.each(terms, F.col("terms"), "term", one.alias("tf"), none.alias("df"))
+    documents = X.each(terms, F.array_distinct("terms"), "term", none.alias("tf"), one.alias("df"))
     n_docs = reps.agg(F.sum("n_copies").alias("n")).scalar()
     kept = (
-        counts.groupBy("term")
-        .agg(
-            F.sum("n_copies").alias("df"),
-            F.sum(F.col("tf") * F.col("n_copies")).alias("total_tf"),
-        )
+        occurrences.unionByName(documents)
+        .groupBy("term")
+        .agg(F.sum("df").alias("df"), F.sum("tf").alias("total_tf"))
         .filter(F.col("df") >= params.min_df)
         .orderBy(F.desc("total_tf"), "term")
         .limit(params.max_features)
@@ -272,9 +272,11 @@ def cosine_search(
     bounds = postings.groupBy("grp", "term").agg(
         F.count("*").alias("n_posts"), F.max("w").alias("max_w")
     )
+    asked = tfidf_vectors(queries, vocabulary, params).select(
+        "grp", F.col("doc").alias("q"), "term", F.col("w").alias("qw")
+    )
     weighted = (
-        tfidf_vectors(queries, vocabulary, params)
-        .select("grp", F.col("doc").alias("q"), "term", F.col("w").alias("qw"))
+        materialize(asked, "asked")
         .join(bounds, ["grp", "term"])
     )
     return unfold_copies(sparse_topk(weighted, postings, k), index.members, k)

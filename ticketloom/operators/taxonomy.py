@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ticketloom.operators.lexical import TfIdf, tfidf_vectors, tfidf_vocabulary
+from ticketloom.session import materialize
 
 KEYWORD_TERMS = TfIdf(max_features=5000, min_df=3, ngrams=2)
 
@@ -56,7 +57,8 @@ def cluster_keywords(
         F.lower(text).alias("text"),
         F.lit(1).cast("bigint").alias("n_copies"),
     )
-    vectors = tfidf_vectors(texts, tfidf_vocabulary(texts, params), params)
+    vocabulary = materialize(tfidf_vocabulary(texts, params), "vocabulary")
+    vectors = tfidf_vectors(texts, vocabulary, params)
     sizes = kept.groupBy(cluster).agg(F.count("*").alias("_n"))
     labels = kept.select(F.col(id_col).alias("doc"), cluster)
     means = (

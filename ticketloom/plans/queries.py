@@ -264,7 +264,7 @@ def cjk_filter(t):
 
 @query
 def language_filter(t):
-    profile = language.learn_profile(t.documents, "lang", "text")
+    profile = materialize(language.learn_profile(t.documents, "lang", "text"), "profile")
     return language.language_filter(t.documents, "doc_id", "text", profile).select("doc_id", "detected", "is_kept")
 
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def local_session(cores: int | str = 8, app: str = "ticketloom") -> SparkSession:
@@ -63,3 +63,16 @@ def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     key = "_one"
     right = F.broadcast(one_row.limit(1).withColumn(key, F.lit(1)))
     return df.withColumn(key, F.lit(1)).join(right, key).drop(key)
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small configuration table that lives in the plan itself.
+
+    Unlike a table made from driver rows its size is known to the optimizer, so
+    joins with it are broadcast by Spark's own size check and facts stay put.
+    """
+    struct = T._parse_datatype_string(schema)
+    items = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, struct.fields)]) for row in rows
+    ]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*items)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ticketloom.config import Intent
 from ticketloom.functions.probability import argmax, softmax
-from ticketloom.session import attach, materialize
+from ticketloom.session import attach, literal_table, materialize
 from ticketloom.sources.files import spread
 
 # A taxonomy, risk words and a sentiment lexicon whose words occur
@@ -46,7 +46,7 @@ class Tables:
 
     @cached_property
     def conversations(self) -> DataFrame:
-        return self.read("conversations")
+        return spread(self.read("conversations"))
 
     @cached_property
     def embeddings(self) -> DataFrame:
@@ -119,13 +119,13 @@ class Tables:
     @cached_property
     def intents(self) -> DataFrame:
         rows = [(x.id, x.name, i, x.auto_handle_eligible) for i, x in enumerate(TAXONOMY)]
-        return self.spark.createDataFrame(
-            rows, "intent_id string, name string, ord int, auto_handle_eligible boolean"
+        return literal_table(
+            self.spark, rows, "intent_id string, name string, ord int, auto_handle_eligible boolean"
         )
 
     @cached_property
     def lexicon(self) -> DataFrame:
-        return self.spark.createDataFrame(list(LEXICON), "word string, valence double")
+        return literal_table(self.spark, list(LEXICON), "word string, valence double")
 
     @cached_property
     def probs(self) -> DataFrame:
