@@ -92,6 +92,8 @@ def _block_join(
 
     def lookup(parts: dict) -> Column:
         # at most _MAX_CELLS entries
+        if not parts:
+            return F.lit(1)
         pairs = [x for cell, n in sorted(parts.items()) for x in (F.lit(int(cell)), F.lit(int(n)))]
         return F.coalesce(F.element_at(F.create_map(*pairs), F.col("cell")), F.lit(1))
 
@@ -195,11 +197,15 @@ def _topk_with_cells(queries, corpus, k, floor, pairing, cells) -> DataFrame:
         keep[np.arange(len(keep)), home.to_numpy()] = False
         return pd.Series([np.flatnonzero(row).astype("int32") for row in keep])
 
-    routed = (
-        homes.join(known, "q", "left")
-        .select("q", "vec", F.explode(open_cells("vec", "cell", "kth")).alias("cell"))
+    routed = materialize(
+        homes.join(known, "q", "left").select(
+            "q", "vec", F.explode(open_cells("vec", "cell", "kth")).alias("cell")
+        ),
+        "routed",
     )
-    n_queries = sum(r["n"] for r in home_sizes)
-    wide_parts = {c: _stripes(n_queries) for c in c_parts}
-    second = _block_join(routed, block_corpus, wide_parts, c_parts, k, floor, pairing)
+    # Stripes follow the queries that really visit a cell; again one row per cell.
+    visits = routed.groupBy("cell").agg(F.count("*").alias("n")).collect()
+    visit_parts = {r["cell"]: _stripes(r["n"]) for r in visits}
+    visited = block_corpus.filter(F.col("cell").isin(list(visit_parts)))
+    second = _block_join(routed, visited, visit_parts, c_parts, k, floor, pairing)
     return _rank(first.drop("rank").unionByName(second), k)

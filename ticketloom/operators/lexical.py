@@ -129,11 +129,12 @@ def bm25_collection_stats(reps: DataFrame) -> DataFrame:
 def bm25_postings(reps: DataFrame, sizes: DataFrame, params: Bm25 = Bm25()) -> DataFrame:
     """``(grp, term, doc, n_copies, tf, w)``: the part of the score that ignores idf.
 
-    ``sizes`` has one row per collection (brand), so it is broadcast.
+    ``sizes`` has one row per collection (brand); pass it as a written table, so
+    that its true size makes the join a broadcast.
     """
     length_norm = 1 - params.b + params.b * F.col("dl") / F.col("avgdl")
     weight = F.col("tf") * (params.k1 + 1) / (F.col("tf") + params.k1 * length_norm)
-    return bm25_counts(reps).join(F.broadcast(sizes.select("grp", "avgdl")), "grp").select(
+    return bm25_counts(reps).join(sizes.select("grp", "avgdl"), "grp").select(
         "grp", "term", "doc", "n_copies", "tf", weight.alias("w")
     )
 
@@ -148,18 +149,18 @@ def bm25_term_stats(postings: DataFrame, sizes: DataFrame, params: Bm25 = Bm25()
             F.sum(F.col("tf") * F.col("n_copies")).alias("total_tf"),
             F.max("w").alias("max_w"),
         )
-        .join(F.broadcast(sizes.select("grp", "n_docs")), "grp")
+        .join(sizes.select("grp", "n_docs"), "grp")
         .withColumn(
             "raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         ),
         "term-stats",
     )
     # one row per collection
-    mean = raw.groupBy("grp").agg(F.avg("raw_idf").alias("mean_idf"))
+    mean = materialize(raw.groupBy("grp").agg(F.avg("raw_idf").alias("mean_idf")), "mean-idf")
     idf = F.when(F.col("raw_idf") < 0, params.epsilon * F.col("mean_idf")).otherwise(
         F.col("raw_idf")
     )
-    return raw.join(F.broadcast(mean), "grp").select(
+    return raw.join(mean, "grp").select(
         "grp", "term", "n_posts", "df", "total_tf", "max_w", idf.alias("idf")
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ticketloom.functions import text as X
 from ticketloom.operators.sampling import shuffled_position
+from ticketloom.session import materialize
 
 
 def contrastive_pairs(corpus: DataFrame, limit: int = 15_000) -> DataFrame:
@@ -32,10 +33,12 @@ def labelled_pairs(df: DataFrame, id_col: str, label: str, iterations: int = 20,
     placed = shuffled_position(
         df.select(F.col(id_col).alias("a"), F.col(label).alias("label")), ["label"], "a", seed, "i"
     ).withColumn("i", F.col("i") - 1)
-    # one row per label
+    # one row per label; as a written table its size decides that the join is a broadcast.
     sizes = placed.groupBy("label").agg(F.count("*").alias("n"))
     before = W.orderBy("label").rowsBetween(W.unboundedPreceding, -1)
-    blocks = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    blocks = materialize(
+        sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))), "label-blocks"
+    )
     total = df.agg(F.count("*").alias("n")).scalar()
     base = placed.join(blocks, "label").withColumn("others", total - F.col("n"))
     slots = base.select("a", (F.col("start") + F.col("i")).alias("slot"))

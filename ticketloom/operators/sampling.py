@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ticketloom.functions.text import stable_order
 from ticketloom.operators.running import running_count
+from ticketloom.session import materialize
 
 
 def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
@@ -27,7 +28,8 @@ def stratified_split(
     df: DataFrame, label: str, id_col: str, test_share: float = 0.25, seed: int = 42
 ) -> DataFrame:
     """Add ``split``: the first ``ceil(share * count)`` of each label in hash order are "test"."""
-    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
+    # one row per label; as a written table its size decides that the join is a broadcast
+    sizes = materialize(df.groupBy(label).agg(F.count("*").alias("_n")), "label-sizes")
     placed = shuffled_position(df, [label], id_col, seed, "_pos").join(sizes, label)
     in_test = F.col("_pos") <= F.ceil(F.col("_n") * test_share)
     return placed.withColumn("split", F.when(in_test, "test").otherwise("train")).drop("_pos", "_n")
