@@ -57,7 +57,9 @@ def test_script_filter(spark):
 def test_entities_decode_like_the_standard_library(spark):
     samples = ["&amp;lt;", "&#39;x&#39;", "a&nbsp;b", "&eacute;&hellip;", "&lt;b&gt; &copy 2024", "AT&T", "&&& &#x1F600;"]
     assert apply(spark, X.html_unescape, *samples) == [html.unescape(s) for s in samples]
-    assert apply(spark, X.clean_message, "&amp;lt;") == ["<"]
+    nested = ["&amp;lt;", "&amp;eacute; x", "a &amp;amp; b", "AT&amp;T &lt;  b", "&&amp;#39;", "&nbsp; a &hearts;\n b"]
+    want = [html.unescape(" ".join(html.unescape(s).split())).strip() for s in nested]
+    assert apply(spark, X.clean_message, *nested) == want
 
 
 def test_whitespace_is_unicode_aware(spark):

@@ -44,6 +44,7 @@ _COMMON_ENTITIES = (
     ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
 )
 _OTHER_ENTITY = r"&(?!(?:lt|gt|quot|#39|#x27|apos|nbsp|amp);)[#A-Za-z]"
+_NESTED_ENTITY = r"&amp;[#A-Za-z]"
 
 
 def _col(c: Column | str) -> Column:
@@ -55,6 +56,26 @@ def _unescape_batch(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def _clean_entities_batch(values: pd.Series) -> pd.Series:
+    return values.map(
+        lambda t: html.unescape(" ".join(html.unescape(t).split())), na_action="ignore"
+    )
+
+
+# Declared non-deterministic so that the optimizer evaluates a cleaned text once
+# instead of repeating it in every filter it pushes down.
+_unescape_batch = _unescape_batch.asNondeterministic()
+_clean_entities_batch = _clean_entities_batch.asNondeterministic()
+
+
+def _native_unescape(c: Column) -> Column:
+    decoded = c
+    for entity, char in _COMMON_ENTITIES:
+        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
+
+
 def html_unescape(c: Column | str, full_table: bool = True) -> Column:
     """Decode HTML entities once.
 
@@ -62,10 +83,7 @@ def html_unescape(c: Column | str, full_table: bool = True) -> Column:
     text whose entities are all among the common ones.
     """
     c = _col(c)
-    decoded = c
-    for entity, char in _COMMON_ENTITIES:
-        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-    native = F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
+    native = _native_unescape(c)
     if not full_table:
         return native
     other = F.contains(c, F.lit("&")) & c.rlike(_OTHER_ENTITY)
@@ -118,8 +136,19 @@ def sanitize_pii(c: Column | str, full_entities: bool = True) -> Column:
 
 
 def clean_message(c: Column | str, full_entities: bool = True) -> Column:
-    """The cleaning applied at ingest: normalise, then sanitise."""
-    return sanitize_pii(normalize_text(c, full_entities=full_entities), full_entities)
+    """The cleaning applied at ingest: normalise, then sanitise.
+
+    Both steps decode entities.  Text without uncommon or nested entities has
+    nothing left to decode after the first time; the rest goes through one UDF.
+    """
+    c = F.coalesce(_col(c), F.lit(""))
+    decoded = collapse_spaces(_native_unescape(c))
+    if full_entities:
+        hard = F.contains(c, F.lit("&")) & c.rlike(f"{_OTHER_ENTITY}|{_NESTED_ENTITY}")
+        decoded = F.coalesce(_clean_entities_batch(F.when(hard, c)), decoded)
+    else:
+        decoded = _native_unescape(decoded)
+    return strip(redact_all(decoded))
 
 
 def pii_count(c: Column | str, kind: str) -> Column:
