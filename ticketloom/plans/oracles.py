@@ -552,6 +552,13 @@ _oracle(
 )
 
 
+_oracle(
+    "load_index",
+    "select grp brand, count(distinct term) n_terms, cast(sum(tf) as bigint) total_tf from bmt_tf group by grp",
+    "bmt_tf",
+)
+
+
 def _values(name: str, values) -> str:
     return "(values " + ", ".join(f"({i}, {v}e0)" for i, v in enumerate(values)) + f") {name}(k, t)"
 
@@ -929,6 +936,13 @@ _part(
 )
 _oracle("temperature_curve", "select round(t, 6) t, round(nll, 6) nll from coarse", "coarse")
 _oracle("temperature_fit", "select round(t, 6) temperature, round(nll, 6) nll from fine order by round(nll, 12), t limit 1", "fine")
+_oracle(
+    "sink_params",
+    """select (select round(t, 6) from fine order by round(nll, 12), t limit 1) temperature, alpha, round(q_hat, 6) q_hat
+  from qhats where alpha = 0.1e0""",
+    "fine",
+    "qhats",
+)
 _part(
     "swept",
     f"""select c candidate, vec_id, y, k pred from (

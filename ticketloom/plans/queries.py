@@ -174,13 +174,27 @@ def load_params(t):
 
 
 @query
-def sink_index(t):
+def sink_params(t):
+    path = scratch_path(t.spark, "params")
+    logits = _base_logits(t).withColumn("y", F.col("y").cast("int"))
+    temperature = calibrate.temperature_fit(logits, "z", "y").select("temperature")
+    conformal = calibrate.conformal_quantile(t.predictions, "p_true", 0.10).select("alpha", "q_hat")
+    files.sink_params(attach(temperature, conformal), path)
+    return _rounded(files.load_params(t.spark, path).select("temperature", "alpha", "q_hat"))
+
+
+def _stored_index(t: Tables) -> dict:
     path = scratch_path(t.spark, "index")
     corpus = corpus_of(t)
     reps = lexical.fold_copies(lexical.as_collection(corpus, "passage_id", "customer_query", "brand"))
     sizes = materialize(lexical.bm25_collection_stats(reps), "sizes")
     files.sink_index(t.spark, path, corpus, t.vectors, lexical.bm25_postings(reps, sizes))
-    index = files.load_index(t.spark, path)
+    return files.load_index(t.spark, path)
+
+
+@query
+def sink_index(t):
+    index = _stored_index(t)
     parts = [
         index[name].agg(F.count("*").alias("n_rows")).withColumn("part", F.lit(name))
         for name in ("corpus", "vectors", "postings")
@@ -188,6 +202,14 @@ def sink_index(t):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query
+def load_index(t):
+    postings = _stored_index(t)["postings"]
+    return postings.groupBy(F.col("grp").alias("brand")).agg(
+        F.countDistinct("term").alias("n_terms"), F.sum(F.col("tf") * F.col("n_copies")).alias("total_tf")
+    )
+
+
 @query
 def reuse_or_build(t):
     path = scratch_path(t.spark, "golden")
