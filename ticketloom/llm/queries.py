@@ -5,12 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ticketloom.llm import mixing, secret_scan, simhash, warc, wavelet
+from ticketloom.llm import decontaminate, mixing, secret_scan, simhash, warc, wavelet
 from ticketloom.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.Decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.report().select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).taken()
 
@@ -36,7 +44,9 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_mix_sources, op4_secret_spans, op5_warc_packages, op7_simhash_components, op10_token_shards)
+    for f in (
+        op1_decontaminate, op3_mix_sources, op4_secret_spans, op5_warc_packages, op7_simhash_components, op10_token_shards,
+    )
 }
 
 ORACLES: dict[str, str] = {}
