@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ticketloom.llm import decontaminate, mixing, secret_scan, simhash, warc, wavelet
+from ticketloom.llm import decontaminate, language_id, mixing, neighbours, secret_scan, simhash, toxicity, warc, wavelet
 from ticketloom.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", every=20, k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).taken()
 
@@ -32,11 +37,20 @@ def op5_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = wavelet.token_output(table(spark, sf_dir, "documents"), TOKENIZER)
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -45,7 +59,8 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_decontaminate, op3_mix_sources, op4_secret_spans, op5_warc_packages, op7_simhash_components, op10_token_shards,
+        op1_decontaminate, op2_nearest, op3_mix_sources, op4_secret_spans, op5_warc_packages, op6_language,
+        op7_simhash_components, op8_toxicity, op10_token_shards,
     )
 }
 
