@@ -170,9 +170,9 @@ class Mix:
                         yield d.assign(shard=int(shard), slot=order)[["shard", "slot", "sid", "block", "turn"]]
 
         parts = max(1, min(shards, 10_000))
-        self.slots = spark.range(0, shards, 1, parts).mapInPandas(
-            draw, "shard long, slot long, sid int, block long, turn long"
-        )
+        drawn = spark.range(0, shards, 1, parts).mapInPandas(draw, "shard long, slot long, sid int, block long, turn long")
+        # written, as Spark would guess its size from the number of shards and broadcast it
+        self.slots = materialize(drawn, "mix-slots")
 
     def pieces(self) -> DataFrame:
         """``sid, block, doc_id, th, from_word, n_words``: the words of documents that make up each block."""
