@@ -189,7 +189,7 @@ def nearest(
     piece = F.pmod(F.xxhash64("e"), F.coalesce("pieces", F.lit(1))).cast("int")
     part = F.pmod(F.xxhash64("code", "piece"), F.lit(parts)).cast("int")
     index = coded.join(large, "code", "left").withColumn("piece", piece)
-    visits = queries.mapInArrow(_coder(hashes, probes), "e long, code long").join(large, "code", "left")
+    visits = materialize(queries.mapInArrow(_coder(hashes, probes), "e long, code long"), "visits").join(large, "code", "left")
     visits = visits.withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)))
 
     def side(codes, kind):

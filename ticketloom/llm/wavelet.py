@@ -300,7 +300,7 @@ def token_output(docs: DataFrame, tokenizer: str, end: int = END, **options) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
     return (
         read_shards(manifest)
-        .join(starts, "path")
+        .join(starts, "path", "left")  # a left join builds on the files' side only
         .select(
             F.col("doc_id").cast(kind).alias("doc_id"), "path", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"
         )
