@@ -53,77 +53,106 @@ def beginnings(text: str) -> set[str]:
 def choose_terms(rows: list[tuple[str, int, int]]) -> list[str]:
     """Terms out of significant beginnings: the shortest ones, each drawn out as long as that loses no document."""
     toxic = {b: p for b, p, _ in rows}
-    terms = []
+    terms, longer = [], {}
+    for b in sorted(toxic):
+        longer.setdefault(b[:-1], []).append(b)
     for b in sorted(toxic, key=lambda x: (len(x), x)):
         if any(b[:n] in toxic for n in range(SHORTEST, len(b))):
             continue
-        while longer := [x for x in toxic if len(x) == len(b) + 1 and x.startswith(b) and toxic[x] >= 0.95 * toxic[b]]:
-            b = longer[0]
+        while next_ := [x for x in longer.get(b, ()) if toxic[x] >= 0.95 * toxic[b]]:
+            b = next_[0]
         terms.append(b)
     return terms
 
 
 def edits(term: str) -> int:
     n = len(term.rstrip(END))
-    return 0 if n < 5 else 1 if n < 8 else 2
+    return 0 if n < 5 else 1 if n < 9 else 2
 
 
 class Lexicon:
-    """Terms in a trie; words are intersected with it under a bounded edit distance."""
+    """Terms in a trie, intersected with the Levenshtein automata of all of them at once.
+
+    A state is a set of (trie node, edits so far); a letter of the word moves it along an equal
+    edge, over any edge or past a letter at the cost of an edit, and edges may be skipped at that cost.
+    States are made deterministic as words need them, so that a word costs one lookup a letter, up to the first
+    letter after which no term is in reach.
+    """
 
     def __init__(self, terms: list[str], allowed: dict[str, int] | None = None):
         self.allowed = {t: edits(t) if allowed is None else allowed.get(t, 0) for t in terms}
-        self.trie: dict = {}
+        self.children: list[dict[str, int]] = [{}]
+        self.ends: list[list[str]] = [[]]
+        self.most = [-1]  # the edits that any term at or below a node allows
         for t in terms:
-            node = self.trie
+            node = 0
+            self.most[0] = max(self.most[0], self.allowed[t])
             for ch in t.rstrip(END):
-                node = node.setdefault(ch, {})
-            node.setdefault("", []).append(t)
-        self.most = max(self.allowed.values(), default=0)
-        self.seen: dict[str, bool] = {}
-        self.known: dict[str, tuple[int, str] | None] = {}
-
-    def _walk(self, word: str, whole: bool) -> tuple[int, str] | bool | None:
-        """Best (distance, term) of a word; or, not whole, whether a word that begins so can match."""
-        best, n = None, len(word)
-        stack = [(self.trie, tuple(range(n + 1)))]
-        while stack:
-            node, row = stack.pop()
-            for t in node.get("", ()):
-                if whole:
-                    # a stem may end anywhere in the word, a whole word at its end only
-                    d = row[-1] if t.endswith(END) else min(row)
-                    if d <= self.allowed[t] and (best is None or (d, t) < best):
-                        best = (d, t)
-                elif not t.endswith(END) and min(row) <= self.most:
-                    return True
-            if not whole and row[-1] <= self.most:
-                return True
-            for ch, below in node.items():
-                if not ch:
-                    continue
-                new = [row[0] + 1]
-                for i in range(n):
-                    new.append(min(row[i + 1] + 1, new[i] + 1, row[i] + (word[i] != ch)))
-                if min(new) <= self.most:
-                    stack.append((below, tuple(new)))
-        return best if whole else False
+                if ch not in self.children[node]:
+                    self.children[node][ch] = len(self.children)
+                    self.children.append({})
+                    self.ends.append([])
+                    self.most.append(-1)
+                node = self.children[node][ch]
+                self.most[node] = max(self.most[node], self.allowed[t])
+            self.ends[node].append(t)
+        self._reset()
+
+    def _reset(self) -> None:
+        self.numbers: dict[frozenset, int] = {}
+        self.sets: list[frozenset] = []
+        self.moves: list[dict[str, int]] = []
+        self.stems: list[tuple[int, str] | None] = []
+        self.wholes: list[tuple[int, str] | None] = []
+        self.first = self._state([(0, 0)])
+
+    def _state(self, pairs) -> int:
+        """Number of a state, or -1 if nothing is in reach."""
+        best: dict[int, int] = {}
+        open_ = list(pairs)
+        while open_:
+            node, e = open_.pop()
+            if e > self.most[node] or best.get(node, 99) <= e:
+                continue
+            best[node] = e
+            open_ += [(child, e + 1) for child in self.children[node].values()]
+        if not best:
+            return -1
+        state = frozenset(best.items())
+        if state not in self.numbers:
+            self.numbers[state] = len(self.sets)
+            self.sets.append(state)
+            self.moves.append({})
+            met = [(e, t) for node, e in state for t in self.ends[node] if e <= self.allowed[t]]
+            self.stems.append(min((x for x in met if not x[1].endswith(END)), default=None))
+            self.wholes.append(min((x for x in met if x[1].endswith(END)), default=None))
+        return self.numbers[state]
+
+    def _move(self, state: int, ch: str) -> int:
+        pairs = []
+        for node, e in self.sets[state]:
+            pairs.append((node, e + 1))
+            for edge, child in self.children[node].items():
+                pairs.append((child, e + (edge != ch)))
+        new = self.moves[state][ch] = self._state(pairs)
+        return new
 
     def match(self, word: str) -> tuple[int, str] | None:
         """The nearest term (edit distance, term) that a lower-cased word matches."""
-        head = word[:SHORTEST]
-        able = self.seen.get(head)
-        if able is None:
-            if len(self.seen) > 500_000:
-                self.seen.clear()
-            able = self.seen[head] = bool(self._walk(head, False)) or self._walk(head, True) is not None
-        if not able:
-            return None
-        if word not in self.known:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            self.known[word] = self._walk(word, True)
-        return self.known[word]
+        if len(self.sets) > 100_000:
+            self._reset()
+        state, best, moves, stems = self.first, None, self.moves, self.stems
+        for ch in word:
+            if state < 0:
+                return best
+            if stems[state] and (best is None or stems[state] < best):
+                best = stems[state]
+            new = moves[state].get(ch)
+            state = self._move(state, ch) if new is None else new
+        for found in (stems[state], self.wholes[state]) if state >= 0 else ():
+            if found and (best is None or found < best):
+                best = found
+        return best
 
 
 def quoted(text: str, start: int, end: int) -> bool:
@@ -141,9 +170,12 @@ def hits(text: str, lexicon: Lexicon) -> list[tuple[int, int, int, str, bool]]:
     """``(start, end, distance, term, quoted)`` of each word that matches."""
     out = []
     lowered = text.lower()
+    met = {w: found for w in set(_WORD.findall(lowered)) if (found := lexicon.match(w))}
+    if not met:
+        return out
     same = len(lowered) == len(text)
     for m in _WORD.finditer(lowered):
-        if found := lexicon.match(m.group()):
+        if found := met.get(m.group()):
             out.append((*m.span(), *found, quoted(text if same else lowered, *m.span())))
     return out
 
