@@ -2,8 +2,8 @@
 
 Learning: of at most ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` clean labelled rows (drawn by a hash
 of the id) all beginnings of words are counted by document.  A beginning that stands in toxic documents
-far more often than chance allows, and almost never in clean ones, is a term: a stem
-if many words go on from it, a whole word if it ends there.
+far more often than chance allows, and almost never in clean ones, may be a term; terms are
+counted by the words around them, so that copies of a toxic text make no terms.  A term is a stem if words go on from it, a whole word if it ends there.
 
 Matching: terms lie in a trie; a word is run through it with a Levenshtein automaton (one row
 of edit distances for each node), so misspelled terms are met as well: one edit from five letters, two from
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from math import exp, log
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from ticketloom.llm.common import by_bytes, crc_fold
 
 TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
 SHORTEST, LONGEST = 4, 16
+TERMS = 20_000  # significant beginnings among which terms are chosen
+IMPURE = 0.005  # share of clean documents that a term may have of its share of toxic ones
 END = "$"
 QUOTED = 0.4
 CONTEXT = 48  # characters on each side of a hit
@@ -41,18 +44,24 @@ _SPEECH = re.compile(
 _OPEN, _CLOSE = "\"'“„«‘", "\"'”“»’"
 
 
-def beginnings(text: str) -> set[str]:
-    """All beginnings of the text's words, ends marked."""
-    out = set()
-    for w in set(_WORD.findall(text.lower())):
+def beginnings(text: str) -> dict[str, int]:
+    """All beginnings of the text's words, ends marked, each with a hash of the words around its first place."""
+    out: dict[str, int] = {}
+    words = _WORD.findall(text.lower())
+    seen = set()
+    for before, w, after in zip(["", *words], words, [*words[1:], ""]):
+        if w in seen:
+            continue
+        seen.add(w)
+        around = crc32(f"{before} {after}".encode("utf-8", "surrogatepass"))
         w += END
-        out.update(w[:n] for n in range(SHORTEST, min(len(w), LONGEST) + 1))
+        for n in range(SHORTEST, min(len(w), LONGEST) + 1):
+            out.setdefault(w[:n], around)
     return out
 
 
-def choose_terms(rows: list[tuple[str, int, int]]) -> list[str]:
+def choose_terms(toxic: dict[str, int]) -> list[str]:
     """Terms out of significant beginnings: the shortest ones, each drawn out as long as that loses no document."""
-    toxic = {b: p for b, p, _ in rows}
     terms, longer = [], {}
     for b in sorted(toxic):
         longer.setdefault(b[:-1], []).append(b)
@@ -239,19 +248,24 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
         return Model(empty, np.array([log((n1 + 0.5) / (n0 + 0.5 + 9 * (n1 + n0 == 0))), 4.0, 2.0]))
 
     def count(batches):
-        kinds = {"b": pa.string(), "toxic": pa.int64()}
         for b in batches:
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-                some = list(beginnings(text))
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([int(toxic)] * len(some), pa.int64())], list(kinds))
-
-    counted = rows.mapInArrow(count, "b string, toxic long").groupBy("b").agg(
-        F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")
+                some = beginnings(text)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(some), pa.string()), pa.array(list(some.values()), pa.int64()), pa.array([int(toxic)] * len(some), pa.int64())],
+                    ["b", "around", "toxic"],
+                )
+
+    # copies of a toxic text repeat all its words; a term is one that stands among different words
+    places = rows.mapInArrow(count, "b string, around long, toxic long").groupBy("b", F.when(F.col("toxic") == 1, F.col("around")).alias("around"))
+    counted = places.agg(F.count("*").alias("c")).groupBy("b").agg(
+        F.count("around").alias("p"), F.coalesce(F.sum(F.when(F.col("around").isNull(), F.col("c"))), F.lit(0)).alias("n")
     )
-    # by chance a beginning seen in p documents stands in toxic ones only with probability share^p
-    least = max(3, int(np.ceil((log(1e6) + log(100)) / -log(n1 / (n1 + n0)))))
-    apart = (F.col("p") >= least) & (F.col("n") * n1 <= 0.02 * F.col("p") * n0)
-    significant = [(r.b, r.p, r.n) for r in counted.filter(apart).orderBy(F.desc("p"), "b").limit(50_000).collect()]
+    counted = materialize(counted.filter("p >= 3"), "beginnings")
+    # a beginning at p places stands in toxic documents only by chance with probability share^p
+    least = max(3, int(np.ceil(log(20 * max(counted.count(), 1)) / -log(n1 / (n1 + n0)))))
+    apart = (F.col("p") >= least) & (F.col("n") * n1 <= IMPURE * F.col("p") * n0)
+    significant = {r.b: r.p for r in counted.filter(apart).orderBy(F.desc("p"), "b").limit(TERMS).collect()}
     terms = choose_terms(significant)
     open_ = Lexicon(terms)
 
@@ -273,7 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     )
     allowed = {t: edits(t) for t in terms}
     for r in met.collect():  # terms x distances
-        if r.n * n1 > 0.02 * r.p * n0:
+        if r.n * n1 > IMPURE * r.p * n0:
             allowed[r.term] = min(allowed[r.term], r.d - 1)
     lexicon = Lexicon(terms, allowed)
 

@@ -176,7 +176,7 @@ class ShardFile:
 
 
 _BREAK = re.compile(r"(?<=[!-~À-ÿ]) (?=[!-~À-ÿ])")
-_KNOWN = 400_000
+_KNOWN = 60_000  # pieces that a worker remembers
 
 
 @lru_cache(maxsize=2)
