@@ -18,10 +18,12 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -176,45 +178,119 @@ class ShardFile:
 
 
 _BREAK = re.compile(r"(?<=[!-~À-ÿ]) (?=[!-~À-ÿ])")
-_KNOWN = 60_000  # pieces that a worker remembers
+# Fixed value: the pattern by which byte-level tokenizers of this kind cut a text into words.
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_LATIN = re.compile(r"[\x00-\u024f]*")
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+_KNOWN = 200_000  # pieces, and words, that a worker remembers
+_JOINED = 20_000  # letters in one call of the library's model
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str):
-    """``ids of texts`` by a tokenizer file; pieces already met are not encoded again.
+def _byte_letters() -> list[str]:
+    """The letter by which byte-level vocabularies show each byte: itself if visible, else the next one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
+
+
+_SHOWN = _byte_letters()
+_LETTERS = dict(enumerate(_SHOWN))
+
+
+class Encoder:
+    """Ids of texts by a tokenizer file, as little-endian numbers; every id comes from the tokenizers library.
 
     A text is cut before single spaces between two visible characters, where a byte-level
-    tokenizer always starts a new piece; the library encodes each distinct piece once.
-    Texts that hold an added token's string, and tokenizers of another kind, are encoded whole.
+    tokenizer always starts a new word; pieces, and words within them, are encoded once while they are
+    remembered.  New words go to the library's model many at a time, with a byte between them that no merge of
+    the vocabulary holds.  Texts that hold an added token's string, and tokenizers of another kind, are encoded whole.
     """
-    from tokenizers import Tokenizer, pre_tokenizers
-
-    tokenizer = Tokenizer.from_file(path)
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    added = [t["content"] for t in spec.get("added_tokens", ())]
-    before = spec.get("pre_tokenizer") or {}
-    cut = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
-    known: dict[str, np.ndarray] = {}
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        if len(known) > _KNOWN:
-            known.clear()
-        whole = [not cut or any(a in t for a in added) for t in texts]
-        pieces = [[t] if w else _BREAK.split(t) for t, w in zip(texts, whole)]
-        pieces = [p if w else [p[0], *[" " + x for x in p[1:]]] for p, w in zip(pieces, whole)]
-        new = list({x for p, w in zip(pieces, whole) if not w for x in p if x not in known})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for x, e in zip(some, tokenizer.encode_batch(some, add_special_tokens=False)):
-                known[x] = e.ids
-        out = []
-        for p, w in zip(pieces, whole):
-            ids = tokenizer.encode(p[0], add_special_tokens=False).ids if w else [i for x in p for i in known[x]]
-            out.append(np.array(ids, np.int64))
+
+    def __init__(self, path: str, end: int = END):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.added = [t["content"] for t in spec.get("added_tokens", ())]
+        before = spec.get("pre_tokenizer") or {}
+        letters = set().union(*(t for t in spec["model"].get("vocab", {}) if len(t) > 1)) if spec["model"].get("type") == "BPE" else set()
+        # bytes that UTF-8 never has; one that is a token by itself and in no other
+        free = [_SHOWN[b] for b in range(0xF5, 0x100) if _SHOWN[b] not in letters and self.tokenizer.token_to_id(_SHOWN[b]) is not None]
+        self.by_piece = (
+            before.get("type") == "ByteLevel" and before.get("use_regex", True) and bool(letters and free)
+            and not before.get("add_prefix_space") and not spec.get("normalizer")
+            and not spec["model"].get("ignore_merges") and not spec["model"].get("dropout")
+        )
+        self.between = free[0] if free else ""
+        most = max(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end)
+        self.bits, self.kind = most.bit_length(), np.dtype("<u2" if most < 1 << 16 else "<u4")
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _learn_words(self, new: list[str]) -> None:
+        """Encode words, given in the library's byte letters."""
+        stop, code = self.tokenizer.token_to_id(self.between), "H" if self.kind.itemsize == 2 else "I"
+        at = 0
+        while at < len(new):
+            some, n = [], 0
+            while at < len(new) and n < _JOINED:
+                some.append(new[at])
+                n += len(new[at])
+                at += 1
+            ids = [t.id for t in self.tokenizer.model.tokenize(self.between.join(some))]
+            start = 0
+            for w in some:
+                try:
+                    cut = ids.index(stop, start)
+                except ValueError:
+                    cut = len(ids)
+                self.words[w] = array(code, ids[start:cut]).tobytes()
+                start = cut + 1
+
+    def _shown(self, piece: str) -> list[str]:
+        """The words of a piece in byte letters."""
+        if plain := _PLAIN.fullmatch(piece):
+            words = plain.groups() if plain[2] else (plain[1],)
+        elif _LATIN.fullmatch(piece):
+            words = _WORDS.findall(piece)
+        else:  # the library's own tables say what a letter is
+            return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
+        return [w.encode().decode("latin-1").translate(_LETTERS) for w in words]
+
+    def _learn(self, new: list[str]) -> None:
+        shown = [self._shown(p) for p in new]
+        if len(self.words) > _KNOWN:
+            self.words.clear()
+        self._learn_words(list({w for p in shown for w in p if w not in self.words}))
+        for p, words in zip(new, shown):
+            self.pieces[p] = b"".join([self.words[w] for w in words])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out: list = [None] * len(texts)
+        cut = []
+        for i, t in enumerate(texts):
+            if not self.by_piece or any(a in t for a in self.added):
+                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind)
+            else:
+                # what follows a cut starts with the space that the cut took
+                first, *rest = _BREAK.split(t)
+                cut.append((i, [first, *[" " + x for x in rest]]))
+        for at in range(0, len(cut), 256):
+            some = cut[at : at + 256]
+            new = set().union(*(p for _, p in some)) - self.pieces.keys()
+            if len(self.pieces) + len(new) > _KNOWN:
+                self.pieces.clear()
+                new = set().union(*(p for _, p in some))
+            self._learn(list(new))
+            for i, pieces in some:
+                out[i] = np.frombuffer(b"".join(map(self.pieces.__getitem__, pieces)), self.kind)
         return out
 
-    return encode, max(tokenizer.get_vocab_size(with_added_tokens=True) - 1, END)
+
+@lru_cache(maxsize=2)
+def _encoder(path: str, end: int) -> Encoder:
+    return Encoder(path, end)
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int = END, shard_ids: int = 4 << 20) -> DataFrame:
@@ -225,8 +301,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int = END, s
     by_bytes(docs.sparkSession)
 
     def run(batches):
-        encode, most = _encoder(tokenizer)
-        bits = max(most, end).bit_length()
+        encoder = _encoder(tokenizer, end)
+        tail = np.array([end], encoder.kind)
         part, made, held, names, n = TaskContext.get().partitionId(), [], [], [], 0
 
         def close():
@@ -234,16 +310,16 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int = END, s
             path = f"{folder}/part-{part:05d}-{len(made):04d}.wvm"
             lengths = np.array([len(x) for x in held], np.int64)
             with replaced_file(path) as out:
-                out.write(pack(WaveletMatrix.build(np.concatenate(held), bits), lengths, names))
+                out.write(pack(WaveletMatrix.build(np.concatenate(held), encoder.bits), lengths, names))
             made.append((path, part, len(made), len(held), n))
             held, names, n = [], [], 0
 
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            for name, ids in zip(b.column("doc_id").to_pylist(), encode(texts)):
+            for name, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(texts)):
                 names.append(name)
-                held.append(np.append(ids, end).astype(np.uint32 if bits > 16 else np.uint16))
-                n += len(ids) + 1
+                held.append(np.concatenate((ids, tail)))
+                n += len(held[-1])
                 if n >= shard_ids:
                     close()
         if held:
