@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ticketloom.llm import decontaminate, language_id, mixing, neighbours, secret_scan, simhash, toxicity, warc, wavelet
+from ticketloom.llm import decontaminate, language_id, mixing, neighbours, secret_scan, simhash, suffix_dedup, toxicity, warc, wavelet
 from ticketloom.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,6 +51,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.deduplicated(table(spark, sf_dir, "documents")))
+
+
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = wavelet.token_output(table(spark, sf_dir, "documents"), TOKENIZER)
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -60,7 +64,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_nearest, op3_mix_sources, op4_secret_spans, op5_warc_packages, op6_language,
-        op7_simhash_components, op8_toxicity, op10_token_shards,
+        op7_simhash_components, op8_toxicity, op9_suffix_dedup, op10_token_shards,
     )
 }
 
