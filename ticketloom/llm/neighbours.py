@@ -3,8 +3,8 @@
 Nearness is the inner product.  Every vector x, of norm at most M, becomes the unit
 vector (x / M, sqrt(1 - |x|^2 / M^2)), a query q becomes (q / |q|, 0); the nearest by
 distance are then the largest by inner product.  A table cuts ``m`` Gaussian projections
-into cells of width ``width``; m grows with log2 of the rows, so that buckets keep
-their size.  A query visits its own bucket and perturbed ones (a cell up or down in some
+into cells of width ``width``; m is half of log2 of the rows, so that buckets
+and their number grow alike.  A query visits its own bucket and perturbed ones (a cell up or down in some
 projections) in the order of the expected distance to them, which is fixed for
 the ranks of a query's projections and thus computed once.
 
@@ -174,7 +174,7 @@ def nearest(
     )
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     n, scale = entries.agg(F.count("*"), F.max(square)).first()
-    m = max(2, int(np.ceil(np.log2(max(n, 2) / 50))))
+    m = max(2, round(np.log2(max(n, 2)) / 2))
     hashes = Hashes(dims, m, tables, width, float(np.sqrt(scale)) * (1 + 1e-9))
 
     asked = materialize(rows.filter(F.col("id") % every == 0).join(entries.select("v", "e"), "v").select(F.col("id").alias("query_id"), "e"), "asked")
