@@ -93,13 +93,14 @@ class Benchmark:
         starts = F.sequence(F.lit(0), F.size("words") - F.col("length"))
         gram = F.transform(starts, lambda s: F.array_join(F.slice("words", s + 1, F.col("length")), " "))
         self.windows = materialize(own.select("cls", "length", F.explode(gram).alias("gram")).distinct(), "windows")
+        # (explode_outer: Spark copies what explode takes into a filter below it, and would compute these arrays many times)
         kept = winnowed(own.select("words", "length"), "words", self.lengths) if self.lengths else None
         parts = [
-            kept.filter(F.col("length") == n).select(F.lit(n).alias("length"), F.explode(f"f{n}").alias("v")) for n in self.lengths
+            kept.filter(F.col("length") == n).select(F.lit(n).alias("length"), F.explode_outer(f"f{n}").alias("v")) for n in self.lengths
         ]
         self.kept = (
             materialize(
-                reduce(DataFrame.union, parts).select("length", F.shiftright("v", _PLACE).cast("int").alias("hash")).distinct(), "kept"
+                reduce(DataFrame.union, parts).filter("v is not null").select("length", F.shiftright("v", _PLACE).cast("int").alias("hash")).distinct(), "kept"
             )
             if parts
             else None
@@ -117,6 +118,7 @@ class Decontamination:
         bench = Benchmark(items, window)
         self.docs = docs
         own = docs.select(_key(), words_of(F.col("text")).alias("words"))
+        # (explode_outer: Spark copies what explode takes into a filter below it, and would compute these arrays many times)
         kept = winnowed(own, "words", bench.lengths)
         #: One row per document: its number of words and kept hashes.
         self.marked = materialize(
@@ -148,7 +150,7 @@ class Decontamination:
                                        F.array_join(F.slice("words", s["start"] + 1, s["length"]), " ").alias("gram")),
                 ),
             )
-            .select("k", F.inline("grams"))
+            .select("k", F.inline_outer("grams"))
         )
         #: One row per window of a document that an item has: ``k, start, length, cls``.
         self.hits = materialize(near.join(bench.windows, ["length", "gram"]).select("k", "start", "length", "cls").distinct(), "hits")
