@@ -198,7 +198,7 @@ def nearest(
         return sent.join(entries.select("e", "v"), "e").select(F.lit(kind).alias("kind"), "part", "e", "v", "codes")
 
     both = side(index, 0).union(side(visits, 1))
-    met = both.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(
+    met = both.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(
         _meet(k1), "q long, e long, score double"
     )
     merged = met.groupBy("q", "e").agg(F.max("score").alias("score"))
