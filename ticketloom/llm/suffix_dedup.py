@@ -33,6 +33,7 @@ from ticketloom.llm.common import by_bytes, materialize, texts_of
 LENGTH = 200
 GRAM = 40
 GROUP = 20_000
+HELD = 1 << 20  # bytes of segments that are compared at a time, but for a larger group; some 100 times that in numbers
 BLOCK = 1 << 20  # windows of a long text at a time
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -266,7 +267,7 @@ def _compare(length: int, kind: str):
                 continue
             held.append(b)
             size += b.nbytes
-            if size < 4 << 20:
+            if size < HELD:
                 continue
             rows = pa.Table.from_batches(held)
             anchor, part = rows.column("anchor").to_numpy(), rows.column("part").to_numpy()
