@@ -13,8 +13,8 @@ LEXICON = [("terrible", -3.0), ("great", 3.0)]
 def decide(spark, *rows):
     """rows: (query, intent, confidence, turns, similarity)"""
     df = spark.createDataFrame(
-        [(i, *r) for i, r in enumerate(rows)],
-        "id int, query string, predicted_intent string, confidence double, turn_count int, rag_similarity double",
+        [(i, AMAZONHELP.id, *r) for i, r in enumerate(rows)],
+        "id int, brand string, query string, predicted_intent string, confidence double, turn_count int, rag_similarity double",
     )
     dim = intents.intent_dim(spark, [AMAZONHELP])
     lexicon = spark.createDataFrame(LEXICON, "word string, valence double")
@@ -50,6 +50,27 @@ def test_every_tier_once(spark):
     assert "(0.69) below threshold (0.70)" in out[2].escalation_reason and "3 turns" in out[1].escalation_reason
 
 
+def test_intents_belong_to_a_brand(spark):
+    dim = spark.createDataFrame(
+        [("a", "x", "X", 0, True), ("a", "y", "Y", 1, False), ("b", "y", "Y", 0, True), ("b", "z", "Z", 1, True)],
+        "brand string, intent_id string, name string, ord int, auto_handle_eligible boolean",
+    )
+    df = spark.createDataFrame(
+        [(1, "a", "y"), (2, "b", "y"), (3, "b", "x"), (4, "a", "nothing")], "id int, brand string, intent string"
+    )
+    eligible = {r.id: r.eligible for r in intents.with_eligibility(df, dim, "intent").collect()}
+    assert eligible == {1: False, 2: True, 3: True, 4: True}
+    assert {r.id: r.label_id for r in intents.label_index(df, dim, "intent").collect()} == {1: 1, 2: 0, 3: 0, 4: 0}
+    valid = {r.id: r.valid_intent for r in intents.validate_intent(df, dim, "intent").collect()}
+    assert valid == {1: "y", 2: "y", 3: "y", 4: "x"}
+
+
+def test_sure_mistakes_count_in_the_focal_loss(spark):
+    df = spark.createDataFrame([(0.0,), (1.0,)], "p double")
+    (r,) = df.agg(F.avg(calibrate.focal_loss("p")).alias("loss"), F.count(calibrate.focal_loss("p")).alias("n")).collect()
+    assert r.n == 2 and r.loss == pytest.approx(-np.log(1e-12) / 2)
+
+
 def test_unknown_brand_is_an_error():
     assert brand_config("AmazonHelp") is AMAZONHELP
     with pytest.raises(KeyError):
@@ -173,10 +194,9 @@ def test_end_to_end_ticket(spark):
     )
     dim = intents.intent_dim(spark, [AMAZONHELP])
     lexicon = spark.createDataFrame(LEXICON, "word string, valence double")
-    first = AMAZONHELP.intents[0].id
-    out = scoring.score_tickets(tickets, corpus, dim, lexicon, intents.rule_intent, first).orderBy("ticket_id").collect()
+    out = scoring.score_tickets(tickets, corpus, dim, lexicon, intents.rule_intent).orderBy("ticket_id").collect()
     assert [r.predicted_intent for r in out] == ["order_tracking_delivery", "general_feedback_complaint"]
-    assert [c.passage_id for c in out[0].retrieved_context] == ["p1"] and out[1].retrieved_context is None
+    assert [c.passage_id for c in out[0].retrieved_context] == ["p1"] and out[1].retrieved_context == []
     assert all(len(r.draft_reply) > 10 and r.escalation_reason for r in out)
     assert out[1].should_escalate
 

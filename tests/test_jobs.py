@@ -9,7 +9,7 @@ from ticketloom.config import CacheSettings
 from ticketloom.functions import hooks
 from ticketloom.operators.threads import turn_counter
 from ticketloom.plans.queries import QUERIES
-from ticketloom.session import scratch_path
+from ticketloom.session import scratch_path, shared_dir
 from ticketloom.sources import files
 from ticketloom.streaming import jobs
 
@@ -164,3 +164,27 @@ def test_registered_ml_queries(spark):
     fitted = out.filter("split = 'train'")
     hit = fitted.agg(F.avg((F.col("predicted") == F.col("y")).cast("int")).alias("a")).first().a
     assert hit > 0.2 and out.count() == 500
+
+
+def test_malformed_lines_are_an_error(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text('{"passage_id": "p1"}\n{"passage_id": \n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.scan_corpus_jsonl(spark, str(tmp_path)).collect()
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())

@@ -60,10 +60,11 @@ def test_long_chains_forks_and_cycles(spark):
     cycle = [("a", "u", True, "d", "t", "b"), ("b", "u", True, "d", "t", "a"), ("c", "u", True, "d", "t", "a")]
     orphan = [("z", "u", True, "d", "t", "missing")]
     df = tweets(spark, chain + fork + cycle + orphan)
-    got = {r.tweet_id: (r.root_id, r.depth) for r in threads.thread_multi_hop(df, rows_per_task=10).collect()}
-    want = {str(i): ("0", i) for i in range(70)}
-    want |= {str(i): ("0", 6) for i in range(100, 160)}
-    want["z"] = ("z", 0)
+    got = {r.tweet_id: (r.root_id, r.depth, r.cycle) for r in threads.thread_multi_hop(df, rows_per_task=10).collect()}
+    want = {str(i): ("0", i, False) for i in range(70)}
+    want |= {str(i): ("0", 6, False) for i in range(100, 160)}
+    want["z"] = ("z", 0, False)
+    want |= {x: (None, None, True) for x in "abc"}
     assert got == want
 
 
@@ -92,14 +93,25 @@ def test_running_values_cross_buckets(spark):
         state[r.k] = (total + r.w, r.w)
 
 
-def test_fragments_split_into_parts_without_loss(spark):
-    rows = [(1, i, "a" if i < 5 else "b", "x" * 10) for i in range(8)]
+def test_a_run_of_fragments_is_one_row(spark):
+    rows = [(1, i, "a" if i < 5 else "b", "x" * 15_000) for i in range(8)]
     df = spark.createDataFrame(rows, "conv long, turn long, who string, text string")
-    out = threads.merge_fragments(df, "conv", "turn", "who", "text", max_chars=25).orderBy("fragment_no", "part").collect()
-    assert [(r.fragment_no, r.who, r.n_messages) for r in out] == [
-        (1, "a", 2), (1, "a", 2), (1, "a", 1), (2, "b", 2), (2, "b", 1)
-    ]
-    assert sum(r.text.count("x") for r in out) == 80
+    out = threads.merge_fragments(df, "conv", "turn", "who", "text").orderBy("fragment_no").collect()
+    assert [(r.fragment_no, r.who, r.n_messages, r.text.count("x")) for r in out] == [(1, "a", 5, 75_000), (2, "b", 3, 45_000)]
+
+
+def test_repeated_ids_give_one_thread(spark):
+    again = tweets(spark, BASE + BASE)
+    once = tweets(spark, BASE)
+    assert threads.thread_reconstruct(again, ["Acme"]).count() == threads.thread_reconstruct(once, ["Acme"]).count() == 1
+    assert threads.thread_multi_hop(again).count() == len({r[0] for r in BASE})
+
+
+def test_turns_follow_time_not_text(spark):
+    dates = ["Fri Nov 03 10:00:00 +0000 2017", "Tue Oct 31 09:00:00 +0000 2017", "Wed Nov 01 08:00:00 +0000 2017", "2017-11-02 07:00:00", None]
+    rows = [(str(i), "u", True, d, "t", None) for i, d in enumerate(dates)]
+    out = {r.tweet_id: r.turn_no for r in threads.turn_counter(tweets(spark, rows)).collect()}
+    assert out == {"4": 1, "1": 2, "2": 3, "3": 4, "0": 5}
 
 
 def test_language_profile_and_sentiment(spark):

@@ -63,7 +63,7 @@ class RetrievalSettings:
 class CacheSettings:
     similarity_threshold: float = 0.97
     min_confidence: float = 0.90
-    max_entries: int = 20000
+    max_entries: int | None = None  # no limit
 
 
 @dataclass(frozen=True)

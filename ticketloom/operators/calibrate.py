@@ -105,15 +105,17 @@ def class_threshold_fit(
     label: str,
     n_classes: int,
     candidates: Sequence[float] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9),
-    rounds: int = 1,
+    rounds: int | None = None,
 ) -> tuple[list[float], list[float]]:
     """Per-class divisors in [0.1, 0.9] by coordinate ascent, starting from 0.5.
 
-    One aggregate per class and round; the macro F1 never falls.  Returns the
-    divisors and the F1 after each step.
+    One aggregate per class and round; the macro F1 never falls.  Rounds go on until one
+    changes nothing (or ``rounds`` are over).  Returns the divisors and the F1 after each step.
     """
     thresholds, history = [0.5] * n_classes, []
-    for _ in range(rounds):
+    before, done = None, 0
+    while thresholds != before and done != rounds:
+        before, done = list(thresholds), done + 1
         for position in range(n_classes):
             curve = class_threshold_sweep(df, probs, label, thresholds, position, candidates)
             scores = {r["candidate"]: round(r["macro_f1"], 12) for r in curve.collect()}
@@ -252,6 +254,6 @@ def cost_threshold(curve: DataFrame) -> DataFrame:
 
 
 def focal_loss(p_true: Column | str, gamma: float = 2.0, weight: Column | None = None) -> Column:
-    p = F.col(p_true) if isinstance(p_true, str) else p_true
+    p = F.greatest(F.col(p_true) if isinstance(p_true, str) else p_true, F.lit(1e-12))  # ln(0) would be null
     loss = F.pow(1.0 - p, F.lit(float(gamma))) * -F.log(p)
     return loss if weight is None else weight * loss

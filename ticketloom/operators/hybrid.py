@@ -180,17 +180,15 @@ def cache_admission(
     settings: CacheSettings = CacheSettings(),
     already: int = 0,
 ) -> DataFrame:
-    """Answers worth caching, in arrival order, up to the cache's capacity.
+    """Answers worth caching; with a capacity, the first in arrival order that still fit.
 
-    ``already`` is the number of entries the cache holds.  The cap is the cache
-    size itself: a sorted limit, not a window over all rows.
+    ``already`` is the number of entries the cache holds.
     """
-    return (
-        scored.filter(
-            ~F.col("should_escalate")
-            & ~F.col("cached")
-            & (F.col("classification_confidence") >= settings.min_confidence)
-        )
-        .orderBy(order)
-        .limit(max(0, settings.max_entries - already))
+    worth = scored.filter(
+        ~F.col("should_escalate")
+        & ~F.col("cached")
+        & (F.col("classification_confidence") >= settings.min_confidence)
     )
+    if settings.max_entries is None:
+        return worth
+    return worth.orderBy(order).limit(max(0, settings.max_entries - already))

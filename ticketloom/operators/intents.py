@@ -29,10 +29,6 @@ def intent_dim(spark: SparkSession, brands: Sequence[Brand]) -> DataFrame:
     )
 
 
-def keyword_dim(dim: DataFrame) -> DataFrame:
-    return dim.select("brand", "intent_id", "ord", F.explode("keywords").alias("keyword"))
-
-
 def rule_intent(
     text: Column | str,
     rules: Sequence[tuple[str, Sequence[str]]] = INTENT_RULES,
@@ -47,30 +43,33 @@ def rule_confidence() -> Column:
     return F.lit(RULE_CONFIDENCE)
 
 
-def validate_intent(df: DataFrame, dim: DataFrame, intent: str, first_intent: str) -> DataFrame:
-    """Replace an intent outside the taxonomy by its first intent (``valid_intent``)."""
-    known = dim.select(F.col("intent_id").alias(intent), F.lit(True).alias("_known")).distinct()
+def validate_intent(df: DataFrame, dim: DataFrame, intent: str, brand: str = "brand") -> DataFrame:
+    """Replace an intent outside its brand's taxonomy by the brand's first one (``valid_intent``)."""
+    known = dim.select(F.col("brand").alias(brand), F.col("intent_id").alias(intent), F.lit(True).alias("_known"))
+    first = dim.filter("ord = 0").select(F.col("brand").alias(brand), F.col("intent_id").alias("_first"))
     return (
-        df.join(known, intent, "left")
-        .withColumn("valid_intent", F.when(F.col("_known"), F.col(intent)).otherwise(F.lit(first_intent)))
-        .drop("_known")
+        df.join(known, [brand, intent], "left")
+        .join(first, brand, "left")
+        .withColumn("valid_intent", F.when(F.col("_known"), F.col(intent)).otherwise(F.col("_first")))
+        .drop("_known", "_first")
     )
 
 
-def with_eligibility(df: DataFrame, dim: DataFrame, intent: str) -> DataFrame:
+def with_eligibility(df: DataFrame, dim: DataFrame, intent: str, brand: str = "brand") -> DataFrame:
     """Add ``eligible`` and ``intent_name``; an unknown intent may be auto-handled."""
     looked = dim.select(
+        F.col("brand").alias(brand),
         F.col("intent_id").alias(intent),
         F.col("name").alias("intent_name"),
         F.col("auto_handle_eligible").alias("eligible"),
     )
-    return df.join(looked, intent, "left").withColumn("eligible", F.coalesce("eligible", F.lit(True)))
+    return df.join(looked, [brand, intent], "left").withColumn("eligible", F.coalesce("eligible", F.lit(True)))
 
 
-def label_index(df: DataFrame, dim: DataFrame, label: str) -> DataFrame:
-    """Add ``label_id``; an unknown label gets 0."""
-    ids = dim.select(F.col("intent_id").alias(label), F.col("ord").alias("label_id"))
-    return df.join(ids, label, "left").withColumn(
+def label_index(df: DataFrame, dim: DataFrame, label: str, brand: str = "brand") -> DataFrame:
+    """Add ``label_id``, the label's place in its brand's taxonomy; an unknown label gets 0."""
+    ids = dim.select(F.col("brand").alias(brand), F.col("intent_id").alias(label), F.col("ord").alias("label_id"))
+    return df.join(ids, [brand, label], "left").withColumn(
         "label_id", F.coalesce("label_id", F.lit(0)).cast("bigint")
     )
 
@@ -78,7 +77,7 @@ def label_index(df: DataFrame, dim: DataFrame, label: str) -> DataFrame:
 def keyword_intent_score(
     df: DataFrame, id_col: str, text_col: str, taxonomy: Sequence[tuple[str, Sequence[str]]]
 ) -> DataFrame:
-    """``(id, intent, hits)``: keywords found per intent, best intent first in list order.
+    """``(id, intent, hits)``: the intent with most keywords found, first in list order; null and 0 without any.
 
     One pass over the text, no join: the taxonomy is a fixed, short list.
     """
@@ -95,8 +94,11 @@ def keyword_intent_score(
     return (
         df.select(id_col, F.lower(text_col).alias("_t"))
         .select(id_col, F.array_max(F.array(*counts)).alias("best"))
-        .filter(F.col("best.hits") > 0)
-        .select(id_col, "best.intent", F.col("best.hits").cast("bigint").alias("hits"))
+        .select(
+            id_col,
+            F.when(F.col("best.hits") > 0, F.col("best.intent")).alias("intent"),
+            F.coalesce("best.hits", F.lit(0)).cast("bigint").alias("hits"),
+        )
     )
 
 

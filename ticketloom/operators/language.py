@@ -11,20 +11,15 @@ def token_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return X.each(df, X.words(text_col), "token", id_col)
 
 
-def learn_profile(labelled: DataFrame, lang: str, text: str, per_lang: int = 200) -> DataFrame:
-    """``(lang, token, weight)``: the most frequent tokens of each language.
-
-    Counts combine map-side; the result holds ``per_lang`` rows per language.
-    """
+def learn_profile(labelled: DataFrame, lang: str, text: str) -> DataFrame:
+    """``(lang, token, weight)``: the share of each token in its language.  Counts combine map-side."""
     counts = (
         X.each(labelled, X.words(text), "token", F.col(lang).alias("lang"))
         .groupBy("lang", "token")
         .agg(F.count("*").alias("n"))
     )
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    w = W.partitionBy("lang").orderBy(F.desc("n"), "token")
-    top = counts.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= per_lang)
-    return top.join(totals, "lang").select(
+    return counts.join(totals, "lang").select(
         "lang", "token", (F.col("n") / F.col("total")).alias("weight")
     )
 

@@ -39,7 +39,7 @@ class Bm25:
 
 @dataclass(frozen=True)
 class TfIdf:
-    max_features: int = 1000
+    max_features: int | None = None  # the commonest terms only; retrieval uses all
     min_df: int = 1
     ngrams: int = 1
     stop_words: Sequence[str] = STOP_WORDS
@@ -221,7 +221,7 @@ def with_terms(df: DataFrame, params: TfIdf) -> DataFrame:
 
 
 def tfidf_vocabulary(reps: DataFrame, params: TfIdf = TfIdf()) -> DataFrame:
-    """``(term, df, total_tf, idf)``: at most ``max_features`` rows."""
+    """``(term, df, total_tf, idf)``; only the ``max_features`` commonest terms if a number is given."""
     terms = with_terms(reps, params)
     # Summing by term straight away combines map-side; document frequencies come
     # from each text's distinct terms, so no (document, term) counts are shuffled.
@@ -234,9 +234,9 @@ def tfidf_vocabulary(reps: DataFrame, params: TfIdf = TfIdf()) -> DataFrame:
         .groupBy("term")
         .agg(F.sum("df").alias("df"), F.sum("tf").alias("total_tf"))
         .filter(F.col("df") >= params.min_df)
-        .orderBy(F.desc("total_tf"), "term")
-        .limit(params.max_features)
     )
+    if params.max_features is not None:
+        kept = kept.orderBy(F.desc("total_tf"), "term").limit(params.max_features)
     return kept.withColumn("idf", F.log((n_docs + 1) / (F.col("df") + 1)) + 1)
 
 
@@ -245,16 +245,14 @@ def tfidf_vectors(
 ) -> DataFrame:
     """Unit-norm sparse vectors ``(grp, doc, term, w)``.
 
-    The vocabulary is broadcast: its size is bounded by ``max_features``.
+    Pass a written vocabulary: its real size decides whether it is broadcast.
     """
     hits = (
         X.each(with_terms(texts.repartition("doc"), params), F.col("terms"), "term", "grp", "doc")
-        .join(F.broadcast(vocabulary.select("term", "idf")), "term")
+        .groupBy("grp", "doc", "term").agg(F.count("*").alias("tf"))
+        .join(vocabulary.select("term", "idf"), "term")
     )
-    raw = hits.groupBy("grp", "doc", "term").agg(
-        (F.count("*") * F.first("idf")).alias("raw")
-    )
-    # still spread by document: neither the count nor the norm shuffles again
+    raw = hits.select("grp", "doc", "term", (F.col("tf") * F.col("idf")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("grp", "doc")))
     return raw.select("grp", "doc", "term", (F.col("raw") / norm).alias("w"))
 

@@ -190,24 +190,18 @@ def judge_summary(scores: DataFrame, columns: Sequence[str], keys: Sequence[str]
 
 
 def variant_comparison(
-    runs: DataFrame, labels: Sequence, costs: CostSettings = CostSettings(), judged: int = 5
+    runs: DataFrame, labels: Sequence, costs: CostSettings = CostSettings()
 ) -> DataFrame:
     """One row per variant from long-form runs of all variants.
 
     ``runs``: ``(variant, example_id, true_intent, pred_intent, true_escalate,
-    pred_escalate, latency_ms, judge)``.  The judge mean uses the first few rows
+    pred_escalate, latency_ms, judge)``.  The judge mean is over all judged rows
     of a variant and falls back to 4.0.
     """
     intents = classification_metrics(runs, "true_intent", "pred_intent", labels, ["variant"])
     escalations = escalation_metrics(runs, "true_escalate", "pred_escalate", ["variant"], costs)
     latency = runs.groupBy("variant").agg(F.avg("latency_ms").alias("latency"))
-    w = W.partitionBy("variant").orderBy("example_id")
-    judge = (
-        runs.withColumn("_i", F.row_number().over(w))
-        .filter(F.col("_i") <= judged)
-        .groupBy("variant")
-        .agg(F.avg("judge").alias("judge"))
-    )
+    judge = runs.groupBy("variant").agg(F.avg("judge").alias("judge"))
     return (
         intents.select("variant", F.col("accuracy").alias("ia"), "macro_f1")
         .join(escalations, "variant")

@@ -9,18 +9,15 @@ from ticketloom.operators.sampling import shuffled_position
 from ticketloom.session import materialize
 
 
-def contrastive_pairs(corpus: DataFrame, limit: int = 15_000) -> DataFrame:
-    """The first ``limit`` (query, resolution) pairs longer than 10 characters each."""
+def contrastive_pairs(corpus: DataFrame, limit: int | None = None) -> DataFrame:
+    """All (query, resolution) pairs longer than 10 characters each; the first ``limit`` by id if one is given."""
     clean = corpus.select(
         "passage_id",
         X.normalize_text("customer_query").alias("anchor"),
         X.normalize_text("historical_resolution").alias("positive"),
     )
-    return (
-        clean.filter((F.length("anchor") > 10) & (F.length("positive") > 10))
-        .orderBy("passage_id")
-        .limit(limit)
-    )
+    long = clean.filter((F.length("anchor") > 10) & (F.length("positive") > 10))
+    return long if limit is None else long.orderBy("passage_id").limit(limit)
 
 
 def labelled_pairs(df: DataFrame, id_col: str, label: str, iterations: int = 20, seed: int = 42) -> DataFrame:

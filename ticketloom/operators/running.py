@@ -29,7 +29,8 @@ def running_count(
     carried = totals.withColumn("_carried", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
     within = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return (
-        marked.join(carried, [*keys, "_bucket"])
+        marked.withColumn("_bucket", F.coalesce(F.col("_bucket").cast("string"), F.lit("")))
+        .join(carried.withColumn("_bucket", F.coalesce(F.col("_bucket").cast("string"), F.lit(""))), [*keys, "_bucket"])
         .withColumn(out, F.col("_carried") + F.sum("_weight").over(within))
         .drop("_bucket", "_weight", "_carried")
     )

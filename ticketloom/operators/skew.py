@@ -4,21 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-_MAX_HOT_KEYS = 1000
+from ticketloom.session import materialize
 
 
 def hot_keys(df: DataFrame, key: str, rows_per_task: int) -> DataFrame:
-    """``(key, parts)`` for the most frequent keys; at most 1,000 rows.
-
-    Any key beyond the 1,000 most frequent holds under a thousandth of the rows.
-    """
+    """``(key, parts)`` for every key with more than ``rows_per_task`` rows."""
     return (
         df.filter(F.col(key).isNotNull())
         .groupBy(key)
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") > rows_per_task)
-        .orderBy(F.desc("n"), key)
-        .limit(_MAX_HOT_KEYS)
         .select(key, F.ceil(F.col("n") / rows_per_task).cast("int").alias("parts"))
     )
 
@@ -36,7 +31,8 @@ def salted_lookup(
     Rows of a frequent key are spread over several tasks by a hash of
     ``spread_by``; only the matching row of ``right`` is repeated.
     """
-    hot = F.broadcast(hot_keys(left, key, rows_per_task))
+    # written once: both sides read it, and its size decides how it is joined
+    hot = materialize(hot_keys(left, key, rows_per_task), "hot-keys")
     salted_left = (
         left.join(hot, key, "left")
         .withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.coalesce("parts", F.lit(1))).cast("int"))

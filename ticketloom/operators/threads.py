@@ -57,10 +57,12 @@ def reply_parent_join(tweets: DataFrame, brands: Sequence[str], rows_per_task: i
             F.col("text").alias("reply_text"),
         )
     )
-    parents = tweets.filter("inbound").select(
-        F.col("tweet_id").alias("parent_id"),
-        F.col("author_id").alias("customer_id"),
-        F.col("text").alias("parent_text"),
+    # a repeated id is one message: the smallest of its rows
+    parents = (
+        tweets.filter("inbound")
+        .groupBy(F.col("tweet_id").alias("parent_id"))
+        .agg(F.min(F.struct(F.col("author_id").alias("customer_id"), F.col("text").alias("parent_text"))).alias("m"))
+        .select("parent_id", "m.*")
     )
     return salted_lookup(replies, parents, "parent_id", "reply_id", "inner", rows_per_task)
 
@@ -116,6 +118,9 @@ def thread_reconstruct(
         )
         .filter(F.length("customer_query") >= 10)
     )
+    # a repeated id is one message: the smallest of its rows
+    others = [c for c in parents.columns if c != "parent_id"]
+    parents = parents.groupBy("parent_id").agg(F.min(F.struct(*others)).alias("m")).select("parent_id", "m.*")
     if english_ids is not None:
         flagged = english_ids.select(
             F.col("tweet_id").alias("parent_id"), F.lit(True).alias("detected")
@@ -181,18 +186,17 @@ def ingest_stats(threads: DataFrame, filter_applied: bool = True) -> DataFrame:
     ).withColumn("language_filter_applied", F.lit(filter_applied))
 
 
-def thread_multi_hop(
-    tweets: DataFrame, max_depth: int = 1024, rows_per_task: int = 1_000_000
-) -> DataFrame:
-    """``(tweet_id, root_id, depth)`` for reply chains of any length up to ``max_depth``.
+def thread_multi_hop(tweets: DataFrame, rows_per_task: int = 1_000_000) -> DataFrame:
+    """``(tweet_id, root_id, depth, cycle)`` for reply chains of any length.
 
     Pointers double each round, so depth d takes about log2(d) rounds.  Rows that
     reached their root leave the loop, and every round is written to the shared
-    folder, which also cuts the lineage.  Messages on a reply cycle reach no root
-    and are left out.
+    folder, which also cuts the lineage.  A round in which no row reaches a root
+    shows that no deeper one exists: what is left answers a cycle and
+    comes back with ``cycle`` set and no root.  A repeated id counts once, with its smallest pointer.
     """
-    ids = tweets.select("tweet_id", F.col("in_response_to_tweet_id").alias("ptr"))
-    known = tweets.select(F.col("tweet_id").alias("ptr"), F.lit(True).alias("known"))
+    ids = tweets.groupBy("tweet_id").agg(F.min("in_response_to_tweet_id").alias("ptr"))
+    known = ids.select(F.col("tweet_id").alias("ptr"), F.lit(True).alias("known"))
     replies = ids.filter(F.col("ptr").isNotNull())
     linked = salted_lookup(replies, known, "ptr", "tweet_id", "left", rows_per_task).select(
         "tweet_id", F.when(F.col("known"), F.col("ptr")).alias("ptr")
@@ -207,8 +211,8 @@ def thread_multi_hop(
         ),
         "hops",
     )
-    reach = 1
-    while reach < 2 * max_depth and not state.filter(~F.col("done")).isEmpty():
+    before, left = -1, state.filter(~F.col("done")).count()
+    while left and left != before:
         ahead = state.select(
             F.col("tweet_id").alias("ptr"),
             F.col("ptr").alias("next_ptr"),
@@ -220,46 +224,60 @@ def thread_multi_hop(
         ).select(
             "tweet_id",
             F.col("next_ptr").alias("ptr"),
-            (F.col("dist") + F.col("next_dist")).alias("dist"),
+            # beyond a cycle distances only grow; they are not reported
+            F.least(F.col("dist") + F.col("next_dist"), F.lit(1 << 30)).alias("dist"),
             F.col("next_done").alias("done"),
         )
         state = materialize(state.filter("done").unionByName(moved), "hops")
-        reach *= 2
-    return state.filter("done").select(
-        "tweet_id", F.col("ptr").alias("root_id"), F.col("dist").cast("long").alias("depth")
+        before, left = left, state.filter(~F.col("done")).count()
+    return state.select(
+        "tweet_id",
+        F.when(F.col("done"), F.col("ptr")).alias("root_id"),
+        F.when(F.col("done"), F.col("dist")).cast("long").alias("depth"),
+        (~F.col("done")).alias("cycle"),
     )
 
 
+# The forms in which exports state a time.
+TIME_FORMS = ("EEE MMM dd HH:mm:ss Z yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def message_time(c: str | Column) -> Column:
+    """The moment that a message's date names; dates of an unknown form are null.
+
+    Day names are left aside: the date itself decides.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    plain = F.regexp_replace(c.cast("string"), r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun) ", "")
+    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(f.removeprefix("EEE "))) for f in TIME_FORMS])
+
+
 def turn_counter(
     tweets: DataFrame, key: str = "author_id", max_turns: int = 3
 ) -> DataFrame:
-    """Customer turns so far per ``key``, and whether the turn limit is reached."""
-    customer = tweets.filter("inbound").withColumn("_ord", F.col("tweet_id").cast("long"))
-    counted = running_count(
-        customer, [key], ["created_at", "_ord"], F.substring("created_at", 1, 10), "turn_no"
+    """Customer turns so far per ``key`` in order of time, and whether the turn limit is reached.
+
+    Messages are ordered within hours; hours carry their counts, so a busy author is no single task.
+    """
+    customer = tweets.filter("inbound").withColumns(
+        {"_ord": F.col("tweet_id").cast("long"), "_time": message_time("created_at")}
     )
-    return counted.drop("_ord").withColumn("turn_trigger", F.col("turn_no") >= max_turns)
+    counted = running_count(customer, [key], ["_time", "_ord"], F.date_trunc("hour", "_time"), "turn_no")
+    return counted.drop("_ord", "_time").withColumn("turn_trigger", F.col("turn_no") >= max_turns)
 
 
-def merge_fragments(
-    messages: DataFrame, key: str, order: str, author: str, text: str, max_chars: int = 20_000
-) -> DataFrame:
-    """Join an author's consecutive messages into one.
+def merge_fragments(messages: DataFrame, key: str, order: str, author: str, text: str) -> DataFrame:
+    """Join an author's consecutive messages into one row, whatever its length.
 
-    ``(key, fragment_no, part, author, first_order, n_messages, text)``.  A run
-    longer than ``max_chars`` continues in the next ``part``, so no row grows
-    without bound and nothing is cut.
+    ``(key, fragment_no, author, first_order, n_messages, text)``.
     """
     bucket = F.floor(F.col(order) / 1000)
     linked = previous_row(messages, [key], [order], bucket, [author])
     starts = F.when(F.col(f"prev_{author}").eqNullSafe(F.col(author)), 0).otherwise(1)
     numbered = running_count(linked, [key], [order], bucket, "fragment_no", starts)
-    sized = running_count(
-        numbered, [key, "fragment_no"], [order], bucket, "_chars", F.length(text) + 1
-    ).withColumn("part", F.floor((F.col("_chars") - 1) / max_chars))
     pieces = F.array_sort(F.collect_list(F.struct(order, text)))
     return (
-        sized.groupBy(key, "fragment_no", "part")
+        numbered.groupBy(key, "fragment_no")
         .agg(
             F.first(author).alias(author),
             F.min(order).alias("first_order"),

@@ -10,7 +10,7 @@ from ticketloom import config
 from ticketloom.config import AMAZONHELP, BRANDS
 from ticketloom.functions import prompts
 from ticketloom.functions import text as X
-from ticketloom.sources.tables import LEXICON, RISK_WORDS, TAXONOMY
+from ticketloom.sources.tables import LEXICON, RISK_WORDS, TAXONOMIES, TAXONOMY
 
 ORACLES: dict[str, str] = {}
 _PARTS: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -163,9 +163,11 @@ _part(
     "intents",
     "select * from (values "
     + ", ".join(
-        f"({_lit(x.id)}, {_lit(x.name)}, {i}, {str(x.auto_handle_eligible).lower()})" for i, x in enumerate(TAXONOMY)
+        f"({_lit(b)}, {_lit(x.id)}, {_lit(x.name)}, {i}, {str(x.auto_handle_eligible).lower()})"
+        for b, own in TAXONOMIES.items()
+        for i, x in enumerate(own)
     )
-    + ") t(intent_id, name, ord, eligible)",
+    + ") t(brand, intent_id, name, ord, eligible)",
 )
 _part(
     "tickets",
@@ -290,7 +292,7 @@ def _bm25(name: str, queries: str, corpus: str, k: int) -> None:
 _STOP = "(" + ", ".join(_lit(w) for w in config.STOP_WORDS) + ")"
 
 
-def _tfidf(name: str, corpus: str, features: int, min_df: int, ngrams: int, source: str | None = None) -> None:
+def _tfidf(name: str, corpus: str, features: int | None, min_df: int, ngrams: int, source: str | None = None) -> None:
     """``name_vocab`` and ``name`` (grp, doc, term, w) of the corpus, or of ``source`` under its vocabulary."""
 
     def terms(table: str) -> str:
@@ -310,7 +312,7 @@ def _tfidf(name: str, corpus: str, features: int, min_df: int, ngrams: int, sour
         f"""
   select term, ln((1e0 + (select count(*) from {corpus})) / (1 + df)) + 1 idf from (
     select term, count(*) df, sum(tf) total from {name}_tf group by term
-    having count(*) >= {min_df} order by total desc, term limit {features})""",
+    having count(*) >= {min_df} order by total desc, term{f' limit {features}' if features else ''})""",
         f"{name}_tf",
         corpus,
     )
@@ -352,12 +354,12 @@ def _fuse(name: str, dense: str, sparse: str, k: int = 6) -> None:
 
 
 _bm25("bm", "items", "docs", 15)
-_tfidf("tfv", "docs", 1000, 1, 1, "items")
+_tfidf("tfv", "docs", None, 1, 1, "items")
 _cosine("cos", "tfv", "tfv_q", 15)
 _fuse("fused", "cos", "bm")
 _bm25("bmp", "items", "passages", 15)
 _bm25("bmt", "brand_tickets", "brand_passages", 15)
-_tfidf("tft", "brand_passages", 1000, 1, 1, "brand_tickets")
+_tfidf("tft", "brand_passages", None, 1, 1, "brand_tickets")
 _cosine("cost", "tft", "tft_q", 15)
 _fuse("fusedt", "cost", "bmt")
 
@@ -476,9 +478,7 @@ _part(
     f"""
   with t as (select doc_id, lang, unnest(regexp_extract_all(lower(text), '{_WORDS}')) token from documents),
   c as (select lang, token, count(*) n from t group by lang, token),
-  p as (select lang, token, n / cast(total as double) weight from (
-          select *, sum(n) over (partition by lang) total, row_number() over (partition by lang order by n desc, token) i from c)
-        where i <= 200),
+  p as (select lang, token, n / cast(sum(n) over (partition by lang) as double) weight from c),
   s as (select t.doc_id, p.lang, round(sum(weight), 9) score from t join p on t.token = p.token group by t.doc_id, p.lang)
   select doc_id, lang detected from (select *, row_number() over (partition by doc_id order by score desc, lang) i from s)
   where i = 1""",
@@ -526,23 +526,24 @@ _oracle(
 )
 _oracle(
     "intent_validate",
-    "select ticket_id, predicted_intent, coalesce(i.intent_id, 'topic_thing') valid_intent "
-    "from tickets left join intents i on predicted_intent = i.intent_id",
+    "select ticket_id, predicted_intent, coalesce(i.intent_id, f.intent_id) valid_intent "
+    "from tickets t left join intents i on predicted_intent = i.intent_id and t.brand = i.brand "
+    "left join intents f on f.ord = 0 and t.brand = f.brand",
     "tickets",
     "intents",
 )
 _oracle(
     "keyword_intent_score",
-    """select doc_id, intent, cast(hits as bigint) hits from (
+    """select doc_id, case when hits > 0 then intent0 end intent, cast(hits as bigint) hits from (
   select *, row_number() over (partition by doc_id order by hits desc, o) i from (
     """
     + " union all ".join(
-        f"select doc_id, {i} o, {_lit(intent)} intent, "
+        f"select doc_id, {i} o, {_lit(intent)} intent0, "
         + " + ".join(f"cast(contains(lower(text), {_lit(k)}) as int)" for k in keys)
         + " hits from documents"
         for i, (intent, keys) in enumerate(RULES)
     )
-    + ") where hits > 0) where i = 1",
+    + ")) where i = 1",
 )
 _oracle(
     "softmax_temperature",
@@ -638,7 +639,7 @@ _oracle(
         _lit('"\nSources:\n'),
         f"coalesce(c.context_text, {_lit(prompts.NO_SOURCES)})",
         _lit('\nReply: "'),
-        _classify("text"),
+        _lit(config.OFFLINE_DRAFT),
         "'\"'",
     )
     + " judge_prompt from benchmark left join item_contexts c on item_id = c.q",
@@ -665,21 +666,33 @@ _oracle(
 
 _oracle("reply_parent_join", "select * from joined", "joined")
 _oracle("thread_reconstruct", "select * from threads", "threads")
+_part(
+    "looped",
+    """
+  select tweet_id, case when cast(tweet_id as bigint) % 1000 = 0 and cast(tweet_id as bigint) // 1000 % 50 = 1
+                        then cast(cast(tweet_id as bigint) + 1 as varchar) else in_response_to_tweet_id end ptr from tweets""",
+    "tweets",
+)
 _part(
     "hops",
     """
-  select t.tweet_id, t.tweet_id root_id, cast(0 as bigint) depth from tweets t
-  where t.in_response_to_tweet_id is null or t.in_response_to_tweet_id not in (select tweet_id from tweets)
+  select t.tweet_id, t.tweet_id root_id, cast(0 as bigint) depth from looped t
+  where t.ptr is null or t.ptr not in (select tweet_id from looped)
   union all
-  select t.tweet_id, h.root_id, h.depth + 1 from tweets t join hops h on t.in_response_to_tweet_id = h.tweet_id""",
-    "tweets",
+  select t.tweet_id, h.root_id, h.depth + 1 from looped t join hops h on t.ptr = h.tweet_id""",
+    "looped",
+)
+_oracle(
+    "thread_multi_hop",
+    """select tweet_id, root_id, depth, false "cycle" from hops
+  union all select tweet_id, null, null, true from looped where tweet_id not in (select tweet_id from hops)""",
+    "hops",
 )
-_oracle("thread_multi_hop", "select * from hops", "hops")
 ORACLES["thread_multi_hop"] = ORACLES["thread_multi_hop"].replace("hops as materialized (", "hops as (")
 _part(
     "eligibility",
     "select t.*, i.name intent_name, coalesce(i.eligible, true) eligible, coalesce(i.ord, 0) ord "
-    "from tickets t left join intents i on t.predicted_intent = i.intent_id",
+    "from tickets t left join intents i on t.predicted_intent = i.intent_id and t.brand = i.brand",
     "tickets",
     "intents",
 )
@@ -958,7 +971,7 @@ _oracle(
 )
 _oracle(
     "focal_loss",
-    "select y, round(avg(pow(1 - p_true, 2) * -ln(p_true)), 6) focal_loss, count(*) n from predictions group by y",
+    "select y, round(avg(pow(1 - p_true, 2) * -ln(greatest(p_true, 1e-12))), 6) focal_loss, count(*) n from predictions group by y",
     "predictions",
 )
 _part(
@@ -986,7 +999,7 @@ _oracle(
   round(l.latency, 1) avg_latency_ms, round(l.judge, 2) judge_faithfulness
   from run_counts c
   join (select key, max(same) / max(cast(n as double)) acc, avg({_F1}) f1 from run_scores group by key) s on s.key = c.key
-  join (select variant, avg(latency) latency, avg(judge) filter (where i <= 5) judge from runs group by variant) l
+  join (select variant, avg(latency) latency, avg(judge) judge from runs group by variant) l
     on l.variant = c.key""",
     "run_counts",
     "run_scores",
@@ -1061,11 +1074,10 @@ _oracle(
     "fragment_merge",
     """with a as (select *, case when (turn // 2) % 2 = 0 then 'a' else 'b' end author from conversations),
   l as (select *, case when author = lag(author) over (partition by conv_id order by turn) then 0 else 1 end st from a),
-  f as (select *, sum(st) over (partition by conv_id order by turn) fragment_no from l),
-  s as (select *, (sum(length(text) + 1) over (partition by conv_id, fragment_no order by turn) - 1) // 20000 part from f)
-  select conv_id, cast(fragment_no as bigint) fragment_no, cast(part as bigint) part, any_value(author) author,
+  f as (select *, sum(st) over (partition by conv_id order by turn) fragment_no from l)
+  select conv_id, cast(fragment_no as bigint) fragment_no, any_value(author) author,
          min(turn) first_order, count(*) n_messages, string_agg(text, chr(10) order by turn) text
-  from s group by conv_id, fragment_no, part""",
+  from f group by conv_id, fragment_no""",
 )
 
 # ------------------------------------------------------- samples, splits, sets
@@ -1099,19 +1111,20 @@ _oracle("escalation_tier_counts", "select tier, risk_level, count(*) n from deci
 _part(
     "golden",
     f"""
-  with s as (select *, row_number() over (order by md5('42:' || thread_id), thread_id) n from threads),
+  with s as (select *, row_number() over (partition by brand order by md5('42:' || thread_id), thread_id) n from threads),
   c as (select s.*, {_classify('customer_query')} raw_intent, sentiment from s join thread_sentiment t on s.thread_id = t.thread_id
         where n <= 200),
-  v as (select c.*, coalesce(i.intent_id, 'topic_thing') intent, coalesce(i.eligible, true) eligible
-        from c left join intents i on c.raw_intent = i.intent_id),
+  v as (select c.*, coalesce(i.intent_id, f.intent_id) intent, coalesce(i.eligible, true) eligible
+        from c left join intents i on c.raw_intent = i.intent_id and c.brand = i.brand
+        left join intents f on f.ord = 0 and c.brand = f.brand),
   k as (select * replace (coalesce(j.eligible, true) as eligible), {_any('customer_query', RISK_WORDS)} risky
-        from v left join (select intent_id, eligible from intents) j on v.intent = j.intent_id)
+        from v left join (select brand, intent_id, eligible from intents) j on v.intent = j.intent_id and v.brand = j.brand)
   select *, not eligible or risky or sentiment < -0.45e0 esc,
     case when not eligible then 'Intent ''' || intent || ''' requires human agent intervention per security policy.'
          when risky then 'Customer query contains high-risk legal/security escalation triggers.'
          when sentiment < -0.45e0 then 'Severe customer dissatisfaction detected (Sentiment: ' || printf('%.2f', sentiment) || ').'
          else 'Standard customer issue eligible for automated resolution.' end why,
-    'sample_gold_' || lpad(cast(n as varchar), 4, '0') example_id from k""".replace(
+    lower(brand) || '_gold_' || lpad(cast(n as varchar), 4, '0') example_id from k""".replace(
         "select * replace (coalesce(j.eligible, true) as eligible), ", "select v.* exclude (eligible), coalesce(j.eligible, true) eligible, "
     ),
     "threads",
@@ -1120,21 +1133,21 @@ _part(
 )
 _oracle(
     "golden_label",
-    """select example_id, 'Sample' brand, customer_query, intent ground_truth_intent, esc ground_truth_escalate,
+    """select example_id, brand, customer_query, intent ground_truth_intent, esc ground_truth_escalate,
   why escalation_rationale, true verified_by_human, round(sentiment, 6) sentiment_score,
   'Verified via LLM pre-label + deterministic rule audit' notes from golden""",
     "golden",
 )
 _oracle(
     "golden_prelabels",
-    """select example_id, 'Sample' brand, customer_query, raw_intent llm_predicted_intent, 0.85e0 llm_confidence,
+    """select example_id, brand, customer_query, raw_intent llm_predicted_intent, 0.85e0 llm_confidence,
   'Keyword matched customer intent.' llm_reasoning, esc rule_escalate, round(sentiment, 6) sentiment_score from golden""",
     "golden",
 )
 _oracle("reuse_or_build", "select example_id, intent ground_truth_intent, esc ground_truth_escalate from golden", "golden")
 _oracle(
     "cache_admission",
-    "select ticket_id, predicted_intent from decided where not should_escalate and confidence >= 0.80e0 order by ticket_id limit 20000",
+    "select ticket_id, predicted_intent from decided where not should_escalate and confidence >= 0.80e0",
     "decided",
 )
 _oracle(
@@ -1146,19 +1159,20 @@ _oracle(
 )
 _part("faq", f"select * from threads where {_classify(_norm('customer_query'))} = 'topic_thing'", "threads")
 _collection("faq_texts", "faq", "thread_id", "customer_query", "brand", "faq")
-_tfidf("tff", "faq_texts", 1000, 1, 1, "brand_tickets")
+_tfidf("tff", "faq_texts", None, 1, 1, "brand_tickets")
 _cosine("cosf", "tff", "tff_q", 1)
 _part("faq_hits", "select q, doc from cosf where score >= 0.97e0", "cosf")
 _part(
     "open_tickets",
     f"""
   with c as (select t.*, {_classify(_norm('customer_query'))} raw from threads t where thread_id not in (select q from faq_hits)),
-  v as (select c.*, coalesce(i.intent_id, 'topic_other') intent from c left join intents i on c.raw = i.intent_id),
+  v as (select c.*, coalesce(i.intent_id, f.intent_id) intent from c
+        left join intents i on c.raw = i.intent_id and c.brand = i.brand left join intents f on f.ord = 0 and c.brand = f.brand),
   r as (select q, max(similarity_score) filter (where "rank" = 1) sim, string_agg(doc, ',' order by "rank") contexts
         from contexts group by q)
   select v.thread_id, v.brand, v.customer_query query, v.intent, i.name intent_name, i.eligible, s.sentiment, 1 turn_count,
          0.85e0 confidence, coalesce(r.sim, 0.5e0) rag_similarity, coalesce(r.contexts, '') contexts
-  from v join intents i on v.intent = i.intent_id join thread_sentiment s on s.thread_id = v.thread_id
+  from v join intents i on v.intent = i.intent_id and v.brand = i.brand join thread_sentiment s on s.thread_id = v.thread_id
   left join r on r.q = v.thread_id""",
     "threads",
     "faq_hits",
@@ -1203,7 +1217,7 @@ _oracle(
     "contrastive_pairs",
     f"""select 'passage_' || thread_id passage_id, customer_query anchor, agent_reply positive from (
   select thread_id, {_norm('customer_query')} customer_query, {_norm('agent_reply')} agent_reply from threads)
-  where length(customer_query) > 10 and length(agent_reply) > 10 order by 1 limit 15000""",
+  where length(customer_query) > 10 and length(agent_reply) > 10""",
     "threads",
 )
 _oracle(
@@ -1223,16 +1237,17 @@ _oracle(
 
 _oracle(
     "stream_score",
-    f"""select doc_id ticket_id, coalesce(i.intent_id, 'topic_other') predicted_intent, kw risk_keyword,
-  not coalesce(i.eligible, true) or kw is not null should_escalate
-  from (select doc_id, {_classify(_norm('text'))} raw, {_first(_norm('text'), RISK_WORDS)} kw from documents)
-  left join intents i on raw = i.intent_id""",
+    f"""select doc_id ticket_id, coalesce(i.intent_id, f.intent_id) predicted_intent, kw risk_keyword,
+  not coalesce(i.eligible, f.eligible) or kw is not null should_escalate
+  from (select doc_id, 'Brand' || (doc_id % 3) brand, {_classify(_norm('text'))} raw, {_first(_norm('text'), RISK_WORDS)} kw
+        from documents) d
+  left join intents i on raw = i.intent_id and d.brand = i.brand left join intents f on f.ord = 0 and d.brand = f.brand""",
     "intents",
 )
 _oracle(
     "stream_cache",
     """select vec_id id, 'intent_' || label intent from embeddings
-  where label <> 4 and (vec_id * 37 % 51) / 100e0 + 0.5e0 >= 0.80e0 order by vec_id limit 20000""",
+  where label <> 4 and (vec_id * 37 % 51) / 100e0 + 0.5e0 >= 0.80e0""",
 )
 _oracle(
     "stream_thread_join",

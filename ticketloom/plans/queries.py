@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ticketloom import config
-from ticketloom.config import AMAZONHELP, BRANDS, CacheSettings, EscalationSettings, RetrievalSettings
+from ticketloom.config import AMAZONHELP, BRANDS, OFFLINE_DRAFT, CacheSettings, EscalationSettings, RetrievalSettings
 from ticketloom.functions import probability as P, prompts, text as X
 from ticketloom.operators import (
     calibrate, dense, hybrid, intents, language, lexical, metrics, pairs, policy, sampling, taxonomy, threads,
@@ -360,7 +362,7 @@ def intent_rule_cascade(t):
 
 @query
 def intent_validate(t):
-    return intents.validate_intent(t.tickets, t.intents, "predicted_intent", TAXONOMY[0].id).select(
+    return intents.validate_intent(t.tickets, t.intents, "predicted_intent").select(
         "ticket_id", "predicted_intent", "valid_intent"
     )
 
@@ -417,13 +419,13 @@ def prompt_table(t):
     contexts = prompts.context_text(_item_contexts(t), "q", "rank", prompts.NO_CONTEXT)
     items = t.benchmark.join(contexts.withColumnRenamed("q", "item_id"), "item_id", "left").withColumn(
         "intent", classify(F.col("text"))
-    )
+    ).withColumn("reply", F.lit(OFFLINE_DRAFT))
     return items.select(
         "item_id",
         prompts.classifier_prompt(AMAZONHELP, "text").alias("classifier_prompt"),
         prompts.annotator_prompt(AMAZONHELP, "text").alias("annotator_prompt"),
         prompts.draft_prompt(AMAZONHELP, "text", "intent", "context_text").alias("draft_prompt"),
-        prompts.judge_prompt("AmazonHelp", "text", "intent", "context_text").alias("judge_prompt"),
+        prompts.judge_prompt("AmazonHelp", "text", "reply", "context_text").alias("judge_prompt"),
     )
 
 
@@ -461,7 +463,11 @@ def thread_reconstruct(t):
 
 @query
 def thread_multi_hop(t):
-    return threads.thread_multi_hop(t.tweets)
+    # in every fiftieth conversation the first message answers the second: a reply cycle
+    number = F.col("tweet_id").cast("long")
+    first = (number % 1000 == 0) & (F.floor(number / 1000) % 50 == 1)
+    pointer = F.when(first, (number + 1).cast("string")).otherwise(F.col("in_response_to_tweet_id"))
+    return threads.thread_multi_hop(t.tweets.withColumn("in_response_to_tweet_id", pointer))
 
 
 @query
@@ -787,7 +793,11 @@ def mmr_select(t):
 
 @query
 def turn_counter(t):
-    return threads.turn_counter(t.tweets).select("tweet_id", "author_id", "turn_no", "turn_trigger")
+    # the dates as exports write them, in which text order is not time order
+    dated = t.tweets.withColumn(
+        "created_at", F.date_format(F.to_timestamp("created_at"), "EEE MMM dd HH:mm:ss '+0000' yyyy")
+    )
+    return threads.turn_counter(dated).select("tweet_id", "author_id", "turn_no", "turn_trigger")
 
 
 @query
@@ -796,7 +806,7 @@ def fragment_merge(t):
     # two neighbouring turns of a block count as one author's fragments
     spoken = spoken.withColumn("author", F.when(F.col("block") % 2 == 0, "a").otherwise("b"))
     return threads.merge_fragments(spoken, "conv_id", "turn", "author", "text").select(
-        "conv_id", "fragment_no", "part", "author", "first_order", "n_messages", "text"
+        "conv_id", "fragment_no", "author", "first_order", "n_messages", "text"
     )
 
 
@@ -873,9 +883,14 @@ def escalation_tier_counts(t):
 
 
 def golden(t: Tables) -> DataFrame:
-    return scoring.curate_golden(
-        threads.openings_of(threads_of(t)), "Sample", t.intents, t.lexicon, classify, TAXONOMY[0].id, 200, RISK_WORDS
-    )
+    threaded = stored_threads(t)
+    parts = [
+        scoring.curate_golden(
+            threads.openings_of(threaded.filter(F.col("brand") == b)), b, t.intents, t.lexicon, classify, 200, RISK_WORDS
+        )
+        for b in SAMPLE_BRANDS
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
@@ -922,14 +937,14 @@ def scored(t: Tables) -> DataFrame:
         )
     )
     return scoring.score_tickets(
-        tickets_of(threaded), threads.corpus_of(threaded), t.intents, t.lexicon, classify, "topic_other", cache, RISK_WORDS
+        tickets_of(threaded), threads.corpus_of(threaded), t.intents, t.lexicon, classify, cache, RISK_WORDS
     )
 
 
 @query
 def score_tickets(t):
     contexts = F.transform("retrieved_context", lambda c: c["passage_id"])
-    return scored(t).withColumn("contexts", F.coalesce(F.array_join(contexts, ","), F.lit(""))).drop(
+    return scored(t).withColumn("contexts", F.array_join(contexts, ",")).drop(
         "retrieved_context", "query"
     )
 
@@ -1007,8 +1022,12 @@ def _run(t: Tables, stream: DataFrame, mode: str = "append") -> DataFrame:
 
 @query
 def stream_score(t):
-    arriving = _stream(t, "documents").select(F.col("doc_id").alias("ticket_id"), F.col("text").alias("query"))
-    out = jobs.score_stream(arriving, t.intents, classify, RISK_WORDS, "topic_other")
+    arriving = _stream(t, "documents").select(
+        F.col("doc_id").alias("ticket_id"),
+        F.concat(F.lit("Brand"), (F.col("doc_id") % 3).cast("string")).alias("brand"),
+        F.col("text").alias("query"),
+    )
+    out = jobs.score_stream(arriving, t.intents, classify, RISK_WORDS)
     return _run(t, out.select("ticket_id", "predicted_intent", "risk_keyword", "should_escalate"))
 
 

@@ -115,7 +115,6 @@ def score_tickets(
     intents: DataFrame,
     lexicon: DataFrame,
     classify: Callable[[Column], Column],
-    first_intent: str,
     cache: DataFrame | None = None,
     keywords: Sequence[str] = RISK_KEYWORDS,
     policy: EscalationSettings = EscalationSettings(),
@@ -137,13 +136,14 @@ def score_tickets(
 
     contexts = nest_contexts(retrieve_contexts(open_tickets, corpus, retrieval, scorer))
     classified = open_tickets.withColumn("_raw", classify(X.normalize_text("query")))
-    valid = validate_intent(classified, intents, "_raw", first_intent).drop("_raw")
+    valid = validate_intent(classified, intents, "_raw").drop("_raw")
     ready = (
         with_eligibility(
             valid.withColumnRenamed("valid_intent", "predicted_intent"), intents, "predicted_intent"
         )
         .join(contexts, "ticket_id", "left")
         .withColumn("rag_similarity", top_similarity("first_similarity"))
+        .withColumn("retrieved_context", F.coalesce("retrieved_context", F.array()))
         .withColumn("confidence", F.lit(RULE_CONFIDENCE))
     )
     decided = escalation_policy(
@@ -160,7 +160,7 @@ def score_tickets(
     if hits is None:
         return scored
     answered = tickets.join(hits, "ticket_id").withColumn(
-        "retrieved_context", F.lit(None).cast(scored.schema["retrieved_context"].dataType)
+        "retrieved_context", F.array().cast(scored.schema["retrieved_context"].dataType)
     )
     return scored.unionByName(answered.select(*SCORED_COLUMNS))
 
@@ -171,7 +171,6 @@ def curate_golden(
     intents: DataFrame,
     lexicon: DataFrame,
     classify: Callable[[Column], Column],
-    first_intent: str,
     sample_size: int = 200,
     keywords: Sequence[str] | None = None,
 ) -> DataFrame:
@@ -183,10 +182,10 @@ def curate_golden(
 
     sampled = seeded_sample(openings, "thread_id", sample_size)
     number = F.row_number().over(W.orderBy(X.stable_order("thread_id"), "thread_id"))
-    numbered = sampled.withColumn(
+    numbered = sampled.withColumn("brand", F.lit(brand)).withColumn(
         "example_id", F.concat(F.lit(f"{brand.lower()}_gold_"), F.lpad(number.cast("string"), 4, "0"))
     ).withColumn("llm_predicted_intent", classify(F.col("customer_query")))
-    valid = validate_intent(numbered, intents, "llm_predicted_intent", first_intent)
+    valid = validate_intent(numbered, intents, "llm_predicted_intent")
     ready = with_sentiment(
         with_eligibility(
             valid.withColumnRenamed("valid_intent", "ground_truth_intent"), intents, "ground_truth_intent"
@@ -195,8 +194,7 @@ def curate_golden(
         "customer_query",
         lexicon,
     )
-    labelled = golden_label(ready, "customer_query", **({"keywords": keywords} if keywords else {}))
-    return labelled.withColumn("brand", F.lit(brand))
+    return golden_label(ready, "customer_query", **({"keywords": keywords} if keywords else {}))
 
 
 def golden_of(curated: DataFrame) -> DataFrame:

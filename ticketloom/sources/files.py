@@ -25,6 +25,7 @@ def scan_tweets_csv(spark: SparkSession, path: str) -> DataFrame:
         .option("header", True)
         .option("multiLine", True)
         .option("escape", '"')
+        .option("mode", "FAILFAST")
         .csv(path)
     )
     return raw.withColumn("inbound", parse_inbound("inbound"))
@@ -35,8 +36,8 @@ def convert_tweets(spark: SparkSession, csv_path: str, parquet_path: str, mode:
 
 
 def scan_corpus_jsonl(spark: SparkSession, path: str, max_passages: int | None = None) -> DataFrame:
-    """Passages, one JSON object per line; blank lines are skipped."""
-    df = spark.read.schema(schemas.CORPUS).json(path).filter(F.col("passage_id").isNotNull())
+    """Passages, one JSON object per line; blank lines are skipped, a malformed line is an error."""
+    df = spark.read.schema(schemas.CORPUS).option("mode", "FAILFAST").json(path).filter(F.col("passage_id").isNotNull())
     return df.orderBy("passage_id").limit(max_passages) if max_passages else df
 
 

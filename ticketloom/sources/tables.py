@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -22,6 +23,12 @@ TAXONOMY = (
     Intent("topic_abuse", "Abuse and grievance", "", ("idiot", "trash", "scum", "moron"), False),
     Intent("topic_other", "Everything else", "", ()),
 )
+# Brands differ: one handles fewer intents by itself, one lacks the first.
+TAXONOMIES = {
+    "Brand0": TAXONOMY,
+    "Brand1": tuple(replace(x, auto_handle_eligible=x.auto_handle_eligible and x.id != "topic_er") for x in TAXONOMY),
+    "Brand2": TAXONOMY[1:],
+}
 RISK_WORDS = ("idiot", "trash", "scum", "worthless")
 LEXICON = (
     ("idiot", -2.3), ("trash", -1.8), ("clown", -1.2), ("scum", -2.8), ("worthless", -1.9),
@@ -118,9 +125,9 @@ class Tables:
 
     @cached_property
     def intents(self) -> DataFrame:
-        rows = [(x.id, x.name, i, x.auto_handle_eligible) for i, x in enumerate(TAXONOMY)]
+        rows = [(b, x.id, x.name, i, x.auto_handle_eligible) for b, own in TAXONOMIES.items() for i, x in enumerate(own)]
         return literal_table(
-            self.spark, rows, "intent_id string, name string, ord int, auto_handle_eligible boolean"
+            self.spark, rows, "brand string, intent_id string, name string, ord int, auto_handle_eligible boolean"
         )
 
     @cached_property

@@ -47,7 +47,7 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
 
 
 def score_stream(
-    tickets: DataFrame, intents: DataFrame, classify: Callable, keywords, first_intent: str
+    tickets: DataFrame, intents: DataFrame, classify: Callable, keywords
 ) -> DataFrame:
     """Stateless part of ticket scoring: intent, eligibility, keyword trigger."""
     from ticketloom.operators.intents import validate_intent, with_eligibility
@@ -56,7 +56,7 @@ def score_stream(
     classified = tickets.withColumn("_raw", classify(text)).withColumn(
         "risk_keyword", X.keyword_first(text, keywords)
     )
-    valid = validate_intent(classified, intents, "_raw", first_intent).drop("_raw")
+    valid = validate_intent(classified, intents, "_raw").drop("_raw")
     named = with_eligibility(
         valid.withColumnRenamed("valid_intent", "predicted_intent"), intents, "predicted_intent"
     )
