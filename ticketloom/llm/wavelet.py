@@ -17,13 +17,13 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 import zlib
 from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -46,7 +46,7 @@ class WaveletMatrix:
         a = np.ascontiguousarray(ids, np.uint32 if bits > 16 else np.uint16)
         planes, counts, zeros = [], [], []
         for b in reversed(range(bits)):
-            one = (a >> a.dtype.type(b)) & a.dtype.type(1) != 0
+            one = (a & a.dtype.type(1 << b)) != 0
             packed = np.packbits(one, bitorder="little")
             planes.append(packed)
             counts.append(cls._directory(packed))
@@ -177,12 +177,8 @@ class ShardFile:
         return WaveletMatrix(self.n, planes, counts, self.head["zeros"])
 
 
-_BREAK = re.compile(r"(?<=[!-~À-ÿ]) (?=[!-~À-ÿ])")
-# Fixed value: the pattern by which byte-level tokenizers of this kind cut a text into words.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _LATIN = re.compile(r"[\x00-\u024f]*")
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-_KNOWN = 200_000  # pieces, and words, that a worker remembers
+_KNOWN = 400_000  # words that a worker remembers
 _JOINED = 20_000  # letters in one call of the library's model
 
 
@@ -195,15 +191,34 @@ def _byte_letters() -> list[str]:
 
 _SHOWN = _byte_letters()
 _LETTERS = dict(enumerate(_SHOWN))
+_BYTES = {c: b for b, c in enumerate(_SHOWN)}
+
+
+def _words_of_latin() -> re.Pattern:
+    """How byte-level tokenizers of this kind cut a text into words, for characters below U+0250.
+
+    Contractions, then letters, digits or other signs, each with a space before it, then white space, of
+    which the last character is left to the word that follows.
+    """
+    def kind(test):
+        return "".join(re.escape(chr(c)) for c in range(0x250) if test(unicodedata.category(chr(c))[0], chr(c)))
+
+    letter, digit, space = kind(lambda k, c: k == "L"), kind(lambda k, c: k == "N"), kind(lambda k, c: c.isspace() and not "\x1c" <= c <= "\x1f")
+    return re.compile(
+        rf"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{digit}]+| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+"
+    )
+
+
+_WORDS = _words_of_latin()
 
 
 class Encoder:
     """Ids of texts by a tokenizer file, as little-endian numbers; every id comes from the tokenizers library.
 
-    A text is cut before single spaces between two visible characters, where a byte-level
-    tokenizer always starts a new word; pieces, and words within them, are encoded once while they are
+    A byte-level tokenizer encodes each word of a text by itself, so words are encoded once while they are
     remembered.  New words go to the library's model many at a time, with a byte between them that no merge of
-    the vocabulary holds.  Texts that hold an added token's string, and tokenizers of another kind, are encoded whole.
+    the vocabulary holds.  Texts with characters beyond Latin are cut into words by the library; texts that hold
+    an added token's string, and tokenizers of another kind, are encoded whole.
     """
 
     def __init__(self, path: str, end: int = END):
@@ -217,7 +232,7 @@ class Encoder:
         letters = set().union(*(t for t in spec["model"].get("vocab", {}) if len(t) > 1)) if spec["model"].get("type") == "BPE" else set()
         # bytes that UTF-8 never has; one that is a token by itself and in no other
         free = [_SHOWN[b] for b in range(0xF5, 0x100) if _SHOWN[b] not in letters and self.tokenizer.token_to_id(_SHOWN[b]) is not None]
-        self.by_piece = (
+        self.by_word = (
             before.get("type") == "ByteLevel" and before.get("use_regex", True) and bool(letters and free)
             and not before.get("add_prefix_space") and not spec.get("normalizer")
             and not spec["model"].get("ignore_merges") and not spec["model"].get("dropout")
@@ -226,65 +241,46 @@ class Encoder:
         most = max(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end)
         self.bits, self.kind = most.bit_length(), np.dtype("<u2" if most < 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
-    def _learn_words(self, new: list[str]) -> None:
-        """Encode words, given in the library's byte letters."""
+    def _learn(self, new: list[str], shown: list[str]) -> None:
+        """Encode words, given also in the library's byte letters."""
         stop, code = self.tokenizer.token_to_id(self.between), "H" if self.kind.itemsize == 2 else "I"
         at = 0
         while at < len(new):
-            some, n = [], 0
-            while at < len(new) and n < _JOINED:
-                some.append(new[at])
-                n += len(new[at])
-                at += 1
-            ids = [t.id for t in self.tokenizer.model.tokenize(self.between.join(some))]
+            last, n = at, 0
+            while last < len(new) and n < _JOINED:
+                n += len(shown[last])
+                last += 1
+            ids = array(code, [t.id for t in self.tokenizer.model.tokenize(self.between.join(shown[at:last]))])
+            ids.append(stop)
             start = 0
-            for w in some:
-                try:
-                    cut = ids.index(stop, start)
-                except ValueError:
-                    cut = len(ids)
-                self.words[w] = array(code, ids[start:cut]).tobytes()
+            for w in new[at:last]:
+                cut = ids.index(stop, start)
+                self.words[w] = ids[start:cut].tobytes()
                 start = cut + 1
-
-    def _shown(self, piece: str) -> list[str]:
-        """The words of a piece in byte letters."""
-        if plain := _PLAIN.fullmatch(piece):
-            words = plain.groups() if plain[2] else (plain[1],)
-        elif _LATIN.fullmatch(piece):
-            words = _WORDS.findall(piece)
-        else:  # the library's own tables say what a letter is
-            return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
-        return [w.encode().decode("latin-1").translate(_LETTERS) for w in words]
-
-    def _learn(self, new: list[str]) -> None:
-        shown = [self._shown(p) for p in new]
-        if len(self.words) > _KNOWN:
-            self.words.clear()
-        self._learn_words(list({w for p in shown for w in p if w not in self.words}))
-        for p, words in zip(new, shown):
-            self.pieces[p] = b"".join([self.words[w] for w in words])
+            at = last
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
         cut = []
         for i, t in enumerate(texts):
-            if not self.by_piece or any(a in t for a in self.added):
+            if not self.by_word or any(a in t for a in self.added):
                 out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind)
+            elif _LATIN.fullmatch(t):
+                cut.append((i, _WORDS.findall(t)))
             else:
-                # what follows a cut starts with the space that the cut took
-                first, *rest = _BREAK.split(t)
-                cut.append((i, [first, *[" " + x for x in rest]]))
+                shown = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(t)]
+                cut.append((i, [bytes(map(_BYTES.__getitem__, w)).decode("utf-8") for w in shown]))
         for at in range(0, len(cut), 256):
             some = cut[at : at + 256]
-            new = set().union(*(p for _, p in some)) - self.pieces.keys()
-            if len(self.pieces) + len(new) > _KNOWN:
-                self.pieces.clear()
-                new = set().union(*(p for _, p in some))
-            self._learn(list(new))
-            for i, pieces in some:
-                out[i] = np.frombuffer(b"".join(map(self.pieces.__getitem__, pieces)), self.kind)
+            new = set().union(*(w for _, w in some)) - self.words.keys()
+            if len(self.words) + len(new) > _KNOWN:
+                self.words.clear()
+                new = set().union(*(w for _, w in some))
+            new = list(new)
+            self._learn(new, [w.encode().decode("latin-1").translate(_LETTERS) for w in new])
+            for i, words in some:
+                out[i] = np.frombuffer(b"".join(map(self.words.__getitem__, words)), self.kind)
         return out
 
 
