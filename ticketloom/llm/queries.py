@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ticketloom.llm import decontaminate, language_id, mixing, neighbours, secret_scan, simhash, suffix_dedup, toxicity, warc, wavelet
 from ticketloom.llm.common import table
+from ticketloom.llm.oracles import ORACLES  # noqa: F401
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -67,5 +68,3 @@ QUERIES = {
         op7_simhash_components, op8_toxicity, op9_suffix_dedup, op10_token_shards,
     )
 }
-
-ORACLES: dict[str, str] = {}
