@@ -7,6 +7,7 @@ from pyspark.sql import functions as F, types as T
 
 from ticketloom.config import CacheSettings
 from ticketloom.functions import hooks
+from ticketloom.operators import language, lexical
 from ticketloom.operators.threads import turn_counter
 from ticketloom.plans.queries import QUERIES
 from ticketloom.session import scratch_path, shared_dir
@@ -119,6 +120,29 @@ def test_params_defaults_and_index_check(spark):
         files.load_index(spark, path)
 
 
+def test_a_stored_index_is_searched_as_a_fresh_one(spark):
+    docs = spark.createDataFrame(
+        [("", i, t) for i, t in enumerate(["parcel late today", "late refund form", "parcel late today", "form driver wallet", "battery"])], "grp string, doc long, text string"
+    )
+    asked = spark.createDataFrame([("", 0, "late refund"), ("", 1, "wallet battery drain")], "grp string, doc long, text string")
+    fresh, path = lexical.build_index(docs, 3), scratch_path(spark, "index")
+    files.sink_index(path, docs, docs, fresh)
+    loaded = files.load_index(spark, path)["text"]
+    for search in (lexical.bm25_search, lexical.cosine_search):
+        want = sorted(map(tuple, search(asked, fresh, 3).collect()))
+        assert want and sorted(map(tuple, search(asked, loaded, 3).collect())) == want
+
+
+def test_sentiment_moves_no_text(spark):
+    docs = spark.createDataFrame([(1, "good good bad"), (2, "nothing"), (3, None)], "id long, text string")
+    lexicon = spark.createDataFrame([("good", 1.0), ("bad", -3.0), ("bad", 0.5)], "word string, valence double")
+    out = language.with_sentiment(docs, "id", "text", lexicon)
+    assert {r.id: round(r.sentiment, 6) for r in out.collect()} == {1: round(-0.5 / (0.25 + 15) ** 0.5, 6), 2: 0.0, 3: 0.0}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if " Exchange" in x and "BroadcastExchange" not in x]
+    assert all("text" not in x for x in moved)
+
+
 def test_reuse_does_not_rebuild(spark):
     path, built = scratch_path(spark, "table"), []
 

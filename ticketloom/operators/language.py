@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ticketloom.functions import text as X
+from ticketloom.session import attach
 
 
 def token_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -57,22 +58,25 @@ def language_filter(
     )
 
 
-def sentiment_scores(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
-    """``(id, sentiment)`` for texts with a lexicon word: ``s / sqrt(s*s + 15)``.
+def with_sentiment(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
+    """Add ``sentiment``, ``s / sqrt(s*s + 15)`` with s the sum over the text's lexicon words; 0 without one.
 
-    Texts without one are absent; callers read them as 0.
+    The lexicon comes to the rows as one map, so texts stay where they are.
     """
-    summed = (
-        token_counts(df, id_col, text_col)
-        .join(lexicon.select(F.col("word").alias("token"), "valence"), "token")
-        .groupBy(id_col)
-        .agg(F.sum("valence").alias("s"))
+    whole = lexicon.filter(F.col("word").isNotNull()).groupBy("word").agg(F.sum("valence").alias("v"))
+    entries = whole.agg(F.map_from_entries(F.collect_list(F.struct("word", "v"))).alias("_lexicon"))
+    rows = attach(df.withColumn("_words", X.words(text_col)), entries)
+    total = F.aggregate(
+        F.array_intersect("_words", F.map_keys("_lexicon")),
+        F.lit(0.0),
+        lambda s, w: s + F.col("_lexicon")[w] * F.size(F.filter("_words", lambda x: x == w)),
     )
-    return summed.select(
-        id_col, (F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15)).alias("sentiment")
+    scored = rows.withColumn("_s", F.coalesce(total, F.lit(0.0)))
+    return scored.withColumn("sentiment", F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + 15)).drop(
+        "_words", "_lexicon", "_s"
     )
 
 
-def with_sentiment(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
-    scored = sentiment_scores(df, id_col, text_col, lexicon)
-    return df.join(scored, id_col, "left").withColumn("sentiment", F.coalesce("sentiment", F.lit(0.0)))
+def sentiment_scores(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
+    """``(id, sentiment)`` of every text."""
+    return with_sentiment(df.select(id_col, text_col), id_col, text_col, lexicon).select(id_col, "sentiment")

@@ -16,8 +16,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ticketloom.config import STOP_WORDS
 from ticketloom.functions import text as X
@@ -45,15 +46,63 @@ class TfIdf:
     stop_words: Sequence[str] = STOP_WORDS
 
 
-@dataclass(frozen=True)
 class TextIndex:
-    """Distinct texts of a collection, and the members of each that a top k can need.
+    """The tables that the searches below read, each written once, when it is first needed or stored.
 
-    Both are written tables, read many times by the searches below.
+    ``reps`` (grp, doc, n_copies, text) and ``members`` (grp, doc, member) are the distinct texts and the members
+    of each that a top k can need; the rest follows from them and the parameters.
     """
 
-    reps: DataFrame  # grp, doc, n_copies, text
-    members: DataFrame  # grp, doc, member
+    PARTS = ("reps", "members", "postings", "terms", "vocabulary", "vectors", "bounds")
+
+    def __init__(self, reps: DataFrame, members: DataFrame, bm25: Bm25 = Bm25(), tfidf: TfIdf = TfIdf()):
+        self.reps, self.members, self.bm25, self.tfidf = reps, members, bm25, tfidf
+
+    @cached_property
+    def _sizes(self) -> DataFrame:
+        return materialize(bm25_collection_stats(self.reps), "sizes")
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """``(grp, term, doc, n_copies, tf, w)`` of BM25."""
+        return materialize(bm25_postings(self.reps, self._sizes, self.bm25), "postings")
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        """``(grp, term, n_posts, df, total_tf, max_w, idf)`` of BM25."""
+        return materialize(bm25_term_stats(self.postings, self._sizes, self.bm25), "terms")
+
+    @cached_property
+    def vocabulary(self) -> DataFrame:
+        """``(term, df, total_tf, idf)`` of tf-idf."""
+        return materialize(tfidf_vocabulary(self.reps, self.tfidf), "vocabulary")
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        """``(grp, doc, term, w)`` of tf-idf."""
+        return materialize(tfidf_vectors(self.reps, self.vocabulary, self.tfidf), "vectors")
+
+    @cached_property
+    def bounds(self) -> DataFrame:
+        """``(grp, term, n_posts, max_w)`` of tf-idf."""
+        stats = self.vectors.groupBy("grp", "term").agg(F.count("*").alias("n_posts"), F.max("w").alias("max_w"))
+        return materialize(stats, "bounds")
+
+    def store(self, path: str, mode: str = "error") -> None:
+        """Write all tables; those that are looked up by term are ordered by it inside their files."""
+        for part in self.PARTS:
+            table = getattr(self, part)
+            if "term" in table.columns:
+                table = table.repartitionByRange("term").sortWithinPartitions("term")
+            table.write.mode(mode).parquet(f"{path}/{part}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, bm25: Bm25 = Bm25(), tfidf: TfIdf = TfIdf()) -> "TextIndex":
+        """A stored index; nothing of it is built again.  The parameters must be those it was built with."""
+        tables = {part: spark.read.parquet(f"{path}/{part}") for part in cls.PARTS}
+        index = cls(tables.pop("reps"), tables.pop("members"), bm25, tfidf)
+        index.__dict__.update(tables)
+        return index
 
 
 def as_collection(
@@ -87,11 +136,11 @@ def lowest_members(docs: DataFrame, k: int) -> DataFrame:
     return lowest.select("grp", F.first("member").over(w).alias("doc"), "member")
 
 
-def build_index(corpus: DataFrame, k: int) -> TextIndex:
+def build_index(corpus: DataFrame, k: int, bm25: Bm25 = Bm25(), tfidf: TfIdf = TfIdf()) -> TextIndex:
     """Index a ``(grp, doc, text)`` collection for searches of up to k results."""
     docs = materialize(corpus, "texts")
     return TextIndex(
-        materialize(fold_copies(docs), "reps"), materialize(lowest_members(docs, k), "members")
+        materialize(fold_copies(docs), "reps"), materialize(lowest_members(docs, k), "members"), bm25, tfidf
     )
 
 
@@ -174,26 +223,21 @@ def query_term_counts(queries: DataFrame) -> DataFrame:
     )
 
 
-def bm25_search(
-    queries: DataFrame, index: TextIndex, k: int = 15, params: Bm25 = Bm25()
-) -> DataFrame:
+def bm25_search(queries: DataFrame, index: TextIndex, k: int = 15) -> DataFrame:
     """Best k documents per query with a positive score: ``(grp, q, doc, score, rank)``."""
-    sizes = materialize(bm25_collection_stats(index.reps), "sizes")
-    postings = materialize(bm25_postings(index.reps, sizes, params), "postings")
-    terms = bm25_term_stats(postings, sizes, params)
     weighted = (
         materialize(query_term_counts(queries), "asked")
-        .join(terms, ["grp", "term"])
+        .join(index.terms, ["grp", "term"])
         .select(
             "grp", "q", "term", (F.col("qtf") * F.col("idf")).alias("qw"), "n_posts", "max_w"
         )
     )
-    best = sparse_topk(weighted, postings.select("grp", "term", "doc", "w"), k)
+    best = sparse_topk(weighted, index.postings.select("grp", "term", "doc", "w"), k)
     return unfold_copies(best, index.members, k).filter(F.col("score") > 0)
 
 
 def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 15, params: Bm25 = Bm25()) -> DataFrame:
-    return bm25_search(queries, build_index(corpus, k), k, params)
+    return bm25_search(queries, build_index(corpus, k, params), k)
 
 
 # -------------------------------------------------------------- tf-idf
@@ -257,32 +301,20 @@ def tfidf_vectors(
     return raw.select("grp", "doc", "term", (F.col("raw") / norm).alias("w"))
 
 
-def cosine_search(
-    queries: DataFrame,
-    index: TextIndex,
-    k: int = 15,
-    params: TfIdf = TfIdf(),
-    vocabulary: DataFrame | None = None,
-) -> DataFrame:
+def cosine_search(queries: DataFrame, index: TextIndex, k: int = 15) -> DataFrame:
     """Nearest k documents per query by tf-idf cosine: ``(grp, q, doc, score, rank)``."""
-    if vocabulary is None:
-        vocabulary = materialize(tfidf_vocabulary(index.reps, params), "vocabulary")
-    postings = materialize(tfidf_vectors(index.reps, vocabulary, params), "vectors")
-    bounds = postings.groupBy("grp", "term").agg(
-        F.count("*").alias("n_posts"), F.max("w").alias("max_w")
-    )
-    asked = tfidf_vectors(queries, vocabulary, params).select(
+    asked = tfidf_vectors(queries, index.vocabulary, index.tfidf).select(
         "grp", F.col("doc").alias("q"), "term", F.col("w").alias("qw")
     )
     weighted = (
         materialize(asked, "asked")
-        .join(bounds, ["grp", "term"])
+        .join(index.bounds, ["grp", "term"])
     )
-    return unfold_copies(sparse_topk(weighted, postings, k), index.members, k)
+    return unfold_copies(sparse_topk(weighted, index.vectors, k), index.members, k)
 
 
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 15, params: TfIdf = TfIdf()) -> DataFrame:
-    return cosine_search(queries, build_index(corpus, k), k, params)
+    return cosine_search(queries, build_index(corpus, k, tfidf=params), k)
 
 
 # --------------------------------------------------------- exact top-k

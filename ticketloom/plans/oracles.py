@@ -555,8 +555,8 @@ _oracle(
 
 _oracle(
     "load_index",
-    "select grp brand, count(distinct term) n_terms, cast(sum(tf) as bigint) total_tf from bmt_tf group by grp",
-    "bmt_tf",
+    'select q, doc, "rank", round(score, 6) score from bmp',
+    "bmp",
 )
 
 

@@ -185,31 +185,28 @@ def sink_params(t):
     return _rounded(files.load_params(t.spark, path).select("temperature", "alpha", "q_hat"))
 
 
-def _stored_index(t: Tables) -> dict:
+def _stored_index(t: Tables, brand: str | None = "brand") -> dict:
+    """The index of all passages, by brand or as one collection, written and read back."""
     path = scratch_path(t.spark, "index")
-    corpus = corpus_of(t)
-    reps = lexical.fold_copies(lexical.as_collection(corpus, "passage_id", "customer_query", "brand"))
-    sizes = materialize(lexical.bm25_collection_stats(reps), "sizes")
-    files.sink_index(t.spark, path, corpus, t.vectors, lexical.bm25_postings(reps, sizes))
+    corpus = materialize(corpus_of(t), "corpus")
+    text = lexical.build_index(lexical.as_collection(corpus, "passage_id", "customer_query", brand), 15)
+    files.sink_index(path, corpus, t.vectors, text)
     return files.load_index(t.spark, path)
 
 
 @query
 def sink_index(t):
     index = _stored_index(t)
-    parts = [
-        index[name].agg(F.count("*").alias("n_rows")).withColumn("part", F.lit(name))
-        for name in ("corpus", "vectors", "postings")
-    ]
+    tables = {"corpus": index["corpus"], "vectors": index["vectors"], "postings": index["text"].postings}
+    parts = [df.agg(F.count("*").alias("n_rows")).withColumn("part", F.lit(name)) for name, df in tables.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query
 def load_index(t):
-    postings = _stored_index(t)["postings"]
-    return postings.groupBy(F.col("grp").alias("brand")).agg(
-        F.countDistinct("term").alias("n_terms"), F.sum(F.col("tf") * F.col("n_copies")).alias("total_tf")
-    )
+    """Search in an index that was stored and loaded."""
+    best = lexical.bm25_search(item_collection(t), _stored_index(t, None)["text"], 15)
+    return best.select("q", "doc", F.col("rank").cast("bigint").alias("rank"), r6("score").alias("score"))
 
 
 @query
@@ -936,8 +933,9 @@ def scored(t: Tables) -> DataFrame:
             F.col("agent_reply").alias("draft_reply"),
         )
     )
+    index = scoring.index_corpus(threads.corpus_of(threaded))
     return scoring.score_tickets(
-        tickets_of(threaded), threads.corpus_of(threaded), t.intents, t.lexicon, classify, cache, RISK_WORDS
+        tickets_of(threaded), threads.corpus_of(threaded), t.intents, t.lexicon, classify, cache, RISK_WORDS, index=index
     )
 
 

@@ -46,20 +46,25 @@ SCORED_COLUMNS = (
 )
 
 
+def index_corpus(
+    corpus: DataFrame, settings: RetrievalSettings = RetrievalSettings(), params: lexical.TfIdf = lexical.TfIdf()
+) -> lexical.TextIndex:
+    """The index that :func:`retrieve` searches; build or load it once for all tickets to come."""
+    passages = lexical.as_collection(corpus, "passage_id", "customer_query", "brand")
+    return lexical.build_index(passages, settings.candidate_pool, tfidf=params)
+
+
 def retrieve(
     tickets: DataFrame,
-    corpus: DataFrame,
+    index: lexical.TextIndex,
     settings: RetrievalSettings = RetrievalSettings(),
-    params: lexical.TfIdf = lexical.TfIdf(),
 ) -> DataFrame:
     """Fused candidates per ticket, within its brand: dense by tf-idf cosine, sparse by BM25.
 
     ``(q, doc, similarity_score, lexical_score, rrf_score, rank)``.
     """
     queries = lexical.as_collection(tickets, "ticket_id", "query", "brand")
-    passages = lexical.as_collection(corpus, "passage_id", "customer_query", "brand")
-    index = lexical.build_index(passages, settings.candidate_pool)
-    dense = lexical.cosine_search(queries, index, settings.candidate_pool, params)
+    dense = lexical.cosine_search(queries, index, settings.candidate_pool)
     sparse = lexical.bm25_search(queries, index, settings.candidate_pool)
     return rrf_fuse(dense, sparse, settings)
 
@@ -69,9 +74,10 @@ def retrieve_contexts(
     corpus: DataFrame,
     settings: RetrievalSettings = RetrievalSettings(),
     scorer: Callable[[Column, Column], Column] | None = token_jaccard,
+    index: lexical.TextIndex | None = None,
 ) -> DataFrame:
-    """The re-ranked contexts of each ticket, one row per context."""
-    candidates = attach_passages(retrieve(tickets, corpus, settings), corpus)
+    """The re-ranked contexts of each ticket, one row per context; without an index one is built."""
+    candidates = attach_passages(retrieve(tickets, index or index_corpus(corpus, settings), settings), corpus)
     asked = tickets.select(F.col("ticket_id").alias("q"), X.normalize_text("query").alias("_asked"))
     return rerank_topk(
         candidates.join(asked, "q"), scorer, "_asked", "historical_resolution", settings
@@ -121,6 +127,7 @@ def score_tickets(
     retrieval: RetrievalSettings = RetrievalSettings(),
     scorer: Callable[[Column, Column], Column] | None = token_jaccard,
     draft: Callable[[], Column] = lambda: F.lit(OFFLINE_DRAFT),
+    index: lexical.TextIndex | None = None,
 ) -> DataFrame:
     """Score every ticket: cache, intent, retrieval, re-ranking, draft, escalation.
 
@@ -134,7 +141,7 @@ def score_tickets(
         hits = text_cache_hits(tickets, cache)
         open_tickets = cache_miss(tickets, hits, "ticket_id")
 
-    contexts = nest_contexts(retrieve_contexts(open_tickets, corpus, retrieval, scorer))
+    contexts = nest_contexts(retrieve_contexts(open_tickets, corpus, retrieval, scorer, index))
     classified = open_tickets.withColumn("_raw", classify(X.normalize_text("query")))
     valid = validate_intent(classified, intents, "_raw").drop("_raw")
     ready = (

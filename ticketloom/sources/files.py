@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ticketloom import schemas
+from ticketloom.operators.lexical import TextIndex
 from ticketloom.operators.threads import parse_inbound
 
 
@@ -77,31 +78,26 @@ def reuse_or_build(spark: SparkSession, path: str, build, force: bool = False) -
     return spark.read.parquet(path)
 
 
-def sink_index(spark: SparkSession, path: str, corpus: DataFrame, vectors: DataFrame,
-               postings: DataFrame | None = None, mode: str = "error") -> None:
-    """Persist passages, vectors and postings as Parquet tables.
-
-    Postings are ordered by term inside each file, so a lookup of a few terms
-    skips most row groups.
-    """
+def sink_index(
+    path: str, corpus: DataFrame, vectors: DataFrame, text: TextIndex | None = None, mode: str = "error"
+) -> None:
+    """Persist passages, vectors and the text index as Parquet tables."""
     corpus.write.mode(mode).parquet(f"{path}/corpus")
     vectors.write.mode(mode).parquet(f"{path}/vectors")
-    if postings is not None:
-        postings.repartitionByRange("term", "doc").sortWithinPartitions("term").write.mode(mode).parquet(
-            f"{path}/postings"
-        )
+    if text is not None:
+        text.store(f"{path}/text", mode)
 
 
-def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame | None]:
-    """The index tables; vectors and passages are required, postings optional."""
+def load_index(spark: SparkSession, path: str) -> dict:
+    """``corpus`` and ``vectors`` (required) and ``text``, an index to search, if one was stored."""
     for name in ("vectors", "corpus"):
         if not table_exists(spark, f"{path}/{name}"):
             raise FileNotFoundError(f"{path}/{name}")
-    has_postings = table_exists(spark, f"{path}/postings")
+    has_text = table_exists(spark, f"{path}/text/bounds")
     return {
         "corpus": spark.read.parquet(f"{path}/corpus"),
         "vectors": spark.read.parquet(f"{path}/vectors"),
-        "postings": spark.read.parquet(f"{path}/postings") if has_postings else None,
+        "text": TextIndex.load(spark, f"{path}/text") if has_text else None,
     }
 
 
