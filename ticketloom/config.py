@@ -88,9 +88,6 @@ BASELINE_KEYWORDS = (
     "lawyer", "sue", "legal", "locked", "hacked", "police",
     "fraud", "unauthorized", "scam", "danger", "manager", "supervisor",
 )
-OFFLINE_ESCALATION_KEYWORDS = (
-    "locked", "hacked", "lawyer", "sue", "unacceptable", "scam", "danger", "police",
-)
 
 # Offline intent rules, first group with a hit wins.
 INTENT_RULES = (

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ticketloom.config import CostSettings
 from ticketloom.functions.probability import argmax, log_loss
-from ticketloom.session import attach
 
 
 # ---------------------------------------------------------- temperature
@@ -33,19 +32,47 @@ def coarse_grid() -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: i * 0.05)
 
 
+def _slopes(df: DataFrame, logits: str, label: str, b: float) -> tuple[float, float] | None:
+    """First and second derivative of the mean loss by b = 1 / temperature: one aggregate."""
+    z, top = F.col(logits), F.array_max(logits)
+
+    def total(values):
+        return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+    weights = F.transform(z, lambda x: F.exp((x - top) * b))
+    rows = df.select(z.alias("z"), F.get(z, F.col(label).cast("int")).alias("own"), weights.alias("w"))
+    rows = rows.select("own", "z", "w", total(F.col("w")).alias("sum"))
+    mean = total(F.zip_with("w", "z", lambda w, x: w * x)) / F.col("sum")
+    square = total(F.zip_with("w", "z", lambda w, x: w * x * x)) / F.col("sum")
+    first = rows.select((mean - F.col("own")).alias("d"), (square - mean * mean).alias("dd"))
+    r = first.agg(F.avg("d").alias("d"), F.avg("dd").alias("dd")).first()
+    return None if r["d"] is None else (r["d"], r["dd"])
+
+
 def temperature_fit(df: DataFrame, logits: str, label: str) -> DataFrame:
-    """One row ``(temperature, nll)``: best temperature in [0.05, 5] to within 0.001."""
-    coarse = temperature_curve(df, logits, label, coarse_grid())
-    centre = coarse.agg(F.min_by("t", F.struct(F.round("nll", 12), "t")).alias("centre"))
-    fine = F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(-50), F.lit(50)),
-            lambda i: F.round(F.greatest(F.lit(0.05), F.least(F.lit(5.0), F.col("centre") + i * 0.001)), 3),
-        )
-    )
-    refined = temperature_curve(attach(df, centre), logits, label, fine)
-    best = F.struct(F.round("nll", 12), "t")
-    return refined.agg(F.min_by("t", best).alias("temperature"), F.min("nll").alias("nll"))
+    """One row ``(temperature, nll)``: best temperature in [0.05, 5] among multiples of 0.001.
+
+    The mean loss is convex in 1 / temperature.  Newton's method, kept inside a
+    bracket, finds its minimum in a few aggregates of two numbers; the multiples around it are compared.
+    """
+    lo, hi, b = 1 / 5.0, 1 / 0.05, 1.0
+    for _ in range(60):
+        slopes = _slopes(df, logits, label, b)
+        if slopes is None:
+            break
+        d, dd = slopes
+        lo, hi = (b, hi) if d < 0 else (lo, b)
+        new = b - d / dd if dd > 0 else (lo + hi) / 2
+        if not lo < new < hi:
+            new = (lo + hi) / 2
+        done = abs(1 / new - 1 / b) < 1e-5
+        b = new
+        if done:
+            break
+    k = round(1000 / b)
+    near = sorted({min(5.0, max(0.05, i / 1000)) for i in (k - 1, k, k + 1)})
+    curve = temperature_curve(df, logits, label, F.array(*map(F.lit, near)))
+    return curve.agg(F.min_by("t", F.struct(F.round("nll", 12), "t")).alias("temperature"), F.min("nll").alias("nll"))
 
 
 # ----------------------------------------------------- class thresholds
@@ -129,68 +156,52 @@ def class_threshold_fit(
 
 # ------------------------------------------------------------ conformal
 
-_ONE_TASK_ROWS = 1_000_000
 _HISTOGRAM = 4096
 
 
-def interpolated_quantile(
-    df: DataFrame, value: str, share: float, n: int, one_task_rows: int = _ONE_TASK_ROWS
-) -> float:
-    """Exact quantile with linear interpolation between order statistics.
+def order_statistics(df: DataFrame, value: str, ranks: Sequence[int]) -> list[float]:
+    """Exact values at some ranks (from 0), by histograms that narrow the interval around each.
 
-    Small inputs use the built-in aggregate.  Larger ones narrow an interval
-    around the rank with histograms of 4,096 counts until few enough rows are
-    left, so no task ever holds all values.
+    A round leaves at most 4,096 counts and ends of buckets, so no task and no driver ever holds the values.
     """
-    if n <= one_task_rows:
-        return df.agg(F.percentile(F.col(value), F.lit(float(share))).alias("q")).first()["q"]
+    v = F.col(value)
+    lo, hi = df.agg(F.min(v), F.max(v)).first()
+    open_ = {r: (lo, hi, r) for r in ranks}  # interval, and rank within it
+    while wide := {(lo, hi) for lo, hi, _ in open_.values() if lo < hi}:
+        for lo, hi in wide:
+            width = (hi - lo) / _HISTOGRAM
+            bucket = F.least(F.floor((v - lo) / width), F.lit(_HISTOGRAM - 1)) if width > 0 and lo + width > lo else v
+            counts = (
+                df.filter((v >= lo) & (v <= hi))
+                .groupBy(bucket.alias("b"))
+                .agg(F.count("*").alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+                .collect()
+            )
+            counts.sort(key=lambda r: r["lo"])
+            for rank, (a, z, left) in list(open_.items()):
+                if (a, z) == (lo, hi):
+                    for r in counts:
+                        if left < r["n"]:
+                            open_[rank] = (r["lo"], r["hi"], left)
+                            break
+                        left -= r["n"]
+    return [open_[r][0] for r in ranks]
+
+
+def interpolated_quantile(df: DataFrame, value: str, share: float, n: int) -> float:
+    """Exact quantile with linear interpolation between order statistics."""
     position = share * (n - 1)
-    low_rank = math.floor(position)
-    low = _order_statistic(df, value, low_rank, one_task_rows)
-    if position == low_rank:
-        return low
-    high = _order_statistic(df, value, low_rank + 1, one_task_rows)
-    return low + (high - low) * (position - low_rank)
+    at = math.floor(position)
+    low, high = order_statistics(df, value, [at, min(at + 1, n - 1)])
+    return low + (high - low) * (position - at)
 
 
-def _order_statistic(df: DataFrame, value: str, rank: int, one_task_rows: int) -> float:
-    v = F.col(value)
-    ends = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
-    lo, hi, remaining = ends["lo"], ends["hi"], rank
-    while lo < hi:
-        width = (hi - lo) / _HISTOGRAM
-        inside = df.filter((v >= lo) & (v <= hi))
-        if width == 0 or lo + width == lo:
-            break
-        bucket = F.least(F.floor((v - lo) / width), F.lit(_HISTOGRAM - 1))
-        counts = sorted(
-            inside.groupBy(bucket.alias("b"))
-            .agg(F.count("*").alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-            .collect(),
-            key=lambda r: r["b"],
-        )  # at most _HISTOGRAM rows
-        for r in counts:
-            if remaining < r["n"]:
-                lo, hi, left = r["lo"], r["hi"], r["n"]
-                break
-            remaining -= r["n"]
-        if lo < hi and left <= one_task_rows:
-            kept = df.filter((v >= lo) & (v <= hi)).groupBy(value).agg(F.count("*").alias("n"))
-            for r in sorted(kept.collect(), key=lambda r: r[value]):
-                if remaining < r["n"]:
-                    return r[value]
-                remaining -= r["n"]
-    return lo
-
-
-def conformal_quantile(
-    df: DataFrame, p_true: str, alpha: float = 0.05, one_task_rows: int = _ONE_TASK_ROWS
-) -> DataFrame:
+def conformal_quantile(df: DataFrame, p_true: str, alpha: float = 0.05) -> DataFrame:
     """One row ``(alpha, n, level, q_hat)`` from the probability of the true class."""
     scores = df.select((1.0 - F.col(p_true)).alias("s"))
     n = scores.count()
     level = min(1.0, math.ceil((n + 1) * (1.0 - alpha)) / n)
-    q_hat = interpolated_quantile(scores, "s", level, n, one_task_rows)
+    q_hat = interpolated_quantile(scores, "s", level, n)
     return df.sparkSession.createDataFrame(
         [(float(alpha), n, level, float(q_hat))], "alpha double, n bigint, level double, q_hat double"
     )
