@@ -1,19 +1,16 @@
 """What the operators of this folder share: reading, keys, Arrow batches, files in the shared folder.
 
 Rows are addressed by ``(doc_id, text)``, so that repeated rows, null ids and ids
-that stand before two different texts stay apart: :func:`keyed` adds the pair
-``(doc_id, th)`` with ``th`` a 64-bit hash of the text.
+that stand before two different texts stay apart; in joins a 64-bit hash stands for the text.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ticketloom.session import materialize, scratch_path, shared_dir  # noqa: F401
 
@@ -30,19 +27,6 @@ def by_bytes(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    """``doc_id, th, text`` and the named columns; all others are left behind."""
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text", *columns)
-
-
-def same_key(a: DataFrame, b: DataFrame, *keys: str) -> Column:
-    """Null-safe equality of the named columns."""
-    on = F.lit(True)
-    for k in keys:
-        on = on & a[k].eqNullSafe(b[k])
-    return on
-
-
 def left_by_key(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     """Left join on null-safe keys; the keys of ``b`` are dropped."""
     b = b.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in b.columns])
@@ -62,27 +46,6 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.to_pylist()]
 
 
-def concatenated(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes in one array, and the offsets of the texts in it."""
-    offsets = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(t) for t in texts], out=offsets[1:])
-    return np.frombuffer(b"".join(texts), np.uint8), offsets
-
-
-def batched(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
-    """Gather small batches up to ``rows`` rows."""
-    held, n = [], 0
-    for b in batches:
-        if b.num_rows:
-            held.append(b)
-            n += b.num_rows
-        if n >= rows:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a folder that executors share, and the path in it."""
     if "://" in path or path.startswith("file:"):
@@ -116,7 +79,5 @@ class replaced_file:
 
 def running_offsets(sizes: DataFrame, keys: list[str], bucket: str, n: str, out: str) -> DataFrame:
     """Sum of ``n`` over the earlier buckets of a key; one row a bucket, so a small table."""
-    from pyspark.sql import Window as W
-
     before = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     return sizes.withColumn(out, F.coalesce(F.sum(n).over(before), F.lit(0)))

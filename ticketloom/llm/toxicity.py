@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ticketloom.llm.common import by_bytes, crc_fold
+from ticketloom.llm.common import by_bytes, crc_fold, materialize
 
 TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
 SHORTEST, LONGEST = 4, 16
@@ -237,8 +237,6 @@ def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_rows: int)
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model:
     """Learn lexicon and weights from the labelled rows of folds other than 1."""
-    from ticketloom.llm.common import materialize
-
     by_bytes(docs.sparkSession)
     rows = materialize(sample(docs, labels, toxic_rows, clean_rows), "toxic-sample")
     totals = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
