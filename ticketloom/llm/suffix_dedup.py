@@ -32,7 +32,7 @@ from ticketloom.llm.common import by_bytes, materialize, texts_of
 
 LENGTH = 200
 GRAM = 40
-GROUP = 20_000
+GROUP = 5_000
 HELD = 1 << 20  # bytes of segments that are compared at a time, but for a larger group; some 100 times that in numbers
 BLOCK = 1 << 20  # windows of a long text at a time
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -304,7 +304,8 @@ def removed(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFr
     whole = met.join(kinds.filter("c > 1").select("anchor", "digest"), ["anchor", "digest"]).select(
         "d", "t", F.col("first").cast("long").alias("x"), (F.col("last") + length).cast("long").alias("y")
     )
-    differ = kinds.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1")
+    # written by itself, so that the join's other side can be split where an anchor is frequent
+    differ = materialize(kinds.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1"), "split-anchors")
     parts = F.ceil(F.col("m") / group).cast("int")
     need = kinds.join(differ, "anchor").select(
         "anchor", parts.alias("parts"), F.pmod(F.xxhash64("digest"), parts).cast("int").alias("part"), (F.col("c") == 1).alias("alone"), "one.*"
