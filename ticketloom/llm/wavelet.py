@@ -21,6 +21,7 @@ import unicodedata
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ class WaveletMatrix:
         a = np.ascontiguousarray(ids, np.uint32 if bits > 16 else np.uint16)
         planes, counts, zeros = [], [], []
         for b in reversed(range(bits)):
+            if b == 7:
+                a = a.astype(np.uint8)  # the bits above are in the planes already
             one = (a & a.dtype.type(1 << b)) != 0
             packed = np.packbits(one, bitorder="little")
             planes.append(packed)
@@ -123,9 +126,12 @@ class WaveletMatrix:
     def ids(self) -> np.ndarray:
         """All ids in order: the planes undone from the lowest to the highest."""
         bits = len(self.planes)
-        kind = np.uint32 if bits > 16 else np.uint16
+        kind = np.uint8
         a = np.zeros(self.n, kind)
         for level in reversed(range(bits)):
+            if bits - 1 - level == 8:
+                kind = np.uint32 if bits > 16 else np.uint16
+                a = a.astype(kind)
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             out = np.empty(self.n, kind)
             out[~one] = a[: self.zeros[level]]
@@ -275,8 +281,9 @@ class Encoder:
             some = cut[at : at + 256]
             new = set().union(*(w for _, w in some)) - self.words.keys()
             if len(self.words) + len(new) > _KNOWN:
-                self.words.clear()
-                new = set().union(*(w for _, w in some))
+                # frequent words come early and stay
+                self.words = dict(islice(self.words.items(), _KNOWN // 2))
+                new = set().union(*(w for _, w in some)) - self.words.keys()
             new = list(new)
             self._learn(new, [w.encode().decode("latin-1").translate(_LETTERS) for w in new])
             for i, words in some:
