@@ -11,7 +11,7 @@ eight.  Distances that meet clean documents in the sample are switched off for t
 A context window around a hit tells quotation (quote marks around it, or a word of speech
 before it) from abuse; quoted hits weigh less.
 
-A logistic model over the sums of hits, fitted on the same sample, gives the score.
+A logistic model over the sum of hits, fitted on the same sample, gives the score.
 Null and empty texts have no hits and get the score of such texts.  Without labels of both
 kinds the lexicon is empty and the score is the prior.  Repeated rows score alike.
 """
@@ -33,7 +33,7 @@ SHORTEST, LONGEST = 4, 16
 TERMS = 20_000  # significant beginnings among which terms are chosen
 IMPURE = 0.005  # share of clean documents that a term may have of its share of toxic ones
 END = "$"
-QUOTED = 0.4
+QUOTED, MISSPELLED = 0.4, 0.8  # what such a hit weighs
 CONTEXT = 48  # characters on each side of a hit
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W_]+")
@@ -189,11 +189,9 @@ def hits(text: str, lexicon: Lexicon) -> list[tuple[int, int, int, str, bool]]:
     return out
 
 
-def evidence(found: list[tuple[int, int, int, str, bool]]) -> tuple[float, float]:
-    """Weighted exact and misspelled hits, three at the most of each."""
-    exact = sum(QUOTED if q else 1.0 for *_, d, _, q in found if not d)
-    near = sum(QUOTED if q else 1.0 for *_, d, _, q in found if d)
-    return min(exact, 3.0), min(near, 3.0)
+def evidence(found: list[tuple[int, int, int, str, bool]]) -> float:
+    """Weighted hits up to one whole one: terms are chosen to be toxic by themselves, so one plain hit is enough."""
+    return min(1.0, sum((QUOTED if q else 1.0) * (MISSPELLED if d else 1.0) for *_, d, _, q in found))
 
 
 class Model:
@@ -201,8 +199,7 @@ class Model:
         self.lexicon, self.weights = lexicon, weights
 
     def score(self, text: str | None) -> float:
-        exact, near = evidence(hits(text, self.lexicon)) if text else (0.0, 0.0)
-        z = self.weights @ np.array([1.0, exact, near])
+        z = self.weights @ np.array([1.0, evidence(hits(text, self.lexicon)) if text else 0.0])
         return 1 / (1 + exp(-max(-30.0, min(30.0, z))))
 
 
@@ -243,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     empty = Lexicon([])
     if not n1 or not n0:
-        return Model(empty, np.array([log((n1 + 0.5) / (n0 + 0.5 + 9 * (n1 + n0 == 0))), 4.0, 2.0]))
+        return Model(empty, np.array([log((n1 + 0.5) / (n0 + 0.5 + 9 * (n1 + n0 == 0))), 4.0]))
 
     def count(batches):
         for b in batches:
@@ -292,14 +289,13 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     def measure(batches):
         for b in batches:
             x = [evidence(hits(t, lexicon)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64()), b.column("toxic").cast(pa.int64())], ["a", "b", "y"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), b.column("toxic").cast(pa.int64())], ["x", "y"])
 
-    table = rows.mapInArrow(measure, "a double, b double, y long").groupBy("a", "b", "y").agg(F.count("*").alias("n")).collect()
-    x = np.array([(1.0, r.a, r.b) for r in table])
+    # as many rows as there are sums of hits
+    table = rows.mapInArrow(measure, "x double, y long").groupBy("x", "y").agg(F.count("*").alias("n")).collect()
+    x = np.array([(1.0, r.x) for r in table])
     y, n = np.array([r.y for r in table], float), np.array([r.n for r in table], float)
-    return Model(lexicon, logistic(x, y, n, np.array([log((n1 + 0.5) / (n0 + 0.5)), 4.0, 4.0])))
+    return Model(lexicon, logistic(x, y, n, np.array([log((n1 + 0.5) / (n0 + 0.5)), 4.0])))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
