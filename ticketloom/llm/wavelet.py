@@ -184,7 +184,7 @@ class ShardFile:
 
 
 _LATIN = re.compile(r"[\x00-\u024f]*")
-_KNOWN = 400_000  # words that a worker remembers
+_KNOWN = 900_000  # words that a worker remembers, some 200 bytes each
 _JOINED = 20_000  # letters in one call of the library's model
 
 
@@ -218,6 +218,17 @@ def _words_of_latin() -> re.Pattern:
 _WORDS = _words_of_latin()
 
 
+class _Words(dict):
+    """Ids of known words; asked for a new one it gives nothing and notes it."""
+
+    def __init__(self, known=()):
+        super().__init__(known)
+        self.new: set[str] = set()
+
+    def __missing__(self, word: str) -> None:
+        self.new.add(word)
+
+
 class Encoder:
     """Ids of texts by a tokenizer file, as little-endian numbers; every id comes from the tokenizers library.
 
@@ -246,7 +257,7 @@ class Encoder:
         self.between = free[0] if free else ""
         most = max(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end)
         self.bits, self.kind = most.bit_length(), np.dtype("<u2" if most < 1 << 16 else "<u4")
-        self.words: dict[str, bytes] = {}
+        self.words = _Words()
 
     def _learn(self, new: list[str], shown: list[str]) -> None:
         """Encode words, given also in the library's byte letters."""
@@ -279,15 +290,16 @@ class Encoder:
                 cut.append((i, [bytes(map(_BYTES.__getitem__, w)).decode("utf-8") for w in shown]))
         for at in range(0, len(cut), 256):
             some = cut[at : at + 256]
-            new = set().union(*(w for _, w in some)) - self.words.keys()
-            if len(self.words) + len(new) > _KNOWN:
+            if len(self.words) > _KNOWN:
                 # frequent words come early and stay
-                self.words = dict(islice(self.words.items(), _KNOWN // 2))
-                new = set().union(*(w for _, w in some)) - self.words.keys()
-            new = list(new)
+                self.words = _Words(islice(self.words.items(), _KNOWN // 2))
+            ids = [list(map(self.words.__getitem__, words)) for _, words in some]
+            new, self.words.new = list(self.words.new), set()
             self._learn(new, [w.encode().decode("latin-1").translate(_LETTERS) for w in new])
-            for i, words in some:
-                out[i] = np.frombuffer(b"".join(map(self.words.__getitem__, words)), self.kind)
+            for (i, words), known in zip(some, ids):
+                if new and None in known:
+                    known = map(self.words.__getitem__, words)
+                out[i] = np.frombuffer(b"".join(known), self.kind)
         return out
 
 
