@@ -234,6 +234,28 @@ def test_mixing(documents):
     assert mixing.Mix(documents([])).taken().count() == 0
 
 
+def test_small_and_null_sources_meet_their_targets(documents):
+    small = {"tiny": 10, "s20": 20, "s50": 50, None: 70, "s200": 200}
+    rows = [(i, prose(500, i), "en", "big") for i in range(40)]
+    for s, n in small.items():
+        rows += [(len(rows), prose(n - n // 2, n), "en", s), (len(rows) + 1, prose(n // 2, n + 1), "en", s)]
+    names = {i: s for i, _, _, s in rows}
+    by = {}
+    for r in mixing.Mix(documents(rows)).taken().collect():
+        x = by.setdefault(names[r.doc_id], [0, r.target])
+        x[0] += r.taken
+    assert {s: x[0] for s, x in by.items() if s != "big"} == {s: 3 * n for s, n in small.items()}
+    assert abs(by["big"][0] - by["big"][1]) <= 32
+    words = {}
+    for r in mixing.mixed_documents(documents(rows)).collect():
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+    assert words == {s: x[0] for s, x in by.items()}
+    # none of them stops at the limit: targets between and below whole blocks
+    rows = [(i, prose(10 + 25 * (i % 4), i), "en", f"s{i:02}") for i in range(24)]
+    for r in mixing.Mix(documents(rows)).taken().collect():
+        assert abs(r.taken - r.target) <= max(1.0, r.target / 10)
+
+
 def test_targets_stop_at_the_limit_and_share_the_rest():
     assert mixing.targets([100, 10, 10], [5, 2, 1]) == pytest.approx([75, 30, 15])
     assert mixing.targets([10, 100, 100], [5, 2, 1]) == pytest.approx([30, 120, 60])

@@ -1,9 +1,10 @@
 """Mixing sources to target weights, by blocks of words.
 
 1. Words of a source form one stream, in an order drawn by hash; every document
-   has a place in it.  Streams are cut into blocks of ``block_words`` words.
-2. The mix has as many slots as all streams have blocks, dealt over shards.
-   Slots of a source over all shards are its target; the counts of a shard are
+   has a place in it.  Streams are cut into blocks of equal length, give or take a
+   word: at most ``block_words`` words, and less where a source or its target is small.
+2. Slots of a source over all shards are its target in blocks of its own length, so the
+   mix has as many slots as these sum to.  They are dealt over shards; the counts of a shard are
    drawn by multinomial splits from the whole down to the shard, each taken from
    what is left, so the sums meet the targets.  A shard draws its own path only.
 3. The j-th slot of a source takes block ``j mod n`` in a pseudorandom permutation
@@ -32,6 +33,8 @@ WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 64
 SHARD_SLOTS = 1 << 14
 MAX_REPEATS = 3
+LEAST_BLOCKS = 16  # in a source and in its target, as far as there are words; the target is met within one and a half blocks
+FINEST = 1 << 20  # blocks a source is cut into for the sake of a small target
 SEED = 20240607
 
 
@@ -54,12 +57,17 @@ def targets(source_sizes: Sequence[int], weights: Sequence[float], max_repeats:
     return out
 
 
-def whole_slots(amounts: Sequence[float], limits: Sequence[int], total: int) -> np.ndarray:
-    """Round amounts to whole numbers of sum ``total`` (or what the limits allow), largest remainders first."""
-    base = np.minimum(np.floor(amounts).astype(np.int64), limits)
-    for i in np.argsort(-(np.asarray(amounts) - base), kind="stable"):
-        base[i] += max(0, min(1, limits[i] - base[i], total - base.sum()))
-    return base
+def cut_blocks(size: int, target: float, block_words: int = BLOCK_WORDS) -> int:
+    """Number of equal blocks of a source; even small sources and targets are several blocks."""
+    if not size or not target:
+        return -(-size // block_words)
+    length = max(1, min(block_words, int(min(size, target) / LEAST_BLOCKS)))
+    return max(-(-size // block_words), min(-(-size // length), FINEST))
+
+
+def whole_slots(size: int, target: float, blocks: int, max_repeats: int = MAX_REPEATS) -> int:
+    """Slots that hold the target, at the mean length of the source's blocks."""
+    return min(round(target * blocks / size), max_repeats * blocks) if size else 0
 
 
 def _split(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
@@ -132,7 +140,6 @@ class Mix:
         seed: int = SEED,
     ):
         spark = docs.sparkSession
-        self.block_words = block_words
         sized = materialize(sizes(docs), "mix-sizes")
         # one row per source: the recipe
         recipe = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
@@ -140,10 +147,8 @@ class Mix:
         w = [weights[i % len(weights)] for i in range(len(recipe))]
         n = [int(r.n or 0) for r in recipe]
         aim = targets(n, w, max_repeats)
-        blocks = [-(-x // block_words) for x in n]
-        slots = whole_slots(
-            [a / block_words for a in aim], [max_repeats * b for b in blocks], round(sum(aim) / block_words)
-        )
+        blocks = [cut_blocks(x, a, block_words) for x, a in zip(n, aim)]
+        slots = np.array([whole_slots(x, a, b, max_repeats) for x, a, b in zip(n, aim, blocks)], np.int64)
         rows = [(i, r.source, n[i], aim[i], blocks[i], int(slots[i])) for i, r in enumerate(recipe)]
         self.sources = spark.createDataFrame(
             rows, "sid int, source string, source_size long, target double, n_blocks long, n_slots long"
@@ -176,12 +181,19 @@ class Mix:
 
     def pieces(self) -> DataFrame:
         """``sid, block, doc_id, th, from_word, n_words``: the words of documents that make up each block."""
-        b = self.block_words
-        own = placed(self.documents.select("doc_id", "th", "source", "sid", "size"))
-        last = F.col("first") + F.col("size") - 1
-        spread = own.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / b), F.floor(last / b))))
-        start = F.greatest(F.col("block") * b, F.col("first"))
-        stop = F.least((F.col("block") + 1) * b, F.col("first") + F.col("size"))
+        placed_ = placed(self.documents.select("doc_id", "th", "source", "sid", "size"))
+        # the first ``longer`` blocks of a source have ``short`` + 1 words, the others ``short``
+        cut = self.sources.filter("n_blocks > 0").select(
+            "sid", F.expr("source_size div n_blocks").alias("short"), (F.col("source_size") % F.col("n_blocks")).alias("longer")
+        )
+        own = placed_.join(F.broadcast(cut), "sid")
+        at = "if({0} < longer * (short + 1), {0} div (short + 1), longer + ({0} - longer * (short + 1)) div short)"
+        blocks = F.sequence(F.expr(at.format("first")), F.expr(at.format("(first + size - 1)")))
+        spread = own.withColumn("block", F.explode(blocks))
+        opens = F.col("block") * F.col("short") + F.least("block", "longer")
+        closes = opens + F.col("short") + (F.col("block") < F.col("longer")).cast("long")
+        start = F.greatest(opens, F.col("first"))
+        stop = F.least(closes, F.col("first") + F.col("size"))
         return spread.select(
             "sid", "block", "doc_id", "th", "size", (start - F.col("first")).alias("from_word"), (stop - start).alias("n_words")
         )
