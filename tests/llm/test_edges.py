@@ -370,6 +370,31 @@ def test_toxicity(spark, documents):
     assert {r.predicted for r in toxicity.score(documents(ROWS), none).collect()} == {0}
 
 
+def test_quoted_clean_labels_and_wrong_ones_keep_terms(spark, documents):
+    r = random.Random(3)
+    words = [a + b for a in ("ra", "li", "mo", "te") for b in ("ndo", "vik", "sel", "pur", "gon")]
+    rows, truth, marks = [], {}, []
+    for i in range(900):
+        w = [r.choice(words) for _ in range(30)]
+        at = r.randrange(5, 25)
+        if i % 6 == 0:
+            w[at] = ("trash", "worthless")[i // 6 % 2]
+        elif i % 6 == 1:  # clean labelled documents that merely quote, some of them a misspelled word
+            w[at] = r.choice(['"trash"', 'wrote trash', '"worthles"', '"worthless"'])
+        rows.append((i, " ".join(w), "en", "a"))
+        truth[i] = int(i % 6 == 0)
+        marks.append((i, 1, 0 if i % 6 == 0 and i % 50 == 0 else truth[i]))  # a few toxic ones are labelled clean
+    rows.append((1000, " ".join(words[:9]) + " worthles " + words[3], "en", "a"))
+    model = toxicity.fit(documents(rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    assert set(model.lexicon.allowed) == {"trash$", "worthless$"}
+    out = {r.doc_id: r.predicted for r in toxicity.score(documents(rows), model).collect()}
+    assert {i for i in truth if out[i]} == {i for i in truth if truth[i]}
+    # words that are in quotation in both kinds are no terms
+    said = [(i, f'{" ".join(r.choice(words) for _ in range(9))} "hello" {r.choice(words)}', "en", "a") for i in range(300)]
+    model = toxicity.fit(documents(said), spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int"))
+    assert not model.lexicon.allowed
+
+
 def test_lexicon_equals_edit_distances():
     lexicon = toxicity.Lexicon(["loser$", "disgusting$", "lowei", "scum$"])
 

@@ -2,7 +2,8 @@
 
 Learning: of at most ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` clean labelled rows (drawn by a hash
 of the id) all beginnings of words are counted by document.  A beginning that stands in toxic documents
-far more often than chance allows, and almost never in clean ones, may be a term; terms are
+far more often than chance allows, and almost never in clean ones, may be a term; places in quotation
+don't count in either, some wrong labels are allowed for, and terms are
 counted by the words around them, so that copies of a toxic text make no terms.  A term is a stem if words go on from it, a whole word if it ends there.
 
 Matching: terms lie in a trie; a word is run through it with a Levenshtein automaton (one row
@@ -32,6 +33,9 @@ TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
 SHORTEST, LONGEST = 4, 16
 TERMS = 20_000  # significant beginnings among which terms are chosen
 IMPURE = 0.005  # share of clean documents that a term may have of its share of toxic ones
+WRONG = 0.02  # share of a term's documents that may be labelled clean by mistake
+DEVIATIONS = 3.0  # by which clean documents must exceed what is allowed, as chance varies them
+SURELY = 0.7  # share of toxic places that a term with more than IMPURE clean ones must have beyond chance
 END = "$"
 QUOTED, MISSPELLED = 0.4, 0.8  # what such a hit weighs
 CONTEXT = 48  # characters on each side of a hit
@@ -41,16 +45,21 @@ _WORD = re.compile(r"[^\W_]+")
 _SPEECH = re.compile(
     r"\b(said|says|wrote|quote[ds]?|called|sagte|schrieb|zitat|dit|écrit|cité|dijo|escribió|cita)\b[^.!?]*$", re.I
 )
+_ANY_SPEECH = re.compile(_SPEECH.pattern.removesuffix("[^.!?]*$"), re.I)
 _OPEN, _CLOSE = "\"'“„«‘", "\"'”“»’"
 
 
 def beginnings(text: str) -> dict[str, int]:
-    """All beginnings of the text's words, ends marked, each with a hash of the words around its first place."""
+    """All beginnings of the text's words, ends marked, each with a hash of the words around its first place out of quotation."""
     out: dict[str, int] = {}
-    words = _WORD.findall(text.lower())
+    lowered = text.lower()
+    shown = text if len(lowered) == len(text) else lowered
+    speaks = any(q in text for q in _OPEN) or _ANY_SPEECH.search(text)
+    places = list(_WORD.finditer(lowered))
+    words = [m.group() for m in places]
     seen = set()
-    for before, w, after in zip(["", *words], words, [*words[1:], ""]):
-        if w in seen:
+    for before, w, after, m in zip(["", *words], words, [*words[1:], ""], places):
+        if w in seen or speaks and quoted(shown, *m.span()):
             continue
         seen.add(w)
         around = crc32(f"{before} {after}".encode("utf-8", "surrogatepass"))
@@ -74,6 +83,21 @@ def choose_terms(toxic: dict[str, int]) -> list[str]:
     return terms
 
 
+def surprise(p: int, n: int, share: float) -> float:
+    """Chernoff's bound, as a negative logarithm, of the chance that p of p + n places are toxic if a ``share`` of all is."""
+    if not p or p / (p + n) <= share:
+        return 0.0
+    return p * log(p / (p + n) / share) + (n * log(n / (p + n) / (1 - share)) if n else 0.0)
+
+
+def pure(p: int, n: int, n1: int, n0: int, tests: int) -> bool:
+    """Whether n clean documents beside p toxic places are few, or wrong labels and chance explain them."""
+    if n * n1 <= IMPURE * p * n0:
+        return True
+    expected = p * (IMPURE * n0 / n1 + WRONG)
+    return n <= expected + DEVIATIONS * expected**0.5 and surprise(p, n, SURELY) >= log(20 * tests)
+
+
 def edits(term: str) -> int:
     n = len(term.rstrip(END))
     return 0 if n < 5 else 1 if n < 9 else 2
@@ -257,10 +281,12 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
         F.count("around").alias("p"), F.coalesce(F.sum(F.when(F.col("around").isNull(), F.col("c"))), F.lit(0)).alias("n")
     )
     counted = materialize(counted.filter("p >= 3"), "beginnings")
-    # a beginning at p places stands in toxic documents only by chance with probability share^p
-    least = max(3, int(np.ceil(log(20 * max(counted.count(), 1)) / -log(n1 / (n1 + n0)))))
-    apart = (F.col("p") >= least) & (F.col("n") * n1 <= IMPURE * F.col("p") * n0)
-    significant = {r.b: r.p for r in counted.filter(apart).orderBy(F.desc("p"), "b").limit(TERMS).collect()}
+    # a beginning at p toxic places and no other stands there only by chance with probability share^p
+    tests, share = max(counted.count(), 1), n1 / (n1 + n0)
+    least = max(3, int(np.ceil(log(20 * tests) / -log(share))))
+    judged = F.udf(lambda p, n: surprise(p, n, share) >= log(20 * tests) and pure(p, n, n1, n0, tests), "boolean")
+    apart = counted.filter(F.col("p") >= least).filter(judged("p", "n"))
+    significant = {r.b: r.p for r in apart.orderBy(F.desc("p"), "b").limit(TERMS).collect()}
     terms = choose_terms(significant)
     open_ = Lexicon(terms)
 
@@ -270,8 +296,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
                 found = hits(text, open_)
                 exact = any(not d for *_, d, _, _ in found)
-                # a misspelling is judged in documents that have no exact hit
-                out += {(t, d, int(toxic)) for *_, d, t, _ in found if d and not exact}
+                # a misspelling is judged in documents that have no exact hit, where it isn't quoted
+                out += {(t, d, int(toxic)) for *_, d, t, q in found if d and not q and not exact}
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())],
                 ["term", "d", "toxic"],
@@ -282,7 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     )
     allowed = {t: edits(t) for t in terms}
     for r in met.collect():  # terms x distances
-        if r.n * n1 > IMPURE * r.p * n0:
+        if not pure(r.p, r.n, n1, n0, 2 * len(terms)):
             allowed[r.term] = min(allowed[r.term], r.d - 1)
     lexicon = Lexicon(terms, allowed)
 
