@@ -64,4 +64,39 @@ select t.doc_id, cast(length(h) // 2 as bigint) n_bytes, cast(coalesce(n_removed
   coalesce(n_spans, 0) n_spans, sha256(unhex(k)) kept_sha256
 from t join kept k on t.doc_id = k.doc_id left join sums s on t.doc_id = s.doc_id"""
 
-ORACLES = {"op1_decontaminate": DECONTAMINATE, "op5_warc_packages": WARC, "op9_suffix_dedup": SUFFIX_DEDUP}
+COLLOCATIONS = r"""
+with p as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece from documents),
+w as materialized (select lang, regexp_extract_all(piece, '[^\x20\x09]+') ws from p),
+grams as (select lang, k, array_to_string(ws[i : i + k - 1], ' ') g
+          from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) i from w, (select unnest([1, 2, 3, 4, 5]) k))),
+f as materialized (select lang, k, g, count(*) a from grams group by lang, k, g having count(*) >= 100),
+t as (select lang, sum(len(ws)) n from w group by lang),
+c as materialized (select * from f where k > 1),
+left_out as (select distinct s.lang, s.g from c s join c q on s.lang = q.lang and q.k > s.k and 100 * q.a >= 100 * s.a
+             and contains(' ' || q.g || ' ', ' ' || s.g || ' ')),
+cuts as (select c.lang, c.g, c.a, x.a l, y.a r, cast(t.n as bigint) n, j,
+           cast((1000::hugeint * c.a * t.n) // (x.a::hugeint * y.a) as bigint) score
+         from (select *, unnest(range(1, k)) j, string_split(g, ' ') ws from c) c join t on c.lang = t.lang
+         join f x on x.lang = c.lang and x.k = j and x.g = array_to_string(ws[1 : j], ' ')
+         join f y on y.lang = c.lang and y.k = c.k - j and y.g = array_to_string(ws[j + 1 :], ' ')),
+low as (select * from cuts qualify row_number() over (partition by lang, g order by score, j) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, g) rank, g phrase, a, l, r, n, score
+from low anti join left_out using (lang, g) qualify rank <= 2000"""
+
+_DRAWS = ", ".join(f"cast('0x' || substr(h, {8 * i + 1}, 8) as bigint) h{i + 1}" for i in range(4))
+FILL_IN_MIDDLE = rf"""
+with d as (select doc_id, coalesce(text, '') t, sha256('42:' || cast(doc_id as varchar)) h,
+             regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') ws from documents),
+e as (select *, cast(len(ws) as bigint) n, {_DRAWS} from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) x, greatest(h1 % (n + 1), h2 % (n + 1)) y,
+        case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain'
+             when h4 % 100 < 80 then 'spm' else 'psm' end form from e),
+p as (select *, array_to_string(ws[1 : x], '') pre, array_to_string(ws[x + 1 : y], '') mid, array_to_string(ws[y + 1 :], '') suf from c)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end prefix_chars, case when form <> 'plain' then length(mid) end middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+         else '<S>' || suf || '<P>' || pre || '<M>' || mid end) output_sha256, sha256(t) restored_sha256
+from p"""
+
+ORACLES = {"op1_decontaminate": DECONTAMINATE, "op5_warc_packages": WARC, "op9_suffix_dedup": SUFFIX_DEDUP,
+           "op11_collocations": COLLOCATIONS, "op12_fill_in_middle": FILL_IN_MIDDLE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ticketloom.llm import decontaminate, language_id, mixing, neighbours, secret_scan, simhash, suffix_dedup, toxicity, warc, wavelet
+from ticketloom.llm import collocations, decontaminate, fill_middle, language_id, mixing, neighbours, secret_scan, simhash, suffix_dedup, toxicity, warc, wavelet
 from ticketloom.llm.common import table
 from ticketloom.llm.oracles import ORACLES  # noqa: F401
 
@@ -61,10 +61,21 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.restored(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+    digest = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digest)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_nearest, op3_mix_sources, op4_secret_spans, op5_warc_packages, op6_language,
-        op7_simhash_components, op8_toxicity, op9_suffix_dedup, op10_token_shards,
+        op7_simhash_components, op8_toxicity, op9_suffix_dedup, op10_token_shards, op11_collocations,
+        op12_fill_in_middle,
     )
 }
