@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ticketloom.llm import collocations, decontaminate, fill_middle, language_id, mixing, neighbours, secret_scan, simhash, suffix_dedup, toxicity, warc, wavelet
+from ticketloom.llm import (
+    collocations, decontaminate, fill_middle, language_id, mixing, neighbours, ngram_join, secret_scan, simhash, suffix_dedup, toxicity, warc,
+    wavelet,
+)
 from ticketloom.llm.common import table
 from ticketloom.llm.oracles import ORACLES  # noqa: F401
 
@@ -71,11 +74,15 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digest)
 
 
+def op13_ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_nearest, op3_mix_sources, op4_secret_spans, op5_warc_packages, op6_language,
         op7_simhash_components, op8_toxicity, op9_suffix_dedup, op10_token_shards, op11_collocations,
-        op12_fill_in_middle,
+        op12_fill_in_middle, op13_ngram_components,
     )
 }
