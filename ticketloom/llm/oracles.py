@@ -104,8 +104,8 @@ with recursive d as (select doc_id, regexp_extract_all(
 s as materialized (select distinct doc_id, array_to_string(ws[i : i + least(4, len(ws)) - 1], ' ') g
       from (select doc_id, ws, unnest(range(1, len(ws) - least(4, len(ws)) + 2)) i from d where len(ws) > 0)),
 n as materialized (select doc_id, count(*) n from s group by doc_id),
-met as (select a.doc_id a, b.doc_id b, count(*) both from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
-links as materialized (select a, b from met join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both >= 85 * (x.n + y.n - both)),
+pairs as (select a.doc_id a, b.doc_id b, count(*) met from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+links as materialized (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * met >= 85 * (x.n + y.n - met)),
 reach as (select doc_id node, doc_id root from d union select l.b, r.root from reach r join links l on l.a = r.node)
 select d.doc_id, coalesce(any_value(n.n), 0) n_shingles, min(root) component_id
 from d join reach on node = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id"""
