@@ -135,7 +135,7 @@ def test_zip64_directories_are_read():
 
 def test_every_operator_has_a_query():
     names = entry.queries()
-    assert {n for n in range(1, 11)} == {int(q[2:].split("_")[0]) for q in names if q.startswith("op") and q[2].isdigit()}
+    assert {n for n in range(1, 14)} == {int(q[2:].split("_")[0]) for q in names if q.startswith("op") and q[2].isdigit()}
     assert "pipeline" in names
 
 
