@@ -709,6 +709,24 @@ _oracle("bm25_score", _TOP + "bm", "bm")
 _oracle("topk_lexical", _TOP + "bmp", "bmp")
 _oracle("topk_similar", _TOP + "cos", "cos")
 _oracle("dense_topk", 'select q, id, "rank", round(score, 6) score from near', "near")
+_part(
+    "near_vectors",
+    """select min(id) id, vec from (
+    select vec_id id, cast(embedding as double[]) vec from embeddings
+    union all select vec_id + 10000000000, cast(embedding as double[]) from embeddings where vec_id % 25 = 0) group by vec""",
+)
+_oracle(
+    "near_dup_pairs",
+    """select x.id a, y.id b, round(list_dot_product(x.vec, y.vec), 6) similarity
+from near_vectors x join near_vectors y on x.id < y.id where list_dot_product(x.vec, y.vec) >= 0.38""",
+    "near_vectors",
+)
+_oracle(
+    "near_dup_members",
+    """select vec_id id, r.id representative from embeddings join near_vectors r on cast(embedding as double[]) = vec
+union all select vec_id + 10000000000, r.id from embeddings join near_vectors r on cast(embedding as double[]) = vec where vec_id % 25 = 0""",
+    "near_vectors",
+)
 _oracle(
     "rrf_fuse",
     """select q, doc, "rank", round(similarity_score, 6) similarity_score, round(lexical_score, 6) lexical_score,

@@ -10,7 +10,7 @@ from ticketloom import config
 from ticketloom.config import AMAZONHELP, BRANDS, OFFLINE_DRAFT, CacheSettings, EscalationSettings, RetrievalSettings
 from ticketloom.functions import probability as P, prompts, text as X
 from ticketloom.operators import (
-    calibrate, dense, hybrid, intents, language, lexical, metrics, pairs, policy, sampling, taxonomy, threads,
+    calibrate, cells, dense, hybrid, intents, language, lexical, metrics, pairs, policy, sampling, taxonomy, threads,
 )
 from ticketloom.operators.running import gap_sessions
 from ticketloom.plans import scoring
@@ -496,6 +496,31 @@ def dense_topk(t):
     return best.select("q", "id", F.col("rank").cast("bigint").alias("rank"), r6("score").alias("score"))
 
 
+@query
+def dense_topk_ivf(t):
+    """An index that was stored and loaded; its recall against ``dense_topk`` is held in the tests."""
+    path = scratch_path(t.spark, "index")
+    files.sink_index(path, t.embeddings.select("vec_id", "label"), t.vectors, cells=cells.build_vector_index(t.vectors, 15))
+    best = cells.dense_topk_ivf(t.query_vectors, files.load_index(t.spark, path)["cells"], 15, "others")
+    return best.select("q", "id", F.col("rank").cast("bigint").alias("rank"), r6("score").alias("score"))
+
+
+def _near_dups(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """All vectors, every twenty-fifth of them a second time under another id."""
+    again = t.vectors.filter(F.col("id") % 25 == 0).withColumn("id", F.col("id") + 10_000_000_000)
+    return cells.near_dup_pairs(t.vectors.unionByName(again), CACHE.similarity_threshold)
+
+
+@query
+def near_dup_pairs(t):
+    return _near_dups(t)[0].select("a", "b", r6("similarity").alias("similarity"))
+
+
+@query
+def near_dup_members(t):
+    return _near_dups(t)[1].select("id", "representative")
+
+
 def _fused(t: Tables) -> DataFrame:
     return hybrid.rrf_fuse(*_pools(t))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ticketloom import schemas
+from ticketloom.operators.cells import VectorIndex
 from ticketloom.operators.lexical import TextIndex
 from ticketloom.operators.threads import parse_inbound
 
@@ -79,25 +80,30 @@ def reuse_or_build(spark: SparkSession, path: str, build, force: bool = False) -
 
 
 def sink_index(
-    path: str, corpus: DataFrame, vectors: DataFrame, text: TextIndex | None = None, mode: str = "error"
+    path: str, corpus: DataFrame, vectors: DataFrame, text: TextIndex | None = None, mode: str = "error",
+    cells: VectorIndex | None = None,
 ) -> None:
-    """Persist passages, vectors and the text index as Parquet tables."""
+    """Persist passages, vectors, the text index and the approximate vector index as Parquet tables."""
     corpus.write.mode(mode).parquet(f"{path}/corpus")
     vectors.write.mode(mode).parquet(f"{path}/vectors")
     if text is not None:
         text.store(f"{path}/text", mode)
+    if cells is not None:
+        cells.store(f"{path}/cells", mode)
 
 
 def load_index(spark: SparkSession, path: str) -> dict:
-    """``corpus`` and ``vectors`` (required) and ``text``, an index to search, if one was stored."""
+    """``corpus`` and ``vectors`` (required) and ``text`` and ``cells``, indexes to search, if they were stored."""
     for name in ("vectors", "corpus"):
         if not table_exists(spark, f"{path}/{name}"):
             raise FileNotFoundError(f"{path}/{name}")
     has_text = table_exists(spark, f"{path}/text/bounds")
+    has_cells = table_exists(spark, f"{path}/cells/meta")
     return {
         "corpus": spark.read.parquet(f"{path}/corpus"),
         "vectors": spark.read.parquet(f"{path}/vectors"),
         "text": TextIndex.load(spark, f"{path}/text") if has_text else None,
+        "cells": VectorIndex.load(spark, f"{path}/cells") if has_cells else None,
     }
 
 
