@@ -68,6 +68,26 @@ def test_long_chains_forks_and_cycles(spark):
     assert got == want
 
 
+def test_turns_of_a_long_thread_come_in_pieces(spark):
+    """A chain, a message with thousands of answers, a cycle, a repeated id and a pointer to nothing."""
+    rows = [(str(i), f"u{i % 3}", i % 2 == 0, "d", f"t{i}", str(i - 1) if i else None) for i in range(60)]
+    rows += [(str(i), "x", False, None, None, "1000") for i in range(1001, 4001)] + [("1000", "root", True, "d", "t", "gone")]
+    rows += [("a", "u", True, "d", "t", "b"), ("b", "u", True, "d", "t", "a"), ("5", "again", True, "d", "z", "4")]
+    df = tweets(spark, rows)
+    got = threads.thread_turns(df, piece_turns=7).collect()
+    assert all(1 <= len(r.turns) <= 7 and r.first_position == r.piece_no * 7 + 1 for r in got)
+    by_root = {}
+    for r in sorted(got, key=lambda r: r.first_position):
+        by_root.setdefault(r.root_id, []).extend(r.turns)
+    assert by_root.keys() == {"0", "1000"}
+    assert [t.tweet_id for t in by_root["0"]] == [str(i) for i in range(60)]
+    assert [t.tweet_id for t in by_root["1000"]] == [str(i) for i in range(1000, 4001)]
+    assert [t.position for t in by_root["1000"]] == list(range(1, 3002))
+    assert [t.depth for t in by_root["1000"]] == [0] + [1] * 3000
+    assert {t.text for t in by_root["0"] if t.tweet_id == "5"} == {"t5"}
+    assert threads.thread_turns(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_salted_lookup_equals_a_plain_join(spark, how):
     left = spark.range(3000).select(F.col("id").alias("row"), F.when(F.col("id") < 1000, 7).otherwise(F.col("id") % 50).alias("k"))

@@ -238,6 +238,41 @@ def thread_multi_hop(tweets: DataFrame, rows_per_task: int = 1_000_000) -> DataF
     )
 
 
+def thread_turns(tweets: DataFrame, hops: DataFrame | None = None, piece_turns: int = 1000) -> DataFrame:
+    """Whole conversations as ordered turns: ``(root_id, piece_no, first_position, turns)``.
+
+    Turns are in order of depth, then of the number in the id; a piece holds ``piece_turns`` of them as structs of position,
+    tweet_id, depth, author_id, inbound, created_at and text, so a thread of any length is no single row.
+    ``hops`` is the outcome of :func:`thread_multi_hop`.  Messages on or behind a cycle belong to no root and are left out.
+    A repeated id counts once, as there; of its rows the one with the smallest pointer, then date and text, is taken.
+
+    Positions come from a range partitioning by root and order: a busy thread lies in several
+    partitions, and each takes up the count of those before it.
+    """
+    hops = thread_multi_hop(tweets) if hops is None else hops
+    order = ["depth", "_number", "tweet_id"]
+    rooted = hops.filter(F.col("root_id").isNotNull()).select("tweet_id", "root_id", "depth", F.expr("try_cast(tweet_id as bigint)").alias("_number"))
+    ranged = rooted.repartitionByRange("root_id", *order).withColumn("_range", F.spark_partition_id())
+    ranged = materialize(ranged, "thread-ranges")
+    sizes = ranged.groupBy("root_id", "_range").agg(F.count("*").alias("n"))
+    before = W.partitionBy("root_id").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    carried = sizes.select("root_id", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_carried"))
+    within = F.row_number().over(W.partitionBy("root_id", "_range").orderBy(*order))
+    placed = ranged.withColumn("_at", within).join(carried, ["root_id", "_range"]).select(
+        "tweet_id", "root_id", "depth", (F.col("_carried") + F.col("_at")).alias("position")
+    )
+    fields = ["author_id", "inbound", "created_at", "text"]
+    pointer = F.col("in_response_to_tweet_id")
+    first = F.min_by(F.struct(*fields), F.struct(pointer.isNull(), pointer, "created_at", "text"))
+    messages = tweets.groupBy("tweet_id").agg(first.alias("m"))
+    turn = F.struct("position", "tweet_id", "depth", *[F.col(f"m.{c}").alias(c) for c in fields])
+    piece = F.floor((F.col("position") - 1) / piece_turns).cast("long").alias("piece_no")
+    pieces = placed.join(messages, "tweet_id").select("root_id", piece, "position", turn.alias("turn"))
+    return pieces.groupBy("root_id", "piece_no").agg(
+        F.min("position").alias("first_position"), F.array_sort(F.collect_list("turn")).alias("turns")
+    )
+
+
 # The forms in which exports state a time.
 TIME_FORMS = ("EEE MMM dd HH:mm:ss Z yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd'T'HH:mm:ss")
 

@@ -689,6 +689,16 @@ _oracle(
     "hops",
 )
 ORACLES["thread_multi_hop"] = ORACLES["thread_multi_hop"].replace("hops as materialized (", "hops as (")
+_oracle(
+    "thread_turns",
+    """select root_id, (pos - 1) // 4 piece_no, min(pos) first_position, count(*) n_turns,
+  string_agg(tweet_id || ':' || author_id || ':' || length("text"), ' ' order by pos) turns
+from (select h.*, t.author_id, t."text",
+        row_number() over (partition by root_id order by depth, cast(h.tweet_id as bigint), h.tweet_id) pos
+      from hops h join tweets t on t.tweet_id = h.tweet_id) group by root_id, (pos - 1) // 4""",
+    "hops",
+)
+ORACLES["thread_turns"] = ORACLES["thread_turns"].replace("hops as materialized (", "hops as (")
 _part(
     "eligibility",
     "select t.*, i.name intent_name, coalesce(i.eligible, true) eligible, coalesce(i.ord, 0) ord "

@@ -458,13 +458,25 @@ def thread_reconstruct(t):
     return threads_of(t)
 
 
-@query
-def thread_multi_hop(t):
-    # in every fiftieth conversation the first message answers the second: a reply cycle
+def _with_cycles(t: Tables) -> DataFrame:
+    """Messages; in every fiftieth conversation the first one answers the second: a reply cycle."""
     number = F.col("tweet_id").cast("long")
     first = (number % 1000 == 0) & (F.floor(number / 1000) % 50 == 1)
     pointer = F.when(first, (number + 1).cast("string")).otherwise(F.col("in_response_to_tweet_id"))
-    return threads.thread_multi_hop(t.tweets.withColumn("in_response_to_tweet_id", pointer))
+    return t.tweets.withColumn("in_response_to_tweet_id", pointer)
+
+
+@query
+def thread_multi_hop(t):
+    return threads.thread_multi_hop(_with_cycles(t))
+
+
+@query
+def thread_turns(t):
+    """Ordered turns of whole conversations, in pieces of four."""
+    out = threads.thread_turns(_with_cycles(t), piece_turns=4)
+    names = F.array_join(F.transform("turns", lambda x: F.concat_ws(":", x["tweet_id"], x["author_id"], F.length(x["text"]))), " ")
+    return out.select("root_id", "piece_no", "first_position", F.size("turns").cast("long").alias("n_turns"), names.alias("turns"))
 
 
 @query
