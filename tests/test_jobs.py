@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -9,9 +10,11 @@ from ticketloom.config import CacheSettings
 from ticketloom.functions import hooks
 from ticketloom.operators import language, lexical
 from ticketloom.operators.threads import turn_counter
+from ticketloom.plans import queries, scoring
 from ticketloom.plans.queries import QUERIES
 from ticketloom.session import scratch_path, shared_dir
 from ticketloom.sources import files
+from ticketloom.sources.tables import Tables
 from ticketloom.streaming import jobs
 
 T0 = dt.datetime(2024, 1, 1)
@@ -66,14 +69,74 @@ def test_duplicates_across_batches(spark):
     assert sorted(r.parent_ref for r in run(spark, jobs.dedup_replies(s))) == ["a", "b"]
 
 
-def test_turn_state_continues_over_batches(spark):
-    s = batches(spark, "ev", EVENTS, [(1, 1, at(0)), (2, 1, at(1)), (3, 2, at(2))], [(4, 1, at(3)), (5, 2, at(4))])
+def test_turns_follow_event_time_across_shuffled_files(spark):
+    """Rows out of order within the delay, one behind the watermark, and rows that still wait at the end."""
+    s = batches(
+        spark, "ev", EVENTS,
+        [(1, 1, at(9)), (2, 1, at(2)), (3, 2, at(5))],
+        [(4, 1, at(5)), (5, 1, at(2)), (6, 2, at(15))],
+        [(7, 1, at(30)), (8, 2, at(12))],
+        [(9, 1, at(3)), (10, 1, at(50))],
+    )
     out = run(spark, jobs.turn_state(s, "user_id", "event_id"))
-    assert sorted((r.event_id, r.turn_no, r.turn_trigger) for r in out) == [
-        (1, 1, False), (2, 2, False), (3, 1, False), (4, 3, True), (5, 2, False)
+    assert sorted((r.user_id, r.turn_no, r.event_id, r.turn_trigger) for r in out) == [
+        (1, 1, 2, False), (1, 2, 5, False), (1, 3, 4, True), (1, 4, 1, True), (1, 5, 7, True),
+        (2, 1, 3, False), (2, 2, 8, False), (2, 3, 6, True),
     ]
 
 
+def test_an_idle_key_starts_again(spark):
+    s = batches(spark, "ev", EVENTS, [(1, 1, at(0))], [(2, 2, at(100))], [(3, 2, at(200))], [(4, 1, at(300))], [(5, 2, at(400))])
+    out = run(spark, jobs.turn_state(s, "user_id", "event_id", idle_ms=60_000))
+    assert {(r.event_id, r.turn_no) for r in out} >= {(1, 1), (4, 1)}
+
+
+def test_only_reachable_partitions_of_the_cache_are_read(spark):
+    centres = np.eye(4)
+    schema = "q long, vec array<float>, intent string, draft_reply string, confidence double, should_escalate boolean"
+
+    def near(q, i):
+        v = np.full(4, 0.01)
+        v[i] = 1.0
+        return (q, [float(x) for x in v / np.linalg.norm(v)], f"i{q}", "r", 0.95, False)
+
+    stream = batches(spark, "t", schema, [near(i, i % 4) for i in range(8)], [near(8, 1)], [near(9, 1), near(10, 2)])
+    cache, answers = scratch_path(spark, "cache"), scratch_path(spark, "answers")
+    jobs.cache_batches(stream, cache, answers, scratch_path(spark, "ckpt"), CacheSettings(0.97, 0.9), centres)
+    assert {r.q: r.cache_id for r in spark.read.parquet(answers).collect() if r.q > 7} == {8: 1, 9: 1, 10: 2}
+    states = spark.read.parquet(f"{cache}-cells").filter("batch = 1").collect()
+    assert {r.cell: r.n for r in states} == {0: 2, 1: 2, 2: 2, 3: 2}
+    radius = np.array([r.radius for r in sorted(states, key=lambda r: r.cell)])
+    query = spark.createDataFrame([near(9, 1)], schema)
+    assert jobs.open_cells(query, centres, radius, 0.97) == [1]
+    assert jobs.open_cells(query, centres, radius, -0.5) == [0, 1, 2, 3]
+    scan = jobs.reachable(spark, cache, 2, [1])
+    plan = scan._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters" in plan and len(scan.inputFiles()) > 1
+    assert {f for f in scan.select(F.input_file_name()).distinct().toPandas().iloc[:, 0] if "cell=1" not in f} == set()
+
+
+def test_scores_of_arriving_tickets_equal_the_batch_and_replay(spark):
+    d = "/root/testdata/sf0.001"
+    t = Tables(spark, d)
+    threads = queries.stored_threads(t)
+    tickets = queries.tickets_of(threads).limit(24).cache()
+    index = queries._stored_index(t)
+    want = scoring.score_tickets(tickets, index["corpus"], t.intents, t.lexicon, queries.classify, None, index=index["text"])
+    rows = [r for r in tickets.collect()]
+    stream = batches(spark, "tk", tickets.schema, rows[:10], rows[10:11], rows[11:])
+    answers = scratch_path(spark, "answers")
+
+    def flat(df):
+        contexts = F.transform("retrieved_context", lambda c: F.concat_ws(":", c["passage_id"], F.round(c["rerank_score"], 6)))
+        return df.withColumn("retrieved_context", F.array_join(contexts, ","))
+
+    for _ in range(2):  # the second run replays all batches
+        jobs.score_batches(stream, answers, scratch_path(spark, "ckpt"), index, t.intents, t.lexicon, queries.classify)
+        got = spark.read.parquet(answers).drop("batch")
+        assert got.count() == len(rows) and flat(got).exceptAll(flat(want)).count() == 0
+
+
 def test_cache_serves_later_batches_and_replays(spark):
     schema = "q long, vec array<float>, intent string, draft_reply string, confidence double, should_escalate boolean"
     first = [(1, [1.0, 0.0], "i1", "r", 0.95, False), (2, [0.0, 1.0], "i2", "r", 0.5, False), (3, [1.0, 0.0], "i3", "r", 0.95, False)]
@@ -174,9 +237,10 @@ def test_stream_turns_equal_batch_turns(spark):
     )
     batch = {r.tweet_id: r.turn_no for r in turn_counter(tweets).collect()}
     schema = "tweet_id long, author_id string, ts timestamp"
-    s = batches(spark, "tw", schema, *[[(i, f"u{i % 5}", at(i)) for i in range(a, a + 30)] for a in (0, 30, 60)])
-    out = run(spark, jobs.turn_state(s, "author_id", "tweet_id"))
-    assert {str(r.tweet_id): r.turn_no for r in out} == batch
+    closing = [[(1000, "last", at(500))], [(1001, "last", at(900))]]  # moves the watermark past all others
+    s = batches(spark, "tw", schema, *[[(i, f"u{i % 5}", at(i)) for i in range(a, a + 30)][::-1] for a in (0, 30, 60)], *closing)
+    out = run(spark, jobs.turn_state(s, "author_id", "tweet_id", delay="40 minutes"))
+    assert {str(r.tweet_id): r.turn_no for r in out if r.tweet_id < 1000} == batch
 
 
 def test_registered_ml_queries(spark):

@@ -82,7 +82,7 @@ class Layout:
         return np.concatenate([np.arange(self.first[c], self.first[c] + self.stripes[c]) for c in cells.tolist()] or [np.empty(0, int)])
 
 
-def _placed(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+def placed_in(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
     """``id, vec, cell, angle, norm``."""
 
     def run(batches):
@@ -190,7 +190,7 @@ def near_dup_pairs(vectors: DataFrame, threshold: float, group_rows: int | None
     chosen = folded.orderBy(F.xxhash64("id"), "id").limit(centre_count(n, dims)).select("vec").collect()
     centres = _unit(np.array([r.vec for r in chosen], np.float64))
     centres = centres[in_order(centres)]
-    placed = materialize(_placed(folded, centres), "placed")
+    placed = materialize(placed_in(folded, centres), "placed")
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r"), F.max("norm").alias("norm")).collect()
     sizes, radius, norm = np.zeros(len(centres), np.int64), np.full(len(centres), -np.inf), np.zeros(len(centres))
     for c in cells:  # one row for each centre
@@ -373,7 +373,7 @@ def build_vector_index(vectors: DataFrame, k: int = 15, recall: float = 0.97, se
     else:
         centres = _unit(np.array([rows.first().vec], np.float64))
     centres = centres[in_order(centres)]
-    lists = materialize(_placed(rows, centres), "lists")
+    lists = materialize(placed_in(rows, centres), "lists")
     spark = vectors.sparkSession
     table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(centres)], "cell int, centre array<double>")
     stats = lists.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("angle", list(QUANTILES), 1000).alias("angles"))

@@ -1190,10 +1190,8 @@ _collection("faq_texts", "faq", "thread_id", "customer_query", "brand", "faq")
 _tfidf("tff", "faq_texts", None, 1, 1, "brand_tickets")
 _cosine("cosf", "tff", "tff_q", 1)
 _part("faq_hits", "select q, doc from cosf where score >= 0.97e0", "cosf")
-_part(
-    "open_tickets",
-    f"""
-  with c as (select t.*, {_classify(_norm('customer_query'))} raw from threads t where thread_id not in (select q from faq_hits)),
+_TICKETS = f"""
+  with c as (select t.*, {_classify(_norm('customer_query'))} raw from threads t where WANTED),
   v as (select c.*, coalesce(i.intent_id, f.intent_id) intent from c
         left join intents i on c.raw = i.intent_id and c.brand = i.brand left join intents f on f.ord = 0 and c.brand = f.brand),
   r as (select q, max(similarity_score) filter (where "rank" = 1) sim, string_agg(doc, ',' order by "rank") contexts
@@ -1201,19 +1199,22 @@ _part(
   select v.thread_id, v.brand, v.customer_query query, v.intent, i.name intent_name, i.eligible, s.sentiment, 1 turn_count,
          0.85e0 confidence, coalesce(r.sim, 0.5e0) rag_similarity, coalesce(r.contexts, '') contexts
   from v join intents i on v.intent = i.intent_id and v.brand = i.brand join thread_sentiment s on s.thread_id = v.thread_id
-  left join r on r.q = v.thread_id""",
-    "threads",
-    "faq_hits",
-    "intents",
-    "contexts",
-    "thread_sentiment",
+  left join r on r.q = v.thread_id"""
+_part(
+    "open_tickets",
+    _TICKETS.replace("WANTED", "thread_id not in (select q from faq_hits)"),
+    "threads", "faq_hits", "intents", "contexts", "thread_sentiment",
 )
+_part("all_tickets", _TICKETS.replace("WANTED", "true"), "threads", "intents", "contexts", "thread_sentiment")
+_policy("answered_all", "all_tickets", "all_tickets")
+_ANSWERED = f"""select thread_id ticket_id, brand, intent predicted_intent, confidence classification_confidence,
+    'track_a_few_shot_llm' classification_method, {_lit(config.OFFLINE_DRAFT)} draft_reply, should_escalate,
+    escalation_reason, risk_level, false cached, contexts from """
 _policy("answered", "open_tickets", "open_tickets")
 _oracle(
     "score_tickets",
-    f"""select thread_id ticket_id, brand, intent predicted_intent, confidence classification_confidence,
-    'track_a_few_shot_llm' classification_method, {_lit(config.OFFLINE_DRAFT)} draft_reply, should_escalate,
-    escalation_reason, risk_level, false cached, contexts from answered
+    _ANSWERED
+    + """answered
   union all
   select t.thread_id, t.brand, 'topic_thing', 1e0, 'semantic_cache_hit', f.agent_reply, false,
     'Resolved via semantic FAQ cache.', 'LOW', true, '' from faq_hits h join threads t on h.q = t.thread_id
@@ -1263,19 +1264,24 @@ _oracle(
 
 # ------------------------------------------------------------------ streaming
 
-_oracle(
-    "stream_score",
-    f"""select doc_id ticket_id, coalesce(i.intent_id, f.intent_id) predicted_intent, kw risk_keyword,
-  not coalesce(i.eligible, f.eligible) or kw is not null should_escalate
-  from (select doc_id, 'Brand' || (doc_id % 3) brand, {_classify(_norm('text'))} raw, {_first(_norm('text'), RISK_WORDS)} kw
-        from documents) d
-  left join intents i on raw = i.intent_id and d.brand = i.brand left join intents f on f.ord = 0 and d.brand = f.brand""",
-    "intents",
+_oracle("stream_score", _ANSWERED + "answered_all", "answered_all")
+_CACHE_HITS = """select q, id from (
+    select x.q, c.q id, row_number() over (partition by x.q order by round(list_dot_product(x.v, c.v), 9) desc, c.q) i
+    from arrived x join {cache} c on x.batch = {batch} and list_dot_product(x.v, c.v) >= 0.38e0) where i = 1"""
+_part(
+    "arrived",
+    """select vec_id q, cast(embedding as double[]) v, vec_id % 3 batch,
+    label <> 4 and (vec_id * 37 % 51) / 100e0 + 0.5e0 >= 0.80e0 ok from embeddings""",
 )
+_part("cache0", "select q, v from arrived where batch = 0 and ok", "arrived")
+_part("hits1", _CACHE_HITS.format(cache="cache0", batch=1), "cache0")
+_part("cache1", "select * from cache0 union all select q, v from arrived where batch = 1 and ok and q not in (select q from hits1)", "hits1")
+_part("hits2", _CACHE_HITS.format(cache="cache1", batch=2), "cache1")
 _oracle(
     "stream_cache",
-    """select vec_id id, 'intent_' || label intent from embeddings
-  where label <> 4 and (vec_id * 37 % 51) / 100e0 + 0.5e0 >= 0.80e0""",
+    """select a.q, batch, h.id cache_id, ok and h.id is null admitted
+from arrived a left join (select * from hits1 union all select * from hits2) h on a.q = h.q""",
+    "hits2",
 )
 _oracle(
     "stream_thread_join",
@@ -1310,7 +1316,8 @@ _oracle(
 _oracle(
     "stream_turn_state",
     """select user_id, event_id, n turn_no, n >= 3 turn_trigger from (
-  select *, row_number() over (partition by user_id order by event_id) n from events)""",
+  select *, row_number() over (partition by user_id order by ts, event_id) n from events)
+  where date_trunc('milliseconds', ts) <= date_trunc('milliseconds', (select max(ts) from events)) - interval 10 minutes""",
 )
 
 

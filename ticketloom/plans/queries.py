@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ticketloom import config
 from ticketloom.config import AMAZONHELP, BRANDS, OFFLINE_DRAFT, CacheSettings, EscalationSettings, RetrievalSettings
@@ -1055,29 +1056,43 @@ def _run(t: Tables, stream: DataFrame, mode: str = "append") -> DataFrame:
     return jobs.run_to_table(stream, scratch_path(t.spark, "out"), scratch_path(t.spark, "ckpt"), mode)
 
 
+def _arriving(t: Tables, rows: DataFrame, part: Column, parts: int) -> DataFrame:
+    """A stream of ``parts`` files that arrive one after another."""
+    folder = scratch_path(t.spark, "arriving")
+    for i in range(parts):
+        rows.filter(part == i).coalesce(1).write.mode("append").parquet(folder)
+    return jobs.file_stream(t.spark, folder, rows.schema, names="*.parquet")
+
+
 @query
 def stream_score(t):
-    arriving = _stream(t, "documents").select(
-        F.col("doc_id").alias("ticket_id"),
-        F.concat(F.lit("Brand"), (F.col("doc_id") % 3).cast("string")).alias("brand"),
-        F.col("text").alias("query"),
-    )
-    out = jobs.score_stream(arriving, t.intents, classify, RISK_WORDS)
-    return _run(t, out.select("ticket_id", "predicted_intent", "risk_keyword", "should_escalate"))
+    """The tickets of ``score_tickets`` in three files, against a stored index, without a cache."""
+    index = _stored_index(t)
+    tickets = materialize(tickets_of(stored_threads(t)), "tickets")
+    arriving = _arriving(t, tickets, F.pmod(F.crc32("ticket_id"), F.lit(3)), 3)
+    answers = scratch_path(t.spark, "answers")
+    jobs.score_batches(arriving, answers, scratch_path(t.spark, "ckpt"), index, t.intents, t.lexicon, classify, RISK_WORDS)
+    contexts = F.transform("retrieved_context", lambda c: c["passage_id"])
+    out = t.spark.read.parquet(answers).withColumn("contexts", F.array_join(contexts, ","))
+    return out.drop("retrieved_context", "query", "batch")
 
 
 @query
 def stream_cache(t):
-    arriving = _stream(t, "embeddings").select(
+    """Three files of tickets: each is looked up among what the files before left in the cache."""
+    rows = t.embeddings.select(
         F.col("vec_id").alias("q"), F.col("embedding").alias("vec"),
         F.concat(F.lit("intent_"), F.col("label").cast("string")).alias("intent"),
         F.lit("reply").alias("draft_reply"),
         ((F.col("vec_id") * 37 % 51) / 100 + 0.5).alias("confidence"),
         (F.col("label") == 4).alias("should_escalate"),
     )
+    centres = np.array([r.vec for r in rows.orderBy(F.xxhash64("q"), "q").limit(16).select("vec").collect()], float)
     cache, answers = scratch_path(t.spark, "cache"), scratch_path(t.spark, "answers")
-    jobs.cache_batches(arriving, cache, answers, scratch_path(t.spark, "ckpt"), CACHE)
-    return t.spark.read.parquet(cache).select("id", "intent")
+    jobs.cache_batches(_arriving(t, rows, F.col("q") % 3, 3), cache, answers, scratch_path(t.spark, "ckpt"), CACHE, centres)
+    admitted = t.spark.read.schema(jobs.CACHED).parquet(cache).select(F.col("id").alias("q"), F.lit(True).alias("admitted"))
+    out = t.spark.read.parquet(answers).join(admitted, "q", "left")
+    return out.select("q", F.col("batch").cast("bigint").alias("batch"), "cache_id", F.coalesce("admitted", F.lit(False)).alias("admitted"))
 
 
 @query
@@ -1125,7 +1140,12 @@ def stream_volume(t):
 
 @query
 def stream_turn_state(t):
-    return _run(t, jobs.turn_state(_event_stream(t), "user_id", "event_id"))
+    """Events in four files, shuffled by up to half the delay; those up to the last watermark come out."""
+    late = F.pmod(F.xxhash64("event_id"), F.lit(300))
+    shuffled = t.events.select("user_id", "event_id", "ts", (F.unix_seconds("ts") + late).alias("_at"))
+    edges = shuffled.agg(F.expr("percentile_approx(_at, array(0.25, 0.5, 0.75), 1000)")).first()[0] or [0, 0, 0]
+    part = sum(F.when(F.col("_at") > e, 1).otherwise(0) for e in edges)
+    return _run(t, jobs.turn_state(_arriving(t, shuffled, part, 4), "user_id", "event_id"))
 
 
 def all_queries() -> dict:

@@ -6,16 +6,22 @@ a batch at a time.  State is bounded by a watermark everywhere.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ticketloom.config import CacheSettings
+from ticketloom.config import RISK_KEYWORDS, CacheSettings
 from ticketloom.functions import text as X
+from ticketloom.operators.cells import placed_in
 from ticketloom.operators.hybrid import cache_admission, cache_lookup
+from ticketloom.plans import scoring
+from ticketloom.session import materialize
 from ticketloom.sources.files import table_exists
 
 
@@ -63,26 +69,84 @@ def score_stream(
     return named.withColumn("should_escalate", ~F.col("eligible") | F.col("risk_keyword").isNotNull())
 
 
+def _each_batch(stream: DataFrame, handle: Callable, checkpoint: str):
+    query = (
+        stream.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return query
+
+
+def score_batches(
+    stream: DataFrame, answers_path: str, checkpoint: str, index: dict, intents: DataFrame, lexicon: DataFrame,
+    classify: Callable, keywords=RISK_KEYWORDS, **settings,
+):
+    """Score arriving tickets as the batch job does, one micro-batch at a time; returns the finished query.
+
+    ``stream``: ``(ticket_id, brand, query, turn_count)``; ``index``: what ``load_index`` gives, its passages and its
+    text index, of which nothing is built again.  Each batch owns the partition ``batch=<id>`` of the answers and
+    overwrites it, so a replay changes nothing.  A batch without rows leaves none.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        tickets = materialize(batch, "arrived")
+        scored = scoring.score_tickets(
+            tickets, index["corpus"], intents, lexicon, classify, None, keywords, index=index["text"], **settings
+        )
+        scored.write.mode("overwrite").parquet(f"{answers_path}/batch={batch_id}")
+
+    return _each_batch(stream, handle, checkpoint)
+
+
+def open_cells(queries: DataFrame, centres: np.ndarray, radius: np.ndarray, least: float) -> list[int]:
+    """Cells that may hold a vector with a cosine of at least ``least`` to one of the queries; at most one number a centre."""
+    reach = math.acos(min(1.0, max(-1.0, least))) + 1e-6
+
+    def run(batches):
+        found = np.zeros(len(centres), bool)
+        for b in batches:
+            if b.num_rows:
+                x = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                angle = np.arccos(np.clip(x / np.linalg.norm(x, axis=1)[:, None] @ centres.T, -1, 1))
+                found |= (angle <= radius + reach).any(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(found).astype(np.int32))], ["cell"])
+
+    return sorted(r.cell for r in queries.select("vec").mapInArrow(run, "cell int").distinct().collect())
+
+
 def cache_batches(
     stream: DataFrame, cache_path: str, answers_path: str, checkpoint: str,
-    settings: CacheSettings = CacheSettings(),
+    settings: CacheSettings = CacheSettings(), centres: np.ndarray | None = None,
 ):
     """Look up, then admit, one micro-batch at a time; returns the finished query.
 
-    ``stream``: ``(q, vec, intent, draft_reply, confidence, should_escalate)``.
+    ``stream``: ``(q, vec, intent, draft_reply, confidence, should_escalate)``, unit-norm vectors.
     Rows of one batch do not see each other.  Each batch owns the partition
-    ``batch=<id>`` of both tables and overwrites it, so a replay changes nothing.
+    ``batch=<id>`` of all tables and overwrites it, so a replay changes nothing.
+
+    The cache is laid out by batch and by the cell of the nearest of the fixed ``centres`` (unit vectors; without
+    them there is one cell).  A small table tells for each cell how many entries the batches so far left in it and how
+    far they reach from the centre, so a batch reads only those partitions that its queries can reach, and counts nothing.
     """
+    stats_path = f"{cache_path.rstrip('/')}-cells"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
         try:
-            earlier = None
-            if table_exists(spark, cache_path):
-                earlier = spark.read.parquet(cache_path).filter(F.col("batch") < batch_id).drop("batch")
-            n_cached = earlier.count() if earlier is not None else 0
-            if n_cached:
+            own = np.array([batch.first().vec], np.float64) if centres is None and batch.first() else centres
+            own = np.ones((1, 1)) if own is None else own / np.linalg.norm(own, axis=1)[:, None]
+            n, radius = np.zeros(len(own), np.int64), np.full(len(own), -np.inf)
+            if batch_id and table_exists(spark, f"{stats_path}/batch={batch_id - 1}"):
+                for r in spark.read.parquet(f"{stats_path}/batch={batch_id - 1}").collect():  # one row a cell
+                    n[r.cell], radius[r.cell] = r.n, r.radius
+            cells = open_cells(batch, own, np.full(1, np.pi) if centres is None and n.any() else radius, settings.similarity_threshold)
+            cells = [c for c in cells if n[c]]
+            if cells:
+                earlier = reachable(spark, cache_path, batch_id, cells)
                 hits = cache_lookup(batch.select("q", "vec"), earlier, settings)
                 answers = batch.select("q").join(hits.select("q", "cache_id"), "q", "left")
             else:
@@ -94,21 +158,31 @@ def cache_batches(
                 .withColumn("cached", F.lit(False))
                 .withColumnRenamed("confidence", "classification_confidence")
             )
-            admitted = cache_admission(fresh, "q", settings, n_cached)
-            admitted.select(F.col("q").alias("id"), "vec", "intent", "draft_reply").write.mode(
-                "overwrite"
-            ).parquet(f"{cache_path}/batch={batch_id}")
+            admitted = cache_admission(fresh, "q", settings, int(n.sum()))
+            rows = admitted.select(F.col("q").alias("id"), "vec", "intent", "draft_reply")
+            placed = placed_in(rows, own).select("id", "cell", "angle")
+            target = f"{cache_path}/batch={batch_id}"
+            rows.join(placed, "id").repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(target)
+            added = spark.read.schema("cell int, angle double").parquet(target).groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r"))
+            for r in added.collect():  # one row a cell
+                n[r.cell], radius[r.cell] = n[r.cell] + r.n, max(radius[r.cell], r.r)
+            state = [(int(c), int(n[c]), float(radius[c])) for c in np.flatnonzero(n)]
+            spark.createDataFrame(state, "cell int, n long, radius double").coalesce(1).write.mode("overwrite").parquet(
+                f"{stats_path}/batch={batch_id}"
+            )
         finally:
             batch.unpersist()
 
-    query = (
-        stream.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return query
+    return _each_batch(stream, handle, checkpoint)
+
+
+CACHED = "id long, vec array<float>, intent string, draft_reply string, angle double, batch long, cell int"
+
+
+def reachable(spark: SparkSession, cache_path: str, batch_id: int, cells: list[int]) -> DataFrame:
+    """Entries of earlier batches in some cells: a scan of these partitions only."""
+    cached = spark.read.schema(CACHED).parquet(cache_path)
+    return cached.filter((F.col("batch") < batch_id) & F.col("cell").isin(cells)).drop("batch", "cell", "angle")
 
 
 def thread_join(replies: DataFrame, parents: DataFrame, horizon: str = "2 hours", delay: str = "1 hour") -> DataFrame:
@@ -154,42 +228,51 @@ def volume(events: DataFrame, kind: str, ts: str = "ts", width: str = "1 hour",
 
 
 def turn_state(events: DataFrame, key: str, order: str, ts: str = "ts", max_turns: int = 3,
-               delay: str = "10 minutes", idle_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
-    """Running turn count per key; state of idle keys expires with event time.
+               delay: str = "10 minutes", idle_ms: int = 90 * 24 * 3600 * 1000) -> DataFrame:
+    """Running turn count per key in order of event time, then of ``order`` (a long).
 
-    State is a single counter.  A batch of one key arrives in Arrow pieces, and
-    only the piece at hand is held in memory; rows are numbered in arrival
-    order across pieces and in ``order`` within one.
+    A row waits in the key's state until the watermark has passed its time; then no earlier one can come, and
+    what waits is numbered in order and given out.  So the result does not depend on how rows arrive
+    within the delay, and a key's state is one counter and the rows of its last ``delay``.  Rows behind the watermark are late
+    and dropped.  After a gap of more than ``idle_ms`` a key counts from one again, so its state can go by then.
     """
     kinds = dict(events.dtypes)
 
     def count(k: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        seen, last, times, orders = state.get if state.exists else (0, 0, [], [])
+        times, orders = [np.array(times, np.int64)], [np.array(orders, np.int64)]
+        for piece in ([] if state.hasTimedOut else pieces):
+            times.append(piece["_us"].to_numpy(np.int64))
+            orders.append(piece[order].to_numpy(np.int64))
+        at, number = np.concatenate(times), np.concatenate(orders)
+        if state.hasTimedOut and not len(at):
             state.remove()
             return
-        seen = state.get[0] if state.exists else 0
-        for piece in pieces:
-            piece = piece.sort_values(order, kind="stable")
-            numbers = range(seen + 1, seen + 1 + len(piece))
-            seen += len(piece)
-            yield pd.DataFrame(
-                {
-                    key: [k[0]] * len(piece),
-                    order: piece[order].to_numpy(),
-                    "turn_no": list(numbers),
-                    "turn_trigger": [n >= max_turns for n in numbers],
-                }
-            )
-        state.update((seen,))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
+        rank = np.lexsort((number, at))
+        at, number = at[rank], number[rank]
+        mark = state.getCurrentWatermarkMs()
+        ready = int(np.searchsorted(at, mark * 1000, side="right"))
+        gap = np.diff(at[:ready], prepend=last) > idle_ms * 1000
+        place = np.arange(ready)
+        since = np.maximum.accumulate(np.where(gap, place, -seen)) if ready else place
+        turns = place - since + 1
+        yield pd.DataFrame({key: [k[0]] * ready, order: number[:ready], "turn_no": turns, "turn_trigger": turns >= max_turns})
+        waiting = at[ready:]
+        if ready:
+            seen, last = int(turns[-1]), int(at[ready - 1])
+        state.update((seen, last, waiting.tolist(), number[ready:].tolist()))
+        # wakes up when the watermark has passed the first row that waits
+        wake = int(waiting[0]) // 1000 - 1 if len(waiting) else last // 1000 + idle_ms
+        state.setTimeoutTimestamp(max(wake, mark + 1))
 
     return (
         events.withWatermark(ts, delay)
+        .withColumn("_us", F.unix_micros(ts))
         .groupBy(key)
         .applyInPandasWithState(
             count,
             f"{key} {kinds[key]}, {order} {kinds[order]}, turn_no bigint, turn_trigger boolean",
-            "n bigint",
+            "n bigint, last bigint, times array<bigint>, orders array<bigint>",
             "append",
             GroupStateTimeout.EventTimeTimeout,
         )
