@@ -1,7 +1,8 @@
 """Phrase collocations, mined level by level with double-array tries.
 
-Texts are cut into pieces and words once; a word becomes its 64-bit hash, a piece border a zero, and
-the hashes are written.  (Two words of one language with one hash would be an error, and it is checked.)
+Texts are cut into pieces and words; words are counted first.  Then a frequent word becomes its 64-bit hash, other
+words and piece borders a zero, and these codes are written.  (Two words of one language with one hash
+would be an error, and it is checked.)
 
 A candidate of k words is Apriori-safe: its first and its last k - 1 words are frequent.  The frequent phrases
 of k - 1 words of each language lie in double-array tries.  In every task numpy advances
@@ -36,7 +37,7 @@ TOP = 2000
 COVERED = 100  # percent of a phrase's occurrences that a longer one must have to replace it
 STATES = 1_000_000
 HELD = 1 << 21  # words, pairs or phrases that a task holds before it hands on their counts
-_PIECES = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
+_PIECES = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 _SPREAD = 64
 
 
@@ -44,68 +45,98 @@ class _Hashes(dict):
     """Hashes of words, each computed once while it is remembered."""
 
     def __missing__(self, word):
-        h = self[word] = (xxhash.xxh3_64_intdigest(word) or 1) - (1 << 63) or 1
+        h = xxhash.xxh3_64_intdigest(word) - (1 << 63)
+        h = self[word] = h if h not in (0, 1) else 2  # 0 and 1 stand for no word
         return h
 
 
-def encoded(docs: DataFrame) -> DataFrame:
-    """``kind, lang, codes, word, n``: texts as hashes (kind 0), and words with their counts (kind 1)."""
+def _cut(text: bytes) -> list[bytes]:
+    """Words of a text, a newline between pieces and empty strings in between."""
+    return text.lower().translate(_PIECES).replace(b"\n", b" \n ").split(b" ")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
     by_bytes(docs.sparkSession)
+    return docs.select(
+        F.col("text").cast("string").cast("binary").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
+    )
 
-    def batch(kind, lang, codes, word, n):
-        kinds = (pa.int32(), pa.string(), pa.list_(pa.int64()), pa.binary(), pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) if not isinstance(c, pa.Array) else c for c, k in zip((kind, lang, codes, word, n), kinds)],
-            ["kind", "lang", "codes", "word", "n"],
-        )
+
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """``lang, code, word, a``: every word with its hash and its count."""
 
     def counted(seen):
         for lang, words in seen.items():
+            for border in (b"", b"\n"):
+                words.pop(border, None)
             items = list(words.items())
-            for at in range(0, len(items), 100_000):
-                some = items[at : at + 100_000]
+            for at in range(0, len(items), 50_000):
+                word, n = zip(*items[at : at + 50_000])
                 hashes = _Hashes()
-                one = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32), np.array([hashes[w] for w, _ in some], np.int64))
-                yield batch([1] * len(some), [lang] * len(some), one, [w for w, _ in some], [n for _, n in some])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(n), pa.string()), pa.array([hashes[w] for w in word], pa.int64()), pa.array(word, pa.binary()), pa.array(n, pa.int64())],
+                    ["lang", "code", "word", "n"],
+                )
 
     def run(batches):
-        hashes, seen, held = _Hashes(), {}, []
+        seen: dict[str, Counter] = {}
+        for b in batches:
+            for text, lang in zip(texts_of(b.column("text")), b.column("lang").to_pylist()):
+                seen.setdefault(lang, Counter()).update(_cut(text))
+                if sum(map(len, seen.values())) > HELD // 8:
+                    yield from counted(seen)
+                    seen = {}
+        yield from counted(seen)
+
+    words = _rows(docs).mapInArrow(run, "lang string, code long, word binary, n long")
+    found = words.groupBy("lang", "code").agg(F.sum("n").alias("a"), F.min("word").alias("word"), F.max("word").alias("other"))
+    found = materialize(found, "words")
+    if found.filter("word != other").limit(1).count():
+        raise ValueError("two words have one hash")
+    return found.drop("other")
+
+
+def encoded(docs: DataFrame, files: dict[str, list[str]]) -> DataFrame:
+    """``lang, codes``: texts as the hashes of their frequent words, with one zero for all that lies between two of them.
+
+    A text without two frequent words in a row has no row.
+    """
+
+    def run(batches):
+        hashes, held, loaded = _Hashes({b"\n": 0, b"": 1}), [], _Loaded()
 
         def listed():
             edges = np.cumsum([0, *[len(c) for _, c in held]], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(edges, np.concatenate([np.array(c, np.int64) for _, c in held]))
-            out = batch([0] * len(held), [lang for lang, _ in held], lists, [None] * len(held), [None] * len(held))
+            lists = pa.ListArray.from_arrays(edges, np.concatenate([c for _, c in held]))
+            out = pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in held], pa.string()), lists], ["lang", "codes"])
             held.clear()
             return out
 
         for b in batches:
             size = 0
             for text, lang in zip(texts_of(b.column("text")), b.column("lang").to_pylist()):
-                codes, words = [], seen.setdefault(lang, Counter())
-                for piece in text.lower().translate(_PIECES).split(b"\n"):
-                    if found := piece.split():
-                        words.update(found)
-                        codes.extend(map(hashes.__getitem__, found))
-                        codes.append(0)
-                if len(hashes) > HELD // 8:
-                    hashes = _Hashes()
-                if codes:
-                    held.append((lang, codes))
+                words = _cut(text)
+                codes = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words))
+                codes = codes[codes != 1]
+                numbers = np.full(len(codes), -1, np.int64)
+                for path in files.get(lang, ()):
+                    loaded(path).match(codes, numbers)
+                codes[numbers < 0] = 0
+                # words between two zeros stand alone, of zeros in a row one is enough
+                zero = np.concatenate(([True], codes == 0, [True]))
+                codes = codes[~((zero[:-2] & zero[2:]) | (zero[1:-1] & zero[:-2]))]
+                if len(codes):
+                    held.append((lang, np.append(codes, 0)))
                     size += len(codes)
+                if len(hashes) > HELD // 8:
+                    hashes = _Hashes({b"\n": 0, b"": 1})
                 if size > HELD // 8:
                     yield listed()
                     size = 0
             if held:
                 yield listed()
-            if sum(map(len, seen.values())) > HELD // 8:
-                yield from counted(seen)
-                seen = {}
-        yield from counted(seen)
 
-    rows = docs.select(
-        F.col("text").cast("string").cast("binary").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
-    )
-    return rows.mapInArrow(run, "kind int, lang string, codes array<long>, word binary, n long")
+    return _rows(docs).mapInArrow(run, "lang string, codes array<long>")
 
 
 # ---- double-array tries ----------------------------------------------------------------------
@@ -201,6 +232,20 @@ class Trie:
         into[alive] = self.value[state]
 
 
+class _Loaded:
+    """Tries that a task has read, as many as four full ones take."""
+
+    def __init__(self):
+        self.tries: dict[str, Trie] = {}
+
+    def __call__(self, path: str) -> Trie:
+        if path not in self.tries:
+            if sum(len(t.base) for t in self.tries.values()) > 4 * STATES:
+                self.tries.clear()
+            self.tries[path] = Trie.load(path)
+        return self.tries[path]
+
+
 def tries(phrases: DataFrame, states: int) -> dict[str, list[str]]:
     """Files of the tries of each language: ``phrases`` has ``lang, pid, words``."""
     folder = scratch_path(phrases.sparkSession, "tries")
@@ -247,16 +292,9 @@ def neighbours(texts: DataFrame, files: dict[str, list[str]]) -> DataFrame:
     """``p, q, n``: how often phrase q starts one word after phrase p."""
 
     def run(batches):
-        loaded: dict[str, Trie] = {}
+        trie = _Loaded()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def trie(path):
-            if path not in loaded:
-                if sum(len(t.base) for t in loaded.values()) > 4 * STATES:
-                    loaded.clear()
-                loaded[path] = Trie.load(path)
-            return loaded[path]
-
         def summed():
             p, q, n = (np.concatenate(x) for x in zip(*held))
             pair = np.lexsort((q, p))
@@ -302,16 +340,7 @@ def collocations(
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of each language."""
     spark = docs.sparkSession
-    both = materialize(encoded(docs), "encoded")
-    texts = both.filter("kind = 0").select("lang", "codes")
-    words = materialize(
-        both.filter("kind = 1").groupBy("lang", F.col("codes")[0].alias("code")).agg(
-            F.sum("n").alias("a"), F.min("word").alias("word"), F.max("word").alias("other")
-        ),
-        "words",
-    )
-    if words.filter("word != other").limit(1).count():
-        raise ValueError("two words have one hash")
+    words = vocabulary(docs)
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
     word = F.col("word").cast("string")
     number = F.monotonically_increasing_id().alias("pid")
@@ -322,10 +351,12 @@ def collocations(
         ),
         "phrases",
     )
-    scored, kept = [], []
+    scored, kept, texts = [], [], None
     for k in range(2, longest + 1):
         if not (files := tries(level, states)):
             break
+        if texts is None:
+            texts = materialize(encoded(docs, files), "encoded")
         pairs = neighbours(texts, files).filter(F.col("a") >= least)
         p, q = (level.select(*[F.col(c).alias(f"{s}_{c}") for c in level.columns]) for s in "pq")
         longer = pairs.join(p, F.col("p") == F.col("p_pid")).join(q, F.col("q") == F.col("q_pid"))
