@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from ticketloom import schemas
 from ticketloom.config import CacheSettings
 from ticketloom.functions import hooks
 from ticketloom.operators import language, lexical
@@ -13,7 +14,7 @@ from ticketloom.operators.threads import turn_counter
 from ticketloom.plans import queries, scoring
 from ticketloom.plans.queries import QUERIES
 from ticketloom.session import scratch_path, shared_dir
-from ticketloom.sources import files
+from ticketloom.sources import files, quoted
 from ticketloom.sources.tables import Tables
 from ticketloom.streaming import jobs
 
@@ -166,6 +167,44 @@ def test_csv_with_newlines_and_quotes(spark):
     assert out["2"].inbound is False and out["1"].in_response_to_tweet_id is None
 
 
+def test_a_csv_file_is_read_in_splits(spark, tmp_path):
+    """Quotes and line breaks wherever a byte range may end, against the reader that takes a file whole."""
+    values = ["", "x", 'say "hi"', "two\nlines", '"', '""', 'a\n"b"\n\nc', "é\r\n日本", ",", '\n"', "end\n", None, "\r"]
+    columns = [f.name for f in schemas.TWEETS_CSV.fields]
+
+    def field(v, i):
+        return "" if v is None else '"' + v.replace('"', '""') + '"' if v == "" or set(v) & set('",\n\r') or i % 7 == 0 else v
+
+    for name, rows, end in (("a", 400, "\n"), ("b", 90, "\r\n"), ("c", 0, "\n")):
+        out = [",".join(columns)]
+        for i in range(rows):
+            row = [str(i), "u", "True", "d", values[i % len(values)], values[i * 5 % len(values)], values[i * 3 % 11]]
+            out.append(",".join(field(v, i) for v in row))
+            if i % 50 == 9:
+                out.append("")
+        (tmp_path / f"{name}.csv").write_bytes(end.join(out).encode() + (b"\n" if name == "a" else b""))
+    whole = spark.read.schema(schemas.TWEETS_CSV).option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path))
+
+    def rows_of(df):  # the other reader turns \\r\\n in quotes into \\n
+        return sorted((tuple(v and v.replace("\r\n", "\n") for v in r) for r in df.collect()), key=str)
+
+    want = rows_of(whole)
+    assert len(want) == 490
+    key, tasks = "spark.sql.files.maxPartitionBytes", set()
+    for size in ("331", "128m"):
+        spark.conf.set(key, size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            got = quoted.read_quoted_csv(spark, str(tmp_path), schemas.TWEETS_CSV)
+            tasks.add(spark.read.text(str(tmp_path / "a.csv")).rdd.getNumPartitions())
+            assert rows_of(got) == want
+            assert got.filter("response_tweet_id like '%\\r\\n%'").count()
+        finally:
+            spark.conf.unset(key)
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert max(tasks) > 30
+
+
 def test_jsonl_skips_blank_lines(spark, tmp_path):
     line = {"passage_id": "p", "brand": "b", "customer_query": "q", "historical_resolution": "r"}
     texts = [json.dumps({**line, "passage_id": f"p{i}"}) for i in (3, 1, 2)]

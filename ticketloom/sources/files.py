@@ -8,6 +8,7 @@ from ticketloom import schemas
 from ticketloom.operators.cells import VectorIndex
 from ticketloom.operators.lexical import TextIndex
 from ticketloom.operators.threads import parse_inbound
+from ticketloom.sources.quoted import read_quoted_csv
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -17,19 +18,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def scan_tweets_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Messages from a CSV of strings; texts may span lines.
-
-    Multi-line CSV cannot be split, so large inputs should be many files, or be
-    converted to Parquet once with ``convert_tweets``.
-    """
-    raw = (
-        spark.read.schema(schemas.TWEETS_CSV)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("mode", "FAILFAST")
-        .csv(path)
-    )
+    """Messages from a CSV of strings; texts may span lines, and large files are read in splits."""
+    raw = read_quoted_csv(spark, path, schemas.TWEETS_CSV)
     return raw.withColumn("inbound", parse_inbound("inbound"))
 
 
