@@ -208,3 +208,40 @@ def test_prompts_without_context(spark):
         spark.createDataFrame([("We refunded you, see https://amzn.to/help",), ("x" * 300,)], "r string"), "r", "https://amzn.to/help"
     ).collect()
     assert [(r.fits_length, r.has_action_link, r.has_promise) for r in checked] == [(True, True, True), (False, False, False)]
+
+
+def test_sketches_of_parts_give_the_quantile_of_the_whole(spark, tmp_path):
+    """Parts of unequal sizes and ranges, nulls, and no rows at all."""
+    rng = np.random.default_rng(5)
+    p = np.concatenate((rng.random(4000), rng.random(300) ** 8, [0.5] * 700))
+    rows = [(float(x), "a" if i % 7 else None, int(i // 400)) for i, x in enumerate(p)] + [(None, "b", 1)]
+    df = spark.createDataFrame(rows, "p double, brand string, day int")
+    calibrate.score_sketches(df, "p", "brand", "day").write.partitionBy("day").parquet(f"file://{tmp_path}/s")
+    stored = spark.read.parquet(f"file://{tmp_path}/s")
+    scores = np.sort(1 - p)
+    for alpha in (0.01, 0.1, 0.5):
+        r = calibrate.sketched_quantile(stored, alpha).first()
+        exact = calibrate.conformal_quantile(df.filter("p is not null"), "p", alpha).first()
+        assert (r.n, r.level) == (len(p), pytest.approx(exact.level))
+        low, high = (np.searchsorted(scores, r.q_hat, side) / len(p) for side in ("left", "right"))
+        assert low - calibrate.SKETCH_ERROR <= r.level <= high + calibrate.SKETCH_ERROR
+    some = calibrate.sketched_quantile(stored.filter("day = 2"), 0.1).first()
+    assert some.n == 400
+    assert calibrate.sketched_quantile(stored.filter("day = 99"), 0.1).count() == 0
+
+
+def test_rollups_tell_a_null_key_from_a_total(spark):
+    df = spark.createDataFrame(
+        [("a", "t1", True), ("a", None, False), (None, "t1", True), (None, None, False)], "brand string, tier string, should_escalate boolean"
+    )
+    got = {(r.level, r.brand, r.tier, r.n, r.n_escalated) for r in policy.tier_rollup(df).collect()}
+    assert got == {
+        ("tier", "a", "t1", 1, 1), ("tier", "a", None, 1, 0), ("tier", None, "t1", 1, 1), ("tier", None, None, 1, 0),
+        ("brand", "a", None, 2, 1), ("brand", None, None, 2, 1), ("total", None, None, 4, 2),
+    }
+    runs = spark.createDataFrame(
+        [("v", "x", "x", True, True), ("v", None, "x", True, False), ("w", "x", "y", False, False)],
+        "variant string, true_intent string, pred_intent string, true_escalate boolean, pred_escalate boolean",
+    )
+    levels = [r.level for r in metrics.variant_rollup(runs).collect()]
+    assert sorted(levels) == ["both"] * 3 + ["intent"] * 2 + ["total"] + ["variant"] * 2

@@ -207,6 +207,30 @@ def conformal_quantile(df: DataFrame, p_true: str, alpha: float = 0.05) -> DataF
     )
 
 
+SKETCH_K = 400  # size of a sketch; its rank error is below ``SKETCH_ERROR`` in 99 of 100 cases
+SKETCH_ERROR = 0.01
+
+
+def score_sketches(df: DataFrame, p_true: str, *keys: str) -> DataFrame:
+    """``(keys, n, sketch)``: a mergeable quantile sketch of the scores 1 - p of each group, to be stored as a table."""
+    rows = df.filter(F.col(p_true).isNotNull()).select(*keys, (1.0 - F.col(p_true)).alias("s"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.kll_sketch_agg_double("s", F.lit(SKETCH_K)).alias("sketch"))
+
+
+def sketched_quantile(sketches: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """``(alpha, n, level, q_hat)`` as :func:`conformal_quantile`, approximately, from stored sketches without the rows.
+
+    The rank of ``q_hat`` is off the level by at most ``SKETCH_ERROR`` of the rows.  Without sketches there is no row.
+    """
+    n = sketches.agg(F.sum("n")).first()[0] or 0
+    level = min(1.0, math.ceil((n + 1) * (1.0 - alpha)) / n) if n else 1.0  # a quantile's rank must be a literal
+    whole = sketches.agg(F.kll_merge_agg_double("sketch").alias("sketch")).filter(F.lit(n) > 0)
+    return whole.select(
+        F.lit(float(alpha)).alias("alpha"), F.lit(n).cast("long").alias("n"), F.lit(level).alias("level"),
+        F.kll_sketch_get_quantile_double("sketch", F.lit(level)).alias("q_hat"),
+    )
+
+
 def conformal_coverage(gated: DataFrame, label: str) -> DataFrame:
     """One row: coverage, singleton share, error on singletons, empty share."""
     hit = F.array_contains("prediction_set", F.col(label).cast("bigint"))

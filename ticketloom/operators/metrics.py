@@ -189,6 +189,20 @@ def judge_summary(scores: DataFrame, columns: Sequence[str], keys: Sequence[str]
     )
 
 
+def variant_rollup(runs: DataFrame) -> DataFrame:
+    """``(level, variant, true_intent, n, intent_accuracy, escalation_accuracy)`` for all sets of the two keys.
+
+    ``level`` is ``total``, ``variant``, ``intent`` or ``both``; a null key at its own level is a null in the rows.
+    """
+    same = F.avg((F.col("true_intent") == F.col("pred_intent")).cast("double"))
+    escalated = F.avg((F.col("true_escalate") == F.col("pred_escalate")).cast("double"))
+    names = F.array(*map(F.lit, ("both", "variant", "intent", "total")))
+    level = F.get(names, (2 * F.grouping("variant") + F.grouping("true_intent")).cast("int"))
+    return runs.cube("variant", "true_intent").agg(
+        level.alias("level"), F.count("*").alias("n"), F.round(same, 6).alias("intent_accuracy"), F.round(escalated, 6).alias("escalation_accuracy")
+    )
+
+
 def variant_comparison(
     runs: DataFrame, labels: Sequence, costs: CostSettings = CostSettings()
 ) -> DataFrame:

@@ -82,6 +82,17 @@ def tier_counts(decided: DataFrame) -> DataFrame:
     return decided.groupBy("tier", "risk_level").agg(F.count("*").alias("n"))
 
 
+def tier_rollup(decided: DataFrame) -> DataFrame:
+    """``(level, brand, tier, n, n_escalated)`` by brand and tier, by brand, and in total.
+
+    ``level`` tells a row of all brands from the row of a null one.
+    """
+    level = F.when(F.grouping("brand") == 1, "total").when(F.grouping("tier") == 1, "brand").otherwise("tier")
+    return decided.rollup("brand", "tier").agg(
+        level.alias("level"), F.count("*").alias("n"), F.count_if("should_escalate").alias("n_escalated")
+    )
+
+
 def conformal_gate(df: DataFrame, probs: str, q_hat: Column | float) -> DataFrame:
     """Add ``prediction_set, set_size, auto_handle``: automatic only for exactly one member."""
     return (

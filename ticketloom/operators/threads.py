@@ -178,12 +178,26 @@ def openings_of(threads: DataFrame) -> DataFrame:
     )
 
 
-def ingest_stats(threads: DataFrame, filter_applied: bool = True) -> DataFrame:
+def ingest_stats(threads: DataFrame, filter_applied: bool | dict[str, bool] = True) -> DataFrame:
+    """Counts of each brand; ``filter_applied`` says, for all or by brand, whether the language filter ran."""
+    flag = F.lit(filter_applied) if isinstance(filter_applied, bool) else F.lit(True)
+    for brand, on in (filter_applied.items() if isinstance(filter_applied, dict) else ()):
+        flag = F.when(F.col("brand") == brand, F.lit(on)).otherwise(flag)
     return threads.groupBy("brand").agg(
         F.count("*").alias("total_threads_reconstructed"),
         F.count("*").alias("total_rag_passages"),
         F.coalesce(F.avg(F.length("customer_query")), F.lit(0.0)).alias("avg_customer_query_length_chars"),
-    ).withColumn("language_filter_applied", F.lit(filter_applied))
+    ).withColumn("language_filter_applied", flag)
+
+
+def ingest_rollup(threads: DataFrame) -> DataFrame:
+    """``(level, brand, day, n_threads, avg_query_chars)`` by brand and day, by brand, and in total.
+
+    ``level`` tells a row of all brands from the row of a null one.
+    """
+    dated = threads.select("brand", F.to_date(message_time("customer_created_at")).alias("day"), F.length("customer_query").alias("chars"))
+    level = F.when(F.grouping("brand") == 1, "total").when(F.grouping("day") == 1, "brand").otherwise("day")
+    return dated.rollup("brand", "day").agg(level.alias("level"), F.count("*").alias("n_threads"), F.avg("chars").alias("avg_query_chars"))
 
 
 def thread_multi_hop(tweets: DataFrame, rows_per_task: int = 1_000_000) -> DataFrame:

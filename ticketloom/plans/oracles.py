@@ -140,6 +140,24 @@ _part(
   where not r.inbound and lower(r.author_id) in ('brand0', 'brand1', 'brand2') and p.inbound""",
     "tweets",
 )
+def _detected(name: str, source: str, key: str, *needs: str) -> None:
+    """The language of each text by the profiles of the documents."""
+    _part(
+        name,
+        f"""
+  with t as (select lang, unnest(regexp_extract_all(lower(text), '{_WORDS}')) token from documents),
+  c as (select lang, token, count(*) n from t group by lang, token),
+  p as (select lang, token, n / cast(sum(n) over (partition by lang) as double) weight from c),
+  a as (select {key}, unnest(regexp_extract_all(lower(text), '{_WORDS}')) token from {source}),
+  s as (select a.{key}, p.lang, round(sum(weight), 9) score from a join p on a.token = p.token group by a.{key}, p.lang)
+  select {key}, lang detected from (select *, row_number() over (partition by {key} order by score desc, lang) i from s)
+  where i = 1""",
+        *needs,
+    )
+
+
+_detected("detected", "documents", "doc_id")
+_detected("tweets_detected", "(select * from tweets where inbound and text <> '')", "tweet_id", "tweets")
 _part(
     "threads",
     f"""
@@ -151,12 +169,14 @@ _part(
          from r where length(agent_reply) >= 10),
   p as (select tweet_id parent_id, author_id, created_at, {_clean('text')} q from tweets
         where inbound and text <> ''
-          and (length({_strip('text')}) < 5 or not regexp_matches(text, '[\\x{{3040}}-\\x{{30ff}}\\x{{4e00}}-\\x{{9fff}}]')))
+          and (length({_strip('text')}) < 5 or not regexp_matches(text, '[\\x{{3040}}-\\x{{30ff}}\\x{{4e00}}-\\x{{9fff}}]'))
+          and (length({_strip('text')}) < 5 or tweet_id not in (select tweet_id from tweets_detected where detected <> 'en')))
   select 'thread_' || p.parent_id || '_' || r1.reply_id thread_id, r1.brand, p.parent_id customer_tweet_id,
          p.author_id customer_author_id, p.created_at customer_created_at, p.q customer_query,
          r1.reply_id agent_tweet_id, r1.agent_reply, r1.created_at agent_created_at, 2 turn_count
   from r1 join p on r1.parent_id = p.parent_id where r1.i = 1 and length(p.q) >= 10""",
     "tweets",
+    "tweets_detected",
 )
 _part("lexicon", "select * from (values " + ", ".join(f"({_lit(w)}, {v}e0)" for w, v in LEXICON) + ") t(word, valence)")
 _part(
@@ -426,6 +446,7 @@ def _qhat(alpha: float) -> str:
 
 _part("qhats", f"{_qhat(0.05)} union all {_qhat(0.1)}", "predictions")
 _oracle("conformal_quantile", 'select alpha, n, round("level", 6) "level", round(q_hat, 6) q_hat from qhats', "qhats")
+_oracle("conformal_quantile_sketch", 'select alpha, n, round("level", 6) "level", true within_error from qhats', "qhats")
 _oracle("load_params", "select 1e0 temperature, alpha, round(q_hat, 6) q_hat from qhats where alpha = 0.05e0", "qhats")
 _oracle(
     "sink_index",
@@ -473,16 +494,6 @@ _oracle(
     """select doc_id, length(trim(t)) < 5 or not regexp_matches(t, '[\\x{3040}-\\x{30ff}\\x{4e00}-\\x{9fff}]') is_english
   from (select doc_id, case when lang = 'es' then 'カスタマー ' || text else text end t from documents)""",
 )
-_part(
-    "detected",
-    f"""
-  with t as (select doc_id, lang, unnest(regexp_extract_all(lower(text), '{_WORDS}')) token from documents),
-  c as (select lang, token, count(*) n from t group by lang, token),
-  p as (select lang, token, n / cast(sum(n) over (partition by lang) as double) weight from c),
-  s as (select t.doc_id, p.lang, round(sum(weight), 9) score from t join p on t.token = p.token group by t.doc_id, p.lang)
-  select doc_id, lang detected from (select *, row_number() over (partition by doc_id order by score desc, lang) i from s)
-  where i = 1""",
-)
 _oracle(
     "language_filter",
     """select d.doc_id, x.detected,
@@ -785,6 +796,13 @@ _oracle(
   from threads group by brand""",
     "threads",
 )
+_oracle(
+    "ingest_rollup",
+    """select case when grouping(brand) = 1 then 'total' when grouping("day") = 1 then 'brand' else 'day' end "level", brand,
+  cast("day" as varchar) "day", count(*) n_threads, round(avg(length(customer_query)), 6) avg_query_chars
+  from (select *, cast(customer_created_at as date) "day" from threads) group by rollup (brand, "day")""",
+    "threads",
+)
 _oracle(
     "bm25_corpus_stats",
     "select term, df, cast(total_tf as bigint) total_tf, round(idf, 6) idf, n_docs, round(avgdl, 6) avgdl from bm_terms",
@@ -1018,6 +1036,13 @@ _part(
 _oracle("variant_union", "select variant, vec_id example_id, y true_intent, pred pred_intent from runs", "runs")
 _part("run_scores", _f1s("runs", "variant", "y", "pred", 10), "runs")
 _part("run_counts", _esc_counts("runs", "variant", "te", "pe"), "runs")
+_oracle(
+    "variant_rollup",
+    """select ['both', 'variant', 'intent', 'total'][1 + 2 * grouping(variant) + grouping(y)] "level", variant, y true_intent, count(*) n,
+  round(avg(cast(y = pred as double)), 6) intent_accuracy, round(avg(cast((y in (4, 9)) = (pred in (4, 9)) as double)), 6) escalation_accuracy
+  from runs group by cube (variant, y)""",
+    "runs",
+)
 _oracle(
     "variant_comparison",
     f"""select c.key variant, round(s.acc, 3) intent_accuracy, round(s.f1, 3) intent_macro_f1,
@@ -1135,6 +1160,12 @@ _oracle(
     "select ticket_id, tier, should_escalate, risk_level, escalation_reason, round(sentiment, 6) sentiment from decided",
     "decided",
 )
+_oracle(
+    "escalation_tier_rollup",
+    """select case when grouping(brand) = 1 then 'total' when grouping(tier) = 1 then 'brand' else 'tier' end "level",
+  brand, tier, count(*) n, count(*) filter (where should_escalate) n_escalated from decided group by rollup (brand, tier)""",
+    "decided",
+)
 _oracle("escalation_tier_counts", "select tier, risk_level, count(*) n from decided group by tier, risk_level", "decided")
 _part(
     "golden",

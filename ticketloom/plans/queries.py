@@ -47,7 +47,7 @@ def classify(text):
 
 
 def threads_of(t: Tables) -> DataFrame:
-    return threads.thread_reconstruct(t.tweets, SAMPLE_BRANDS)
+    return threads.thread_reconstruct(t.tweets, SAMPLE_BRANDS, english_ids=t.english_tweets)
 
 
 def stored_threads(t: Tables) -> DataFrame:
@@ -286,8 +286,7 @@ def cjk_filter(t):
 
 @query
 def language_filter(t):
-    profile = materialize(language.learn_profile(t.documents, "lang", "text"), "profile")
-    return language.language_filter(t.documents, "doc_id", "text", profile).select("doc_id", "detected", "is_kept")
+    return language.language_filter(t.documents, "doc_id", "text", t.profile).select("doc_id", "detected", "is_kept")
 
 
 @query
@@ -607,6 +606,12 @@ def ingest_stats(t):
     return stats.withColumn("avg_customer_query_length_chars", r6("avg_customer_query_length_chars"))
 
 
+@query
+def ingest_rollup(t):
+    out = threads.ingest_rollup(threads_of(t)).withColumn("avg_query_chars", r6("avg_query_chars"))
+    return out.withColumn("day", F.col("day").cast("string"))
+
+
 @query
 def bm25_corpus_stats(t):
     reps = materialize(lexical.fold_copies(doc_collection(t)), "reps")
@@ -691,6 +696,23 @@ def conformal_quantile(t):
     return _rounded(a.unionByName(b))
 
 
+@query
+def conformal_quantile_sketch(t):
+    """From sketches stored by brand and day; whether the rank of each quantile is as near to its level as stated."""
+    path = scratch_path(t.spark, "sketches")
+    rows = t.predictions.select("p_true", (F.col("vec_id") % 3).alias("brand"), (F.col("vec_id") % 7).alias("day"))
+    calibrate.score_sketches(rows, "p_true", "brand", "day").write.partitionBy("day").parquet(path)
+    stored = t.spark.read.parquet(path)
+    found = calibrate.sketched_quantile(stored, 0.05).unionByName(calibrate.sketched_quantile(stored, 0.10))
+    scores = rows.select((1.0 - F.col("p_true")).alias("s"))
+    below = scores.join(F.broadcast(found), F.lit(True)).groupBy("alpha", "n", "level").agg(
+        (F.count_if(F.col("s") < F.col("q_hat")) / F.first("n")).alias("low"), (F.count_if(F.col("s") <= F.col("q_hat")) / F.first("n")).alias("high")
+    )
+    error = calibrate.SKETCH_ERROR + 1 / F.col("n")
+    near = (F.col("low") <= F.col("level") + error) & (F.col("high") >= F.col("level") - error)
+    return below.select("alpha", "n", r6("level").alias("level"), near.alias("within_error"))
+
+
 def _gated(t: Tables) -> DataFrame:
     q_hat = calibrate.conformal_quantile(t.predictions, "p_true", 0.10).select("q_hat")
     return policy.conformal_gate(attach(t.probs, q_hat), "p", F.col("q_hat"))
@@ -775,6 +797,11 @@ def variant_comparison(t):
     return metrics.variant_comparison(variants(t), CLASSES)
 
 
+@query
+def variant_rollup(t):
+    return metrics.variant_rollup(variants(t))
+
+
 @query
 def class_distribution(t):
     return _rounded(intents.class_distribution(t.predictions, "y"))
@@ -850,7 +877,7 @@ def fragment_merge(t):
 
 @query
 def limit_threads(t):
-    return threads.thread_reconstruct(t.tweets, SAMPLE_BRANDS, max_threads=20).select("thread_id", "brand")
+    return threads.thread_reconstruct(t.tweets, SAMPLE_BRANDS, max_threads=20, english_ids=t.english_tweets).select("thread_id", "brand")
 
 
 @query
@@ -917,6 +944,11 @@ def escalation_tier_counts(t):
     return policy.tier_counts(decided(t))
 
 
+@query
+def escalation_tier_rollup(t):
+    return policy.tier_rollup(decided(t))
+
+
 def golden(t: Tables) -> DataFrame:
     threaded = stored_threads(t)
     parts = [

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ticketloom.config import Intent
 from ticketloom.functions.probability import argmax, softmax
+from ticketloom.operators import language
+from ticketloom.operators.threads import has_text
 from ticketloom.session import attach, literal_table, materialize
 from ticketloom.sources.files import spread
 
@@ -107,6 +109,17 @@ class Tables:
             .alias("in_response_to_tweet_id"),
         )
 
+    @cached_property
+    def profile(self) -> DataFrame:
+        """Language profiles learned from the labelled documents."""
+        return materialize(language.learn_profile(self.documents, "lang", "text"), "profile")
+
+    @cached_property
+    def english_tweets(self) -> DataFrame:
+        """``tweet_id`` of the customer messages that the language filter keeps."""
+        asked = self.tweets.filter(F.col("inbound") & has_text("text")).select("tweet_id", "text")
+        return language.language_filter(asked, "tweet_id", "text", self.profile).filter("is_kept").select("tweet_id").distinct()
+
     @cached_property
     def tickets(self) -> DataFrame:
         """Labelled documents with classifier-like columns, as input of the policy."""
