@@ -14,9 +14,14 @@ the corpus, the same text included.
    bytes are repeats; their bytes are compared, so no hash decides alone.
    An anchor of more than ``GROUP`` different segments is dealt over several groups, and the windows left over
    there meet in a join on their digests.
-4. Intervals meet their texts, which are cut.
+4. Intervals are merged within stretches of a text, so that a row never holds one for each byte; then they meet
+   their texts, which are cut.
 
-Matches never cross texts.  Null is empty.  Repeated rows are texts of their own, hence repeats of each
+Equal segments are told by anchor and digest, 40 and 64 bits of different hashes: of n segments, two different ones are taken
+for repeats with a probability of about n^2 / 2^105.  Everything else is compared byte by byte.
+
+Matches never cross texts.  Null is empty.  An empty table gives no rows.  Columns other than doc_id and text are not
+looked at, whatever their names.  Repeated rows are texts of their own, hence repeats of each
 other.  Texts shorter than ``length`` stay whole.  Texts travel compressed.
 """
 
@@ -28,12 +33,15 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from ticketloom.llm.common import by_bytes, materialize, texts_of
+from ticketloom.llm.common import materialize, texts_of
 
 LENGTH = 200
 GRAM = 40
 GROUP = 5_000
-HELD = 1 << 20  # bytes of segments that are compared at a time, but for a larger group; some 100 times that in numbers
+HELD = 1 << 18  # bytes of segments that are compared at a time, but for a larger group; some 100 times that in numbers
+BATCH = 2 << 20  # bytes of rows that come to Python at a time
+GIVEN = 4 << 20  # bytes of unpacked text that are given out at a time, but for a longer text
+STRETCH = 1 << 16  # places of a text whose intervals are merged together
 BLOCK = 1 << 20  # windows of a long text at a time
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -267,6 +275,7 @@ def _compare(length: int, kind: str):
                 continue
             held.append(b)
             size += b.nbytes
+            del b
             if size < HELD:
                 continue
             rows = pa.Table.from_batches(held)
@@ -277,6 +286,8 @@ def _compare(length: int, kind: str):
                 yield from solve(rows.slice(0, whole).combine_chunks())
             rest = rows.slice(whole).combine_chunks()
             held = rest.to_batches()
+            del rows, anchor, part, other
+            pa.default_memory_pool().release_unused()
             size = rest.num_rows * 300 if whole else 0
         if held:
             yield from solve(pa.Table.from_batches(held).combine_chunks())
@@ -286,17 +297,18 @@ def _compare(length: int, kind: str):
 
 def removed(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """``k, x, y``: intervals of bytes to remove (they may overlap); k is ``struct(doc_id, hash of the text)``."""
-    by_bytes(docs.sparkSession)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     own = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), text.alias("text"))
     schema = f"d {kind}, t long, anchor long, digest long, place long, first long, last long"
-    listed = own.mapInArrow(lambda b: _lists(b, length), schema)
     ints = [F.col(c).cast("int").alias(c) for c in ("place", "first", "last")]
+    listed = own.mapInArrow(lambda b: _lists(b, length), schema).select("d", "t", "anchor", "digest", *ints)
+    listed = materialize(listed, "all-segments")
     # anchors of one place only end here
     often = listed.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
     often = materialize(often, "anchors")
-    met = materialize(listed.select("d", "t", "anchor", "digest", *ints).join(often, "anchor"), "segments")
+    met = materialize(listed.join(often, "anchor"), "segments")
     one = F.struct("d", "t", "place", "first", "last")
     kinds = materialize(
         met.groupBy("anchor", "digest").agg(F.count("*").alias("c"), F.min(one).alias("one")), "segment-kinds"
@@ -375,26 +387,51 @@ def merged(cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(x, y) for x, y in out]
 
 
+def _merged(cuts: str):
+    """Sorted intervals with those that touch or overlap made one."""
+    kind = "array<struct<x:bigint,y:bigint>>"
+
+    def add(out, c):
+        last = F.element_at(out, -1)
+        apart = (F.size(out) == 0) | (c["x"] > F.try_element_at(out, F.lit(-1))["y"])
+        longer = F.struct(last["x"].alias("x"), F.greatest(last["y"], c["y"]).alias("y"))
+        return F.when(apart, F.concat(out, F.array(c))).otherwise(F.concat(F.slice(out, 1, F.size(out) - 1), F.array(longer)))
+
+    return F.aggregate(cuts, F.array().cast(kind), add)
+
+
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc_id, n_bytes, spans, kept``: removed runs and remaining bytes, one row per row of ``docs``."""
-    intervals = removed(docs, length).groupBy("k").agg(F.collect_set(F.struct("x", "y")).alias("cuts"))
+    found = removed(docs, length).withColumn("s", F.floor(F.col("x") / STRETCH))
+    near = found.groupBy("k", "s").agg(F.array_sort(F.collect_set(F.struct("x", "y"))).alias("cuts"))
+    intervals = near.select("k", _merged("cuts").alias("cuts")).groupBy("k").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         zip_ = zstandard.ZstdDecompressor()
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+        def given(out):
+            ids, n, spans, kept = zip(*out)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, b.column("doc_id").type), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())],
+                ["doc_id", "n_bytes", "spans", "kept"],
+            )
+
         for b in batches:
-            n, spans, kept = [], [], []
-            for data, cuts in zip(b.column("packed").to_pylist(), b.column("cuts").to_pylist()):
-                text = zip_.decompress(data)
+            out, held = [], 0
+            for i in range(b.num_rows):  # one text is unpacked at a time
+                text, cuts = zip_.decompress(b.column("packed")[i].as_py()), b.column("cuts")[i].as_py()
                 runs = merged([(c["x"], c["y"]) for c in cuts or ()])
                 edges = [0, *[e for r in runs for e in r], len(text)]
-                n.append(len(text))
-                spans.append([{"start": x, "end": y} for x, y in runs])
-                kept.append(b"".join(text[a:z] for a, z in zip(edges[::2], edges[1::2])))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-                ["doc_id", "n_bytes", "spans", "kept"],
-            )
+                kept = b"".join(text[a:z] for a, z in zip(edges[::2], edges[1::2]))
+                out.append((b.column("doc_id")[i].as_py(), len(text), [{"start": x, "end": y} for x, y in runs], kept))
+                held += len(kept)
+                if held > GIVEN:
+                    yield given(out)
+                    out, held = [], 0
+            if out:
+                yield given(out)
 
     rows = packed(docs).join(intervals, "k", "left").select(F.col("k.d").alias("doc_id"), "packed", "cuts")
     return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
