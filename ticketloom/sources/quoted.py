@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
@@ -27,7 +28,7 @@ def _parity(batches):
         if not b.num_rows:
             continue
         file, block, quotes = b.column("file"), b.column("block").to_numpy(), b.column("quotes").to_numpy()
-        code = pa.compute.dictionary_encode(file).indices.to_numpy()
+        code = pc.dictionary_encode(file).indices.to_numpy()
         new = np.concatenate(([(file[0].as_py(), int(block[0])) != last], (block[1:] != block[:-1]) | (code[1:] != code[:-1])))
         before = np.cumsum(quotes) - quotes
         starts = np.flatnonzero(new)
