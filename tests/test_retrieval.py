@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ticketloom.config import CacheSettings, RetrievalSettings
-from ticketloom.operators import dense, hybrid, lexical
+from ticketloom.operators import dense, hybrid, lexical, taxonomy
 
 
 def texts(n, seed, hot=0.0, words=60):
@@ -169,3 +169,27 @@ def test_cache_admission_respects_capacity(spark):
     )
     out = hybrid.cache_admission(df, "id", CacheSettings(max_entries=4), already=2)
     assert [r.id for r in out.collect()] == [1, 5]
+
+
+def test_text_clusters_find_the_topics(spark):
+    """Three topics, a text without terms, an empty and a null one; the labels feed the summary."""
+    topics = ["apple pear plum cherry fig", "bolt screw nail hammer drill", "violin cello flute oboe harp"]
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(topics[i % 3].split(), k=8)), "c") for i in range(60)] + [(60, "", "c"), (61, None, "c"), (62, "!!", "c")]
+    df = spark.createDataFrame(rows, "id long, body string, cluster_ string")
+    found = taxonomy.text_kmeans(df, "id", "body", k=3, starts=4)
+    labels = {r.id: r.cluster for r in found.labels.collect()}
+    assert len(labels) == 63 and {labels[i] for i in (60, 61, 62)} == {0}
+    assert len({(i % 3, labels[i]) for i in range(60)}) == 3
+    costs = found.costs.collect()
+    assert len(costs) == 4 and [r.cost for r in costs if r.chosen] == [min(r.cost for r in costs)]
+    lengths = found.centres.groupBy("cluster").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).collect()
+    assert all(r.n == pytest.approx(1) for r in lengths)
+    table = taxonomy.discovery(df, "id", "body", found).collect()
+    assert sum(r["size"] for r in table) == 63 and {frozenset(r.top_keywords[:5]) for r in table} >= {frozenset(t.split()) for t in topics}
+    again = taxonomy.text_kmeans(df.repartition(5), "id", "body", k=3, starts=4)
+    assert {r.id: r.cluster for r in again.labels.collect()} == labels
+    nothing = taxonomy.text_kmeans(df.filter("id >= 60"), "id", "body")
+    assert {r.cluster for r in nothing.labels.collect()} == {0} and nothing.centres.count() == 0
+    few = taxonomy.text_kmeans(df.filter("id < 2"), "id", "body", k=7)
+    assert {r.cluster for r in few.labels.collect()} == {0, 1}

@@ -1166,6 +1166,7 @@ _oracle(
   brand, tier, count(*) n, count(*) filter (where should_escalate) n_escalated from decided group by rollup (brand, tier)""",
     "decided",
 )
+_oracle("text_kmeans", "select count(*) n_texts, count(*) n_nearest, 10 n_starts, true chosen_is_least from threads", "threads")
 _oracle("escalation_tier_counts", "select tier, risk_level, count(*) n from decided group by tier, risk_level", "decided")
 _part(
     "golden",

@@ -1063,6 +1063,38 @@ def kmeans_intents(t):
     return taxonomy.kmeans_labels(t.embeddings, "vec_id", "embedding", 7, 42, 10)
 
 
+def _openings(t: Tables) -> DataFrame:
+    return threads.openings_of(stored_threads(t))
+
+
+@query
+def text_kmeans(t):
+    """Openings clustered by their text: every row is in the cluster of its nearest centre, and the chosen start costs least."""
+    openings = _openings(t)
+    found = taxonomy.text_kmeans(openings, "thread_id", "customer_query")
+    texts = openings.select(
+        F.lit("").alias("grp"), F.col("thread_id").alias("doc"), F.lower("customer_query").alias("text"), F.lit(1).cast("bigint").alias("n_copies")
+    )
+    vectors = lexical.tfidf_vectors(texts, lexical.tfidf_vocabulary(texts, taxonomy.CLUSTER_TERMS), taxonomy.CLUSTER_TERMS)
+    scores = vectors.join(found.centres, "term").groupBy("doc", "cluster").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
+    best = scores.groupBy("doc").agg(F.max("score").alias("best"))
+    own = found.labels.join(best, F.col("id") == F.col("doc"), "left").drop("doc").join(
+        scores, (F.col("id") == F.col("doc")) & (found.labels["cluster"] == scores["cluster"]), "left"
+    )
+    nearest = F.coalesce("score", F.lit(0.0)) >= F.coalesce("best", F.lit(0.0)) - 1e-9
+    costs = found.costs.agg(F.max(F.when(F.col("chosen"), F.col("cost"))).alias("own"), F.min("cost").alias("least"), F.count("*").alias("n_starts"))
+    return attach(own.agg(F.count("*").alias("n_texts"), F.count_if(nearest).alias("n_nearest")), costs).select(
+        "n_texts", "n_nearest", "n_starts", (F.col("own") <= F.col("least")).alias("chosen_is_least")
+    )
+
+
+@query
+def taxonomy_discovery(t):
+    openings = _openings(t)
+    found = taxonomy.text_kmeans(openings, "thread_id", "customer_query")
+    return taxonomy.discovery(openings, "thread_id", "customer_query", found)
+
+
 @query
 def contrastive_pairs(t):
     return pairs.contrastive_pairs(corpus_of(t))
