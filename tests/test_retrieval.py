@@ -193,3 +193,16 @@ def test_text_clusters_find_the_topics(spark):
     assert {r.cluster for r in nothing.labels.collect()} == {0} and nothing.centres.count() == 0
     few = taxonomy.text_kmeans(df.filter("id < 2"), "id", "body", k=7)
     assert {r.cluster for r in few.labels.collect()} == {0, 1}
+
+
+def test_an_index_refuses_what_it_was_not_built_for(spark, tmp_path):
+    index = lexical.build_index(collection(spark, texts(40, 1)), 5)
+    index.store(f"file://{tmp_path}/i")
+    again = lexical.TextIndex.load(spark, f"file://{tmp_path}/i")
+    asked = collection(spark, texts(3, 2))
+    assert again.k == 5 and lexical.bm25_search(asked, again, 5).count() > 0
+    for search in (lexical.bm25_search, lexical.cosine_search):
+        with pytest.raises(ValueError):
+            search(asked, again, 6)
+    with pytest.raises(ValueError):
+        lexical.TextIndex.load(spark, f"file://{tmp_path}/i", lexical.Bm25(k1=1.2))

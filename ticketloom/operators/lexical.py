@@ -14,8 +14,9 @@ remaining terms up for the surviving candidates.  Both ways are exact.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
@@ -50,13 +51,22 @@ class TextIndex:
     """The tables that the searches below read, each written once, when it is first needed or stored.
 
     ``reps`` (grp, doc, n_copies, text) and ``members`` (grp, doc, member) are the distinct texts and the members
-    of each that a top k can need; the rest follows from them and the parameters.
+    of each that a top k can need; the rest follows from them and the parameters.  The index knows its k and its
+    parameters: a search for more results, or a load with other parameters, is an error.
     """
 
     PARTS = ("reps", "members", "postings", "terms", "vocabulary", "vectors", "bounds")
 
-    def __init__(self, reps: DataFrame, members: DataFrame, bm25: Bm25 = Bm25(), tfidf: TfIdf = TfIdf()):
-        self.reps, self.members, self.bm25, self.tfidf = reps, members, bm25, tfidf
+    def __init__(self, reps: DataFrame, members: DataFrame, k: int, bm25: Bm25 = Bm25(), tfidf: TfIdf = TfIdf()):
+        self.reps, self.members, self.k, self.bm25, self.tfidf = reps, members, k, bm25, tfidf
+
+    @property
+    def _settings(self) -> str:
+        return json.dumps([asdict(self.bm25), asdict(self.tfidf) | {"stop_words": list(self.tfidf.stop_words)}])
+
+    def serves(self, k: int) -> None:
+        if k > self.k:
+            raise ValueError(f"the index holds the members of a text that {self.k} results can need, not {k}")
 
     @cached_property
     def _sizes(self) -> DataFrame:
@@ -95,12 +105,17 @@ class TextIndex:
             if "term" in table.columns:
                 table = table.repartitionByRange("term").sortWithinPartitions("term")
             table.write.mode(mode).parquet(f"{path}/{part}")
+        meta = self.reps.sparkSession.createDataFrame([(self.k, self._settings)], "k int, settings string")
+        meta.coalesce(1).write.mode(mode).parquet(f"{path}/meta")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, bm25: Bm25 = Bm25(), tfidf: TfIdf = TfIdf()) -> "TextIndex":
         """A stored index; nothing of it is built again.  The parameters must be those it was built with."""
         tables = {part: spark.read.parquet(f"{path}/{part}") for part in cls.PARTS}
-        index = cls(tables.pop("reps"), tables.pop("members"), bm25, tfidf)
+        meta = spark.read.parquet(f"{path}/meta").first()
+        index = cls(tables.pop("reps"), tables.pop("members"), meta.k, bm25, tfidf)
+        if meta.settings != index._settings:
+            raise ValueError(f"the index was built with {meta.settings}")
         index.__dict__.update(tables)
         return index
 
@@ -140,7 +155,7 @@ def build_index(corpus: DataFrame, k: int, bm25: Bm25 = Bm25(), tfidf: TfIdf = T
     """Index a ``(grp, doc, text)`` collection for searches of up to k results."""
     docs = materialize(corpus, "texts")
     return TextIndex(
-        materialize(fold_copies(docs), "reps"), materialize(lowest_members(docs, k), "members"), bm25, tfidf
+        materialize(fold_copies(docs), "reps"), materialize(lowest_members(docs, k), "members"), k, bm25, tfidf
     )
 
 
@@ -225,6 +240,7 @@ def query_term_counts(queries: DataFrame) -> DataFrame:
 
 def bm25_search(queries: DataFrame, index: TextIndex, k: int = 15) -> DataFrame:
     """Best k documents per query with a positive score: ``(grp, q, doc, score, rank)``."""
+    index.serves(k)
     weighted = (
         materialize(query_term_counts(queries), "asked")
         .join(index.terms, ["grp", "term"])
@@ -303,6 +319,7 @@ def tfidf_vectors(
 
 def cosine_search(queries: DataFrame, index: TextIndex, k: int = 15) -> DataFrame:
     """Nearest k documents per query by tf-idf cosine: ``(grp, q, doc, score, rank)``."""
+    index.serves(k)
     asked = tfidf_vectors(queries, index.vocabulary, index.tfidf).select(
         "grp", F.col("doc").alias("q"), "term", F.col("w").alias("qw")
     )
