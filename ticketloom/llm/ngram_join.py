@@ -12,9 +12,10 @@ A text's set holds its distinct word shingles as 64-bit hashes.  Two sets link i
    with the same members make one tile.  Tiles beyond ``TILE`` sets are dealt into blocks, of which each two meet.
 3. Bitmaps.  Every set sets bits by its hashes, by parity; w bits that differ between two sets mean at least w
    elements in one only, so the count bounds the overlap from above.  In a tile, a search from set to set among
-   those not yet reached gives a spanning forest of the pairs that the bound allows, not all pairs.
-4. Intersections.  The pairs of the forests are verified on the sorted sets.  Where one of them fails, the forest's
-   tree is looked at again, and all its allowed pairs between different components are verified, too.
+   those not yet reached gives a spanning forest of the pairs that the bound allows, not all pairs.  It starts from
+   the smallest number, so that tiles with much the same members give much the same pairs.
+4. Intersections.  The pairs of the forests are verified on the sorted sets.  Where one of them fails, the sets of the
+   forest's tree meet once more, and the same search goes from component to component by verified links.
 
 Words are runs of characters other than 0x09-0x0D and 0x20, A-Z are lower-cased.  Fewer words than a shingle has: all of
 them are the only shingle.  None, or a null text: the set is empty and linked with nothing.  Repeated rows are members of one
@@ -29,14 +30,15 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ticketloom.llm.common import by_bytes, materialize, texts_of
 from ticketloom.llm.graph import components
 
 SHINGLE = 4
 SHARE = 85
-TILE = 2048
+TILE = 2048  # sets of a tile
+TILE_BYTES = 64 << 20  # of hashes, if all its sets came together
 SLOT_BITS = 20
 CHUNKS = 64
 WIDEST = 1 << 14  # bits of a bitmap
@@ -173,7 +175,7 @@ def marked(docs: DataFrame, size: int, share: int) -> DataFrame:
                     prefixes.append(np.empty(0, np.int64))
                     continue
                 band = int(np.searchsorted(edges, n, side="right")) - 1
-                bits = min(WIDEST, max(64, 1 << int(2 * edges[band + 1] - 1).bit_length()))
+                bits = min(WIDEST, max(64, 1 << int(edges[band + 1] - 1).bit_length()))
                 first = n - (share * n + 99) // 100 + 1
                 rare = level[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
                 prefixes.append((s[np.argsort(rare, kind="stable")[:first]] if rare.any() else s[:first]).view(np.int64))
@@ -194,24 +196,32 @@ def marked(docs: DataFrame, size: int, share: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("th"), _text(docs)).mapInArrow(run, schema)
 
 
-def tiles(classes: DataFrame) -> DataFrame:
+def tiles(classes: DataFrame, share: int) -> DataFrame:
     """``key, band, lo, hi, guest, side, cid``: the sets of each tile."""
     posted = classes.select("cid", F.col("band").alias("own"), F.explode("prefix").alias("key"))
-    # two sums of hashes stand for a list of members
+    # shingles of one set only go no further; of the others, two sums of hashes stand for a list of members
+    shared = posted.withColumn("c", F.count("*").over(W.partitionBy("key"))).filter("c > 1").drop("c")
+    shared = materialize(shared, "shared")
     sign = [F.bit_xor(F.xxhash64(F.lit(i), "cid")).alias(f"x{i}") for i in (1, 2)]
-    shared = posted.groupBy("key").agg(F.count("*").alias("c"), *sign).filter("c > 1")
-    shared = materialize(shared.groupBy("c", "x1", "x2").agg(F.min("key").alias("key")).select("key", "c"), "tile-keys")
+    once = shared.groupBy("key").agg(F.count("*").alias("c"), *sign).groupBy("c", "x1", "x2").agg(F.min("key").alias("key"))
+    met = materialize(shared.join(once.select("key"), "key").select("key", "own", "cid"), "met")
+    # by band, its residents and guests: what is alone in its tile goes no further
+    held = met.groupBy("key", "own").agg(F.count("*").alias("c"))
+    in_turn = W.partitionBy("key").orderBy("own")
+    next_ = F.when(F.lead("own").over(in_turn) == F.col("own") + 1, F.lead("c").over(in_turn)).otherwise(F.lit(0))
+    sizes = held.select("key", F.col("own").alias("band"), (F.col("c") + next_).alias("c")).filter("c > 1")
+    edges = bands(share)
+    most = [max(1, min(TILE, TILE_BYTES // (8 * int(e)))) for e in edges[1:]]
+    limit = F.coalesce(F.get(F.array(*map(F.lit, most)), F.col("band")), F.lit(1))
+    sizes = materialize(sizes.select("key", "band", F.ceil(F.col("c") / limit).cast("int").alias("blocks")), "tile-sizes")
     role = F.explode(
         F.array(
             F.struct(F.col("own").alias("band"), F.lit(False).alias("guest")), F.struct((F.col("own") - 1).alias("band"), F.lit(True).alias("guest"))
         )
     )
-    met = materialize(posted.join(shared, "key").select("key", "c", "cid", role.alias("r")).select("key", "c", "cid", "r.*"), "met")
-    large = met.filter(F.col("c") > TILE).groupBy("key", "band").agg(F.count("*").alias("c")).filter(F.col("c") > TILE)
-    large = large.select("key", "band", F.ceil(F.col("c") / TILE).cast("int").alias("blocks"))
-    blocks = F.coalesce("blocks", F.lit(1))
-    dealt = met.drop("c").join(large, ["key", "band"], "left").withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = met.select("key", "cid", role.alias("r")).select("key", "cid", "r.*").join(sizes, ["key", "band"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
     return dealt.select("key", "band", lo.alias("lo"), hi.alias("hi"), "guest", (F.col("block") == hi).alias("side"), "cid")
 
@@ -299,40 +309,67 @@ def trees(members: DataFrame, share: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], TREE)
 
     run = _by_tile(keys, solve)
-    return members.repartition(*keys).sortWithinPartitions(*keys, "n", "cid").mapInArrow(
+    return members.repartition(*keys).sortWithinPartitions(*keys, "cid").mapInArrow(
         run, "key long, band int, lo int, hi int, root long, a long, b long"
     )
 
 
+def _shared(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
+    """Elements that a sorted set has in common with each of some others."""
+    at = np.searchsorted(one, flat := np.concatenate(many))
+    hit = one[np.minimum(at, len(one) - 1)] == flat
+    return np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *map(len, many[:-1])]))
+
+
+def joined(bits: np.ndarray, sets: list[np.ndarray], label: np.ndarray, share: int) -> list[tuple[int, int]]:
+    """Links that join different labels, as many as it takes to join all that can be joined."""
+    n = np.array([len(s) for s in sets], np.int64)
+    left, out = np.ones(len(sets), bool), []
+    for first in range(len(sets)):
+        if not left[first]:
+            continue
+        reached = np.flatnonzero(label == label[first]).tolist()
+        left[reached] = False
+        while reached and left.any():
+            x = reached.pop()
+            y = np.flatnonzero(left & (100 * np.minimum(n, n[x]) >= share * np.maximum(n, n[x])))
+            y = y[_allowed(n[y], n[x], np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64), share)]
+            for at in range(0, len(y), 256):
+                some = y[at : at + 256]
+                some = some[left[some]]
+                if not len(some):
+                    continue
+                both = _shared(sets[x], [sets[i] for i in some.tolist()])
+                for i in some[100 * both >= share * (n[some] + n[x] - both)].tolist():
+                    if left[i]:
+                        out.append((x, i))
+                        new = np.flatnonzero(left & (label == label[i]))
+                        left[new] = False
+                        reached += new.tolist()
+    return out
+
+
 def remaining(members: DataFrame, share: int) -> DataFrame:
-    """``a, b``: of each tree's sets, all allowed pairs with different labels."""
+    """``a, b``: links between different labels of each tree's sets, from their intersections."""
 
     def solve(rows, starts):
-        cid, n, label = (rows.column(c).to_numpy() for c in ("cid", "n", "label"))
-        bits, out = rows.column("bits").to_pylist(), []
+        cid, label, out = rows.column("cid").to_numpy(), rows.column("label").to_numpy(), []
         for s in (slice(int(x), int(y)) for x, y in zip(starts[:-1], starts[1:])):
-            own = _folded(bits[s], min(map(len, bits[s])))
-            for i in range(s.start, s.stop - 1):
-                j = np.flatnonzero(label[i + 1 : s.stop] != label[i]) + i + 1
-                differ = np.bitwise_count(own[j - s.start] ^ own[i - s.start]).sum(axis=1, dtype=np.int64)
-                j = j[_allowed(n[j], n[i], differ, share)]
-                out.append(np.column_stack((np.full(len(j), i), j)))
-                if len(out) > 5000:
-                    yield pairs(cid, out)
-                    out = []
-        yield pairs(cid, out)
-
-    def pairs(cid, out):
-        x, y = np.concatenate([np.empty((0, 2), np.int64), *out]).T
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[x], cid[y])), pa.array(np.maximum(cid[x], cid[y]))], ["a", "b"])
+            if (label[s] == label[s.start]).all():
+                continue
+            own = rows.slice(s.start, s.stop - s.start)
+            bits = own.column("bits").to_pylist()
+            sets = [np.frombuffer(h, np.uint64) for h in own.column("hashes").to_pylist()]
+            out += [(x + s.start, y + s.start) for x, y in joined(_folded(bits, min(map(len, bits))), sets, label[s], share)]
+        x, y = np.array(out, np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[x], cid[y])), pa.array(np.maximum(cid[x], cid[y]))], ["a", "b"])
 
     keys = ["key", "band", "lo", "hi", "root"]
-    run = _by_tile(keys, solve)
-    return members.repartition(*keys).sortWithinPartitions(*keys, "n", "cid").mapInArrow(run, "a long, b long").distinct()
+    return members.repartition(*keys).sortWithinPartitions(*keys, "cid").mapInArrow(_by_tile(keys, solve), "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, share: int) -> DataFrame:
-    """Add ``linked`` to pairs of classes, from the intersection of their sorted sets."""
+def sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``cid, hashes``: the sorted sets of the classes in some pairs."""
 
     def sets(batches):
         shingler = Shingler(size)
@@ -340,23 +377,27 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, s
             data = [shingler.set(t).tobytes() for t in texts_of(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(data, pa.binary())], ["cid", "hashes"])
 
+    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    places = wanted.join(classes.select("cid", F.col("at").alias("_at")), "cid")
+    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("_at"), _text(docs))
+    known = rows.join(places, "_at").dropDuplicates(["cid"]).select("cid", "text").mapInArrow(sets, "cid long, hashes binary")
+    return materialize(known, "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Add ``linked`` to pairs of classes, from the intersection of their sorted sets."""
+
     def meet(batches):
         for b in batches:
             out = []
             for x, y in zip(b.column("ha").to_pylist(), b.column("hb").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                both = int((x[at] == y).sum())
+                both = int(_shared(x, [y])[0])
                 out.append(100 * both >= share * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(out, pa.bool_())], ["a", "b", "linked"])
 
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    places = wanted.join(classes.select("cid", F.col("at").alias("_at")), "cid")
-    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("_at"), _text(docs))
-    known = rows.join(places, "_at").dropDuplicates(["cid"]).select("cid", "text").mapInArrow(sets, "cid long, hashes binary")
-    known = materialize(known, "sets")
-    first = known.select(F.col("cid").alias("a"), F.col("hashes").alias("ha"))
-    second = known.select(F.col("cid").alias("b"), F.col("hashes").alias("hb"))
+    first = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("ha"))
+    second = sets.select(F.col("cid").alias("b"), F.col("hashes").alias("hb"))
     return materialize(
         pairs.join(first, "a").join(second, "b").select("a", "b", "ha", "hb").mapInArrow(meet, "a long, b long, linked boolean"), "verified"
     )
@@ -364,9 +405,10 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, s
 
 def links(classes: DataFrame, docs: DataFrame, size: int, share: int) -> DataFrame:
     """``node, root``: components of the linked classes."""
-    traits = classes.select("cid", "n", "bits")
-    grown = materialize(trees(tiles(classes).join(traits, "cid"), share), "trees")
-    tried = verified(grown.select("a", "b").distinct(), classes, docs, size, share)
+    grown = materialize(trees(tiles(classes, share).join(classes.select("cid", "n", "bits"), "cid"), share), "trees")
+    pairs = grown.select("a", "b").distinct()
+    sets = sets_of(pairs, classes, docs, size)
+    tried = verified(pairs, sets, share)
     found = tried.filter("linked").select("a", "b")
     roots = components(found)
     failed = tried.filter("not linked").select("a", "b")
@@ -379,12 +421,9 @@ def links(classes: DataFrame, docs: DataFrame, size: int, share: int) -> DataFra
     sign = [F.bit_xor(F.xxhash64(F.lit(i), "cid")).alias(f"x{i}") for i in (1, 2)]
     once = members.groupBy(*tree).agg(F.count("*").alias("c"), *sign).groupBy("c", "x1", "x2").agg(F.min(F.struct(*tree)).alias("t"))
     label = roots.select(F.col("node").alias("cid"), F.col("root").alias("label"))
-    again = members.join(once.select("t.*"), tree).join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid")).join(traits, "cid")
-    more = materialize(remaining(again, share).join(failed, ["a", "b"], "left_anti"), "remaining")
-    if not more.limit(1).count():
-        return roots
-    late = verified(more, classes, docs, size, share).filter("linked").select("a", "b")
-    return components(found.union(late))
+    again = members.join(once.select("t.*"), tree).join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    late = materialize(remaining(again.join(classes.select("cid", "bits"), "cid").join(sets, "cid"), share), "late")
+    return components(found.union(late)) if late.limit(1).count() else roots
 
 
 def ngram_components(docs: DataFrame, size: int = SHINGLE, share: int = SHARE) -> DataFrame:
