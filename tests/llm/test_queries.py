@@ -69,6 +69,27 @@ def test_neighbours_with_norms_ties_and_bad_vectors(spark):
     assert [a for a, _ in few[0]] == [a for a, _ in exact(rows[:3], 20, 20)[0]]
 
 
+def test_recall_of_clustered_vectors_holds_in_every_tenth_of_the_queries(spark):
+    """Tight clusters and isolated vectors: buckets fitted to the former don't find the neighbours of the latter."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((60, 32))
+    x = np.vstack([centres[rng.integers(0, 60, 2400)] + 0.05 * rng.standard_normal((2400, 32)), rng.standard_normal((150, 32))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(int(i), [float(a) for a in v]) for i, v in zip(rng.permutation(len(x)), x)]
+    got = found(neighbours.nearest(spark.createDataFrame(rows, "id long, v array<float>"), "id", "v", 10, 20))
+    want = exact(rows, 10, 20)
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    recall = np.sort([len({a for a, _ in got[q]} & {a for a, _ in want[q]}) / 20 for q in want])
+    assert min(t.mean() for t in np.array_split(recall, 10)) >= 0.9
+
+
+def test_small_tables_are_met_whole(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(a) for a in rng.standard_normal(8)]) for i in range(0, 300, 20)]
+    got = found(neighbours.nearest(spark.createDataFrame(rows, "id long, v array<float>"), "id", "v", 20, 20))
+    assert {q: [a for a, _ in v] for q, v in got.items()} == {q: [a for a, _ in v] for q, v in exact(rows, 20, 20).items()}
+
+
 def test_split_buckets_lose_nothing(spark, monkeypatch):
     v = table(spark, DATA, "embeddings")
     whole = found(neighbours.nearest(v, "vec_id", "embedding", 20, 20))

@@ -11,13 +11,17 @@ the ranks of a query's projections and thus computed once.
 How many buckets to visit is fitted: the true neighbours of ``SAMPLE`` queries, found
 by a scan of all rows, tell how far down the order their buckets stand; the least
 number that finds ``recall`` of them is taken for all queries.  Every row is indexed.
+The sample's queries also tell how far away a k-th neighbour may be before this number of buckets finds too few: those
+tenths of them, from the farthest on, that miss ``LOWEST`` set a bound.  A query whose k-th found neighbour lies beyond the
+bound, or beyond all of the sample, or that met fewer than k, is compared with every row, in blocks.
 
 Queries and vectors meet by partitions of buckets, a vector once for each partition that
 holds a bucket of it.  Buckets beyond ``BUCKET_ROWS`` rows are split and visited piece
 by piece, so there is no cap.  A partition keeps the best k + 1 of each query, in double precision on the
 original vectors.  Equal vectors are one entry with their k + 1 smallest ids, which is all that a result can name.
 
-Null ids, and vectors that are null, zero, not all finite or not of the commonest
+With no more entries than k, every query meets all of them.  An empty table gives no rows; columns other than the two named ones
+are not looked at.  Null ids, and vectors that are null, zero, not all finite or not of the commonest
 length take no part.  Of several vectors under one id the smallest is taken.
 """
 
@@ -36,6 +40,7 @@ from ticketloom.llm.common import materialize
 TABLES = 10
 WIDTH = 2.5
 RECALL = 0.96
+LOWEST = 0.9  # recall of a tenth of the sample's queries below which queries as far away are compared with every row
 SAMPLE = 100
 MOST_PROBES = 6000
 BUCKET_ROWS = 50_000
@@ -179,7 +184,7 @@ def nearest(
 
     asked = materialize(rows.filter(F.col("id") % every == 0).join(entries.select("v", "e"), "v").select(F.col("id").alias("query_id"), "e"), "asked")
     queries = materialize(entries.select("e", "v").join(asked.select("e").distinct(), "e"), "queries")
-    probes = fitted_probes(entries, queries, hashes, k1, recall)
+    probes, bound = fitted_probes(entries, queries, hashes, k1, recall)
 
     coded = entries.select("e", "v").mapInArrow(_coder(hashes, None), "e long, code long")
     coded = materialize(coded, "codes")
@@ -198,9 +203,27 @@ def nearest(
         return sent.join(entries.select("e", "v"), "e").select(F.lit(kind).alias("kind"), "part", "e", "v", "codes")
 
     both = side(index, 0).union(side(visits, 1))
-    met = both.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(
-        _meet(k1), "q long, e long, score double"
+
+    def compared(rows, n_parts):
+        return rows.repartitionById(n_parts, "part").sortWithinPartitions("part", "kind").mapInArrow(
+            _meet(k1), "q long, e long, score double"
+        )
+
+    met = materialize(compared(both, parts), "met")
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    first = met.groupBy("q", "e").agg(F.max("score").alias("score"))
+    first = first.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "e"))).filter(F.col("r") <= k1)
+    first = first.groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
+    far = queries.join(first, F.col("e") == F.col("q"), "left").filter(
+        F.coalesce(F.col("n") < k1, F.lit(True)) | (F.col("kth") / length < bound)
     )
+    far = materialize(far.select("e", "v"), "far-queries")
+    if far.limit(1).count():
+        one = F.array(F.lit(0).cast("long")).alias("codes")
+        blocks = max(int(-(-n // PART_ROWS)), spark.sparkContext.defaultParallelism)
+        all_rows = entries.select(F.lit(0).alias("kind"), F.pmod(F.xxhash64("e"), F.lit(blocks)).cast("int").alias("part"), "e", "v", one)
+        asked_all = far.select(F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"), "e", "v", one)
+        met = met.union(compared(all_rows.union(asked_all), blocks))
     merged = met.groupBy("q", "e").agg(F.max("score").alias("score"))
     named = merged.join(entries.select("e", "ids"), "e").select("q", "score", F.explode("ids").alias("id"))
     ranked = named.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))).filter(F.col("r") <= k1)
@@ -283,12 +306,15 @@ def _meet(k: int):
     return run
 
 
-def fitted_probes(entries: DataFrame, queries: DataFrame, hashes: Hashes, k: int, recall: float) -> int:
-    """Buckets to visit in each table so that ``recall`` of the sample's true neighbours are met."""
+def fitted_probes(entries: DataFrame, queries: DataFrame, hashes: Hashes, k: int, recall: float) -> tuple[int, float]:
+    """Buckets to visit in each table so that ``recall`` of the sample's true neighbours are met, and the bound.
+
+    The bound is the least inner product with the query's direction that a k-th neighbour may have.
+    """
     some = queries.orderBy(F.xxhash64("e"), "e").limit(SAMPLE).select("e", "v").collect()
     if not some:
-        return 1
-    ids, q = np.array([r.e for r in some]), np.array([r.v for r in some], float)
+        return 1, np.inf
+    q = np.array([r.v for r in some], float)
 
     def scan(batches):
         for b in batches:
@@ -307,5 +333,16 @@ def fitted_probes(entries: DataFrame, queries: DataFrame, hashes: Hashes, k: int
 
     found = entries.select("e", "v").mapInArrow(scan, "i int, score double, e long, place long")
     top = found.withColumn("r", F.row_number().over(W.partitionBy("i").orderBy(F.desc("score"), "e"))).filter(F.col("r") <= k)
-    places = np.sort([r.place for r in top.select("place").collect()])  # SAMPLE x k numbers
-    return int(min(MOST_PROBES, places[min(len(places) - 1, int(np.ceil(recall * len(places))))] + 1))
+    known = top.select("i", "score", "place").toPandas()  # SAMPLE x k rows
+    places = np.sort(known["place"])
+    probes = int(min(MOST_PROBES, places[min(len(places) - 1, int(np.ceil(recall * len(places))))] + 1))
+    known["met"] = known["place"] < probes
+    by_query = known.groupby("i").agg(kth=("score", "min"), met=("met", "mean"))
+    by_query["kth"] /= np.linalg.norm(q, axis=1)[by_query.index]
+    bound = by_query["kth"].min()
+    by_query = by_query.sort_values("kth")
+    for tenth in (by_query.iloc[t] for t in np.array_split(np.arange(len(by_query)), 10)):
+        if not len(tenth) or tenth["met"].mean() >= LOWEST:
+            break
+        bound = np.nextafter(tenth["kth"].max(), np.inf)
+    return probes, float(bound)
