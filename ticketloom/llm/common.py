@@ -36,6 +36,20 @@ def left_by_key(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     return a.join(b, on, "left").drop(*[f"_r_{k}" for k in keys])
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+
+
+def low_hash(rows: Column, wanted: int) -> Column:
+    """Whether the hash of ``doc_id`` is among the lowest, of about as many rows of ``rows`` as a draw of ``wanted`` needs.
+
+    A draw by hash order then sees few rows of a group, not all: ``wanted`` and twelve deviations more.
+    """
+    share = F.least(F.lit(1.0), F.lit(wanted + 12 * wanted**0.5 + 20) / rows)
+    return F.xxhash64("doc_id").cast("double") <= (share * 2 - 1) * float(1 << 63)
+
+
 def crc_fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id's text, modulo 3; null ids are in fold 0, which is learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3, F.lit(0))

@@ -9,6 +9,7 @@ drawn by a hash of the id; every row is predicted from its text alone.
 Text that is null or has no letter is ``und`` with score 0.  With no labelled
 rows all text is ``und``; with one language that one is the answer.  Languages outside the
 table of families are families of their own.  Repeated rows are predicted alike.
+An empty table gives no rows; other columns are kept by ``known_language``, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from ticketloom.llm.common import by_bytes, crc_fold
+from ticketloom.llm.common import by_bytes, crc_fold, low_hash, whole_row
 from ticketloom.llm.svm import linear_svm
 
 PER_LANGUAGE = 300
@@ -130,9 +131,13 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Learn from rows of folds other than 1 with a language; at most ``per_language`` rows of each."""
     by_bytes(docs.sparkSession)
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "th")
+    known = docs.select("doc_id", "lang", F.xxhash64("text").alias("th"), F.lower(F.col("text")).rlike(r"\p{L}").alias("letters")).filter(
+        F.col("lang").isNotNull() & F.col("letters") & (crc_fold() != 1)
+    )
+    rows = known.groupBy("lang").agg(F.count("*").alias("n"))  # one row a language
     keys = (
-        docs.select("doc_id", "lang", F.xxhash64("text").alias("th"), F.lower(F.col("text")).rlike(r"\p{L}").alias("letters"))
-        .filter(F.col("lang").isNotNull() & F.col("letters") & (crc_fold() != 1))
+        known.join(F.broadcast(rows), "lang")
+        .filter(low_hash(F.col("n"), per_language))
         .withColumn("r", F.row_number().over(order))
         .filter(F.col("r") <= per_language)
         .select(F.struct("doc_id", "th", "lang").alias("k"))
@@ -174,9 +179,8 @@ def predictions(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rest, pa.array(langs, pa.string()), pa.array(scores)], [*kept, "lang_pred", "score"])
 
     kept = ["_row"]
-    row = F.struct(*docs.columns)
-    rows = docs.select(row.alias("_row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, lang_pred string, score double")
+    rows = docs.select(whole_row(docs).alias("_row"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["_row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
