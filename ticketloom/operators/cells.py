@@ -368,7 +368,7 @@ def build_vector_index(vectors: DataFrame, k: int = 15, recall: float = 0.97, se
     train = rows.orderBy(F.xxhash64("id"), "id").limit(TRAIN).select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
     c = centre_count(n, dims)
     if c > 1:
-        model = KMeans(k=c, seed=seed, maxIter=8, distanceMeasure="cosine", initSteps=1).fit(materialize_ml(train))
+        model = KMeans(k=c, seed=seed, maxIter=8, distanceMeasure="cosine", initSteps=1).fit(materialize(train, "train"))
         centres = _unit(np.array(model.clusterCenters()))
     else:
         centres = _unit(np.array([rows.first().vec], np.float64))
@@ -400,11 +400,6 @@ def build_vector_index(vectors: DataFrame, k: int = 15, recall: float = 0.97, se
     return VectorIndex(cells, lists, meta)
 
 
-def materialize_ml(features: DataFrame) -> DataFrame:
-    """A training table that an iterative fit reads many times; bounded by ``TRAIN`` rows."""
-    return materialize(features, "train")
-
-
 def _visited(queries: DataFrame, lists: DataFrame, quantiser: _Quantiser, k: int, kth: DataFrame | None, cutoff: float | None, pairing: str) -> DataFrame:
     """``q, id, score, rank`` from the first cells, or, with ``kth`` and ``cutoff``, from those that remain."""
     spark = queries.sparkSession
