@@ -26,6 +26,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -269,7 +270,7 @@ def tries(phrases: DataFrame, states: int) -> dict[str, list[str]]:
         for b in batches:
             if not b.num_rows:
                 continue
-            key = pa.compute.binary_join_element_wise(b.column("lang"), b.column("shard").cast(pa.string()), "\n").to_pylist()
+            key = pc.binary_join_element_wise(b.column("lang"), b.column("shard").cast(pa.string()), "\n").to_pylist()
             at = 0
             for i in range(1, len(key) + 1):
                 if i == len(key) or key[i] != key[at]:

@@ -15,6 +15,7 @@ before it) from abuse; quoted hits weigh less.
 A logistic model over the sum of hits, fitted on the same sample, gives the score.
 Null and empty texts have no hits and get the score of such texts.  Without labels of both
 kinds the lexicon is empty and the score is the prior.  Repeated rows score alike.
+An empty table gives no rows; columns other than doc_id and text, and doc_id and toxic of the labels, are not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ticketloom.llm.common import by_bytes, crc_fold, materialize
+from ticketloom.llm.common import by_bytes, crc_fold, low_hash, materialize
 
 TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
 SHORTEST, LONGEST = 4, 16
@@ -246,11 +247,15 @@ def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_rows: int)
     """``text, toxic`` of the labelled rows that are learned from, at most so many of each kind."""
     known = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    most = F.when(F.col("toxic") == 1, toxic_rows).otherwise(clean_rows)
+    known = known.filter(F.col("doc_id").isNotNull() & (crc_fold() != 1))
+    rows = known.groupBy("toxic").agg(F.count("*").alias("n"))  # two rows
+    near = F.when(F.col("toxic") == 1, low_hash(F.col("n"), toxic_rows)).otherwise(low_hash(F.col("n"), clean_rows))
     drawn = (
-        known.filter(F.col("doc_id").isNotNull() & (crc_fold() != 1))
+        known.join(F.broadcast(rows), "toxic")
+        .filter(near)
         .withColumn("r", F.row_number().over(order))
-        .filter(F.col("r") <= F.when(F.col("toxic") == 1, toxic_rows).otherwise(clean_rows))
-        .filter(F.col("r") <= max(toxic_rows, clean_rows))
+        .filter(F.col("r") <= most)
         .select("doc_id", "toxic")
     )
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id").select("text", "toxic")

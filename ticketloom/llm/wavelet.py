@@ -10,7 +10,8 @@ then doc table, planes and directories as little-endian arrays.
 
 Documents come in ascending doc_id order (null first; equal ids by text hash) over
 all shards.  Null text is empty and holds the end id only.  Repeated rows are
-written as often as they come.
+written as often as they come.  An empty table gives no rows; columns other than doc_id and text are not looked at,
+whatever their names.
 """
 
 from __future__ import annotations
