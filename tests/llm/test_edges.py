@@ -136,6 +136,27 @@ def test_fingerprints(documents):
     assert got(found, "doc_id", "fp") == sorted(((d, int(np.uint64(brute_fingerprint(t)).astype(np.int64))) for d, t in texts()), key=str)
 
 
+def test_lists_of_the_index_count_the_shared_bytes(spark):
+    """Meeting in 1, 7 or 28 lists is the tally of 6, 7 or 8 shared bytes; with fewer there is no list, and no link."""
+    r = random.Random(8)
+    pairs = []
+    for distance in range(5):
+        for _ in range(60):
+            a = r.getrandbits(64)
+            b = a
+            for bit in r.sample(range(64), distance):
+                b ^= 1 << bit
+            pairs.append((a, b, distance))
+    signed = [(i, int(np.uint64(x).astype(np.int64)), int(np.uint64(y).astype(np.int64))) for i, (x, y, _) in enumerate(pairs)]
+    df = spark.createDataFrame(signed, "i long, x long, y long")
+    lists = [df.select("i", simhash._postings(c).alias("p")).select("i", "p.*") for c in "xy"]
+    met = {r.i: r["count"] for r in lists[0].join(lists[1], ["i", "place", "rest"]).groupBy("i").count().collect()}
+    for i, (a, b, distance) in enumerate(pairs):
+        shared = sum((a >> 8 * k) & 255 == (b >> 8 * k) & 255 for k in range(8))
+        assert met.get(i, 0) == {6: 1, 7: 7, 8: 28}.get(shared, 0)
+        assert distance > simhash.BITS or shared >= simhash.KEPT
+
+
 def test_links_equal_brute_force(spark):
     """Chains, a cluster that fills one list, and random fingerprints."""
     r = random.Random(3)
@@ -418,3 +439,48 @@ def test_lexicon_equals_edit_distances():
             d = d[-1] if t.endswith("$") else min(d)
             want += [(d, t)] if d <= k else []
         assert lexicon.match(w) == min(want, default=None), w
+
+
+def test_secrets_of_every_character_class():
+    scan = lambda t: [x[0] for x in secret_scan.scan(t, re.compile(r"(?!)"), secret_scan.THRESHOLDS, 20)]
+    assert scan("key k7q9zr2m5x8wv4tb6njd1hpc3 end") == ["entropy_lower"]
+    assert scan("key QwErTyUiOpAsDfGhJkLzXcVb end") == ["entropy_mixed"]
+    assert scan("getElementByIdentifierName configurationbackup20 internationalisationisation") == []
+
+
+@pytest.mark.parametrize("stage", ["language ID", "SimHash near-dedup", "benchmark decontamination", "mixing sources", "token output"])
+def test_pipeline_stages_on_edges(spark, stage, tmp_path):
+    """Null, empty, repeated and very long rows, columns with dots and inner names; and no rows at all."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    rows = [*ROWS, (30, prose(40_000, 5), "en", "a"), (31, "lines\n\n" * 300 + "\tend", "en", "c")]
+    docs = spark.createDataFrame(
+        [(*r, len(r[1] or ""), "x", 1, 2) for r in rows],
+        "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, `_row` int, size int",
+    )
+    run = dict(corpus_pipeline.STAGES)[stage]
+    out = run(spark, docs, f"file://{tmp_path}").collect()
+    assert run(spark, docs.limit(0), f"file://{tmp_path}").count() == 0
+    if stage == "token output":
+        assert len(out) == len(rows)
+        return
+    assert out and set(out[0].asDict()) == set(docs.columns) and {r["a.b"] for r in out} == {"x"}
+    texts_in = {r[1] for r in rows}
+    if stage != "mixing sources":
+        assert {r.text for r in out} <= texts_in
+        return
+    for r in out:  # taken words come in order, with the white space between them
+        lines = [line.strip() for line in r.text.split("\n")]
+        assert any(d == r.doc_id and all(line in (t or "") for line in lines) for d, t, *_ in rows) and r.n_chars == len(r.text)
+
+
+def test_repeats_in_periodic_and_well_compressing_texts(documents):
+    """Intervals of a periodic text are one a byte before they are merged; long texts that compress a hundred times."""
+    rows = [(1, "ab" * 100_000), (2, "x" * 60_000), (3, "lone text " + prose(90, 3)), (4, ("same line of text\n" * 3000) + "end"), (5, "ab" * 99)]
+    found = {r.doc_id: r for r in suffix_dedup.deduplicated(documents(rows)).collect()}
+    whole = {1: 200_000, 2: 60_000, 4: 18 * 3000}
+    for i, n in whole.items():
+        assert [(s.start, s.end) for s in found[i].spans] == [(0, n)]
+    assert not found[3].spans and not found[5].spans and bytes(found[4].kept) == b"end"
+    assert bytes(found[3].kept).decode() == rows[2][1]

@@ -16,6 +16,7 @@ Shorter items have their own k and run for each length below ``window``.
 Null and empty texts have no words.  Items of equal words are compared once.  Repeated documents give
 repeated rows; repeated items are one item; texts under one item_id are one item;
 a null item_id is listed as the empty string.  An empty benchmark hits nothing.
+An empty table of documents gives no rows; other columns are kept by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ticketloom.llm.common import materialize
+from ticketloom.llm.common import materialize, whole_row
 
 WINDOW = 10
 GRAM = 5
@@ -183,7 +184,7 @@ class Decontamination:
     def clean(self) -> DataFrame:
         """The documents without a hit, with all their columns."""
         hit = self.hits.select("k").distinct()
-        rows = self.docs.select(_key(), F.struct(*self.docs.columns).alias("_row"))
+        rows = self.docs.select(_key(), whole_row(self.docs).alias("_row"))
         return rows.join(hit, "k", "left_anti").select("_row.*")
 
 

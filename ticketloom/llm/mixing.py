@@ -16,6 +16,7 @@ Null text has size 0, and documents of size 0 are in no block.  Null is a source
 of its own, last in order.  Repeated rows are documents of their own.  Seeds are
 parameters: a rerun gives the same mix.  The number of sources is that of a
 mixing recipe and fits the driver; nothing that grows with the documents does.
+An empty table gives no rows; other columns are kept by ``mixed_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ticketloom.llm.common import left_by_key, materialize, running_offsets
+from ticketloom.llm.common import left_by_key, materialize, running_offsets, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -250,8 +251,8 @@ def keyed_pieces(mix: Mix, docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: one row for each document and round, with the words that the round takes.
 
-    Keeps the columns of ``docs``; ``text`` is the taken words in their order, joined
-    by spaces, or the text itself where the round takes all of it.  Documents of which nothing is taken are left out; of rows
+    Keeps the columns of ``docs``; ``text`` is the taken words in their order with the white space between them as it
+    was, a line break between words from apart, or the text itself where the round takes all of it.  Documents of which nothing is taken are left out; of rows
     repeated with one id and text, one stands for all, with the words that the mix takes of any of them.
     """
     mix = Mix(docs, **options)
@@ -267,18 +268,24 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         )
     )
     own = docs.select(
-        F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"), F.struct(*docs.columns).alias("_row")
+        F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"), whole_row(docs).alias("_row")
     ).dropDuplicates(["_d", "_t"])
     words = F.col("_row.text")
     joined = per.join(own, F.col("_d").eqNullSafe(F.col("doc_id")) & F.col("_t").eqNullSafe(F.col("th"))).withColumn(
-        "_all", word_list("_row.text")
-    )
-    cut = F.array_join(
-        F.flatten(F.transform("cuts", lambda c: F.slice("_all", c["from_word"].cast("int") + 1, c["n_words"].cast("int")))), " "
+        "_all", F.regexp_extract_all(F.col("_row.text").cast("string"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     )
+
+    def piece(c, i):
+        words = F.array_join(F.slice("_all", c["from_word"].cast("int") + 1, c["n_words"].cast("int")), "")
+        last = F.get("cuts", i - 1)
+        follows = (i > 0) & (last["from_word"] + last["n_words"] == c["from_word"])
+        bare = F.regexp_replace(words, r"^[\x20\x09-\x0D]+", "")
+        return F.when(follows, words).otherwise(F.concat(F.when(i > 0, "\n").otherwise(""), bare))
+
+    cut = F.array_join(F.transform("cuts", piece), "")
     text = F.when(F.col("taken") == F.col("size"), words).otherwise(cut)
     changed = {"text": text, "n_chars": F.length(text)}
     kinds = dict(docs.dtypes)
     return joined.select(
-        *[(changed[c].cast(kinds[c]) if c in changed else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns]
+        *[(changed[c].cast(kinds[c]) if c in changed else F.col(f"_row.`{c.replace('`', '``')}`")).alias(c) for c in docs.columns]
     )

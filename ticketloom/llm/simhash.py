@@ -14,6 +14,7 @@ Links of a list are cut down to a spanning forest there; components then come fr
 rounds of joins.  Exact copies cost one fingerprint.  Null and empty texts have
 fingerprint zero and are linked like any other.  Repeated rows stay; a null doc_id is
 never the smallest one, and a component of null ids only has a null id.
+An empty table gives no rows; other columns are kept by ``one_of_each``, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ticketloom.llm.common import by_bytes, materialize, texts_of
+from ticketloom.llm.common import by_bytes, materialize, texts_of, whole_row
 from ticketloom.llm.graph import components
 
 SHINGLE = 3
@@ -130,7 +131,6 @@ def _forest(open_bytes: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
 
 def links(distinct: DataFrame) -> DataFrame:
     """``a, b``: fingerprints within two bits, as a spanning forest of every list of the index."""
-    # lists of one entry can't link: they end at the count, before anything goes to Python
     posted = distinct.select("fp", _postings("fp").alias("p")).select("p.place", "p.rest", "fp")
     sorted_ = posted.repartition("place", "rest").sortWithinPartitions("place", "rest", "fp")
 
@@ -192,6 +192,6 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     keep = near_duplicates(docs, shingle).groupBy("root").agg(F.min(rank).alias("m"))
     keys = keep.select(F.struct(F.col("m.doc_id").alias("d"), F.col("m.th").alias("t")).alias("_k"))
     rows = docs.select(
-        F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t")).alias("_k"), F.struct(*docs.columns).alias("_row")
+        F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t")).alias("_k"), whole_row(docs).alias("_row")
     )
     return rows.join(keys, "_k").dropDuplicates(["_k"]).select("_row.*")
