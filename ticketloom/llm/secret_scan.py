@@ -7,7 +7,8 @@ kept up by incremental counts: one character enters, one leaves, two terms of
 the sum change.  A candidate whose highest window passes the threshold of its
 class becomes a span, unless the allow list knows it or a base span covers it.
 
-Null and empty texts have no spans.  Repeated rows give repeated results.  Spans
+Null and empty texts have no spans, an empty table gives no rows.  Columns other than doc_id and text are not looked at,
+whatever their names.  Repeated rows give repeated results.  Spans
 are in code points, end exclusive, ordered by start, then kind as in ``KINDS``.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from ticketloom.llm.common import by_bytes
 
 BASE_KINDS = ("assign", "access", "hex")
-KINDS = (*BASE_KINDS, "entropy_hex", "entropy_base64", "entropy_upper")
+KINDS = (*BASE_KINDS, "entropy_hex", "entropy_base64", "entropy_upper", "entropy_lower", "entropy_mixed")
 
 # The base patterns.  Of an assignment the match is taken first and
 # its value measured after, as a failing match also uses up its characters.
@@ -42,7 +43,10 @@ ALLOWED = (
     r"[A-Za-z]+([_/-][A-Za-z]+)+",  # paths and names of plain words
 )
 #: Bits that the highest window of a class must pass.
-THRESHOLDS = {"entropy_hex": 3.0, "entropy_base64": 3.7, "entropy_upper": 3.6}
+THRESHOLDS = {"entropy_hex": 3.0, "entropy_base64": 3.7, "entropy_upper": 3.6, "entropy_lower": 3.7, "entropy_mixed": 3.9}
+#: Digits that a candidate of lower-case letters and digits has at least; fewer are numbered words.
+DIGITS = 3
+_CAMEL = re.compile(r"[a-z]*(?:[A-Z][a-z]{2,})+")  # names of joined words
 WINDOW = 20
 
 _MARK = bytes.maketrans(
@@ -79,7 +83,7 @@ def highest_entropy(s: str, window: int = WINDOW) -> float:
 
 
 def character_class(s: str) -> str | None:
-    """The class whose threshold judges a candidate; plain words and numbers have none."""
+    """The class whose threshold judges a candidate; words of one case, joined words, and numbers have none."""
     digit = any(c.isdigit() for c in s)
     upper, lower = any(c.isupper() for c in s), any(c.islower() for c in s)
     if digit and (upper or lower) and not (upper and lower) and all(c in "0123456789abcdefABCDEF" for c in s):
@@ -88,6 +92,10 @@ def character_class(s: str) -> str | None:
         return "entropy_base64"
     if digit and upper:
         return "entropy_upper"
+    if lower and sum(map(str.isdigit, s)) >= DIGITS:
+        return "entropy_lower"
+    if upper and lower and not digit and not _CAMEL.fullmatch(s):
+        return "entropy_mixed"
     return None
 
 

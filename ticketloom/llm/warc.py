@@ -13,12 +13,15 @@ page_id are responses, all others revisits that name it.  Null html is an empty
 payload.  A null page_id ranks after every other.  Repeated rows are written as
 often as they come (two rows with the smallest id are two responses).  A null url
 is written as ``urn:unknown``; control characters in urls are percent-encoded.
+An empty table gives no packages and no rows; columns other than page_id, url and html are not looked at.
+A payload whose digest, computed anew on reading, differs from its header is an error.
 """
 
 from __future__ import annotations
 
 import base64
 import gzip
+import hashlib
 import io
 import json
 import re
@@ -250,8 +253,11 @@ def read_packages(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
                 for r in records(path):
                     f = r["fields"]
                     digest = f["warc-payload-digest"].removeprefix("sha1:")
-                    if f["warc-type"] == "response" and len(r["payload"]) != r["payload_bytes"]:
-                        raise ValueError("the payload's length differs from its header")
+                    if f["warc-type"] == "response":
+                        if len(r["payload"]) != r["payload_bytes"]:
+                            raise ValueError("the payload's length differs from its header")
+                        if base64.b32encode(hashlib.sha1(r["payload"]).digest()).decode() != digest:
+                            raise ValueError("the payload's digest differs from its header")
                     held.append((
                         _page_id(f["warc-record-id"]), r["payload_bytes"], digest, f["warc-type"],
                         _page_id(f["warc-refers-to"]) if "warc-refers-to" in f else None, f["warc-target-uri"],
