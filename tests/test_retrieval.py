@@ -79,6 +79,37 @@ def test_pruned_search_equals_direct_search(spark, k):
     assert as_lists(direct) == as_lists(pruned)
 
 
+@pytest.mark.parametrize("sizes", [(40, 10**9, 64), (10**9, 50, 5), (10**9, 10**9, 1)])
+def test_blocks_equal_one_join_and_give_k_rows_each(spark, monkeypatch, sizes):
+    for name, size in zip(("_BLOCK_ROWS", "_TASK_WORK", "_TASKS"), sizes):
+        monkeypatch.setattr(lexical, name, size)
+    rng = np.random.default_rng(5)
+    # two collections, strings as ids, a null id, a document with the same term twice, weights of 0 and below
+    posts = [(g, f"t{t}", f"d{d}", float(rng.integers(0, 3))) for g in "ab" for t in range(30) for d in rng.choice(90, 60 // (t + 1) + 1, False).tolist()]
+    posts += [("a", "t0", "d1", 1.0), ("a", "t1", None, 2.0)]
+    postings = spark.createDataFrame(posts, "grp string, term string, doc string, w double")
+    stats = postings.groupBy("grp", "term").agg(F.count("*").alias("n_posts"), F.max("w").alias("max_w"))
+    asked = [(g, q, f"t{t}", float(rng.integers(-1, 4))) for g in "ab" for q in range(15) for t in rng.choice(35, 6, False).tolist()]
+    weighted = spark.createDataFrame(asked, "grp string, q long, term string, qw double").join(stats, ["grp", "term"])
+    direct = {tuple(r) for r in lexical.sparse_topk(weighted, postings, 3, direct_rows=10**9).select("grp", "q", "doc", "score", "rank").collect()}
+    assert {tuple(r) for r in lexical.sparse_topk(weighted, postings, 3, direct_rows=0).select("grp", "q", "doc", "score", "rank").collect()} == direct
+    found = lexical._block_scores(weighted.select("grp", "q", "term", "qw", "n_posts"), postings, 3)
+    assert found.groupBy("grp", "q", F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 3 * 64
+    pairs = weighted.join(postings, ["grp", "term"]).select("grp", "q", "doc").distinct().count()
+    assert sizes[2] > 1 or found.count() <= 30 * 3 < pairs
+
+
+def test_terms_are_counted_in_partitions_of_bounded_text(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "_PART_BYTES", 100)
+    reps = collection(spark, texts(300, 7)).withColumn("n_copies", F.lit(1).cast("bigint"))
+    size = sum(len(r.text) for r in reps.collect())
+    assert lexical.text_parts(reps) == size // 100 + 1 > 50
+    assert lexical.bm25_counts(reps).rdd.getNumPartitions() == size // 100 + 1
+    vocabulary = lexical.tfidf_vocabulary(reps)
+    few, many = (sorted(lexical.tfidf_vectors(reps, vocabulary).select("doc", "term", F.round("w", 9)).collect()) for _ in (monkeypatch.setattr(lexical, "_SENT_TERMS", 10**6), monkeypatch.setattr(lexical, "_SENT_TERMS", 1)))
+    assert few == many
+
+
 def test_collections_do_not_mix(spark):
     docs = spark.createDataFrame([(1, "a", "red fox"), (2, "b", "red fox"), (3, "b", "blue cat")], "id long, brand string, text string")
     c = lexical.as_collection(docs, "id", "text", "brand")
