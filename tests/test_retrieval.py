@@ -106,10 +106,21 @@ def test_terms_are_counted_in_partitions_of_bounded_text(spark, monkeypatch):
     assert lexical.text_parts(reps) == size // 100 + 1 > 50
     assert lexical.bm25_counts(reps).rdd.getNumPartitions() == size // 100 + 1
     vocabulary = lexical.tfidf_vocabulary(reps)
-    few, many = (sorted(lexical.tfidf_vectors(reps, vocabulary).select("doc", "term", F.round("w", 9)).collect()) for _ in (monkeypatch.setattr(lexical, "_SENT_TERMS", 10**6), monkeypatch.setattr(lexical, "_SENT_TERMS", 1)))
+    few, many = (sorted(lexical.tfidf_vectors(reps, vocabulary).select("doc", "term", F.round("w", 9)).collect()) for _ in (monkeypatch.setattr(lexical, "SENT_TERMS", 10**6), monkeypatch.setattr(lexical, "SENT_TERMS", 1)))
     assert few == many
 
 
+@pytest.mark.parametrize("width, k", [(50, 4), (1000, 3), (1000, 15), (700, 900)])
+def test_best_of_ranks_few_numbers_and_equals_a_full_sort(width, k):
+    rng = np.random.default_rng(width + k)
+    scores = np.round(rng.random((20, width)), 2)  # many ties
+    scores[3], scores[4, ::2], scores[5] = -np.inf, -np.inf, 0.5
+    row, col = dense.best_of(scores, k, 0.1)
+    for i, own in enumerate(scores):
+        want = [j for j in np.argsort(-own, kind="stable").tolist() if own[j] >= 0.1][:k]
+        assert col[row == i].tolist() == want
+
+
 def test_collections_do_not_mix(spark):
     docs = spark.createDataFrame([(1, "a", "red fox"), (2, "b", "red fox"), (3, "b", "blue cat")], "id long, brand string, text string")
     c = lexical.as_collection(docs, "id", "text", "brand")
