@@ -5,6 +5,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from ticketloom.functions import text as X
+from ticketloom.operators import language, lexical
 
 
 def apply(spark, fn, *values):
@@ -92,3 +93,15 @@ def test_redaction_is_idempotent(spark, texts):
 def test_normalising_equals_python(spark, texts):
     want = [" ".join(html.unescape(t).split()) for t in texts]
     assert apply(spark, X.normalize_text, *texts) == want
+
+
+def test_language_is_the_same_with_a_profile_of_any_size(spark, monkeypatch):
+    rows = [(1, "der hund und der kater"), (1, "the dog"), (2, "the dog and the cat"), (3, "der the the"), (4, "unknown"), (None, "the dog"), (5, None)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    profile = spark.createDataFrame([("de", "der", 0.4), ("de", "hund", 0.1), ("en", "the", 0.3), ("en", "dog", 0.2)], "lang string, token string, weight double")
+    found = []
+    for terms, size in ((10, 1 << 20), (1, 20)):
+        monkeypatch.setattr(language, "SENT_TERMS", terms)
+        monkeypatch.setattr(lexical, "_PART_BYTES", size)
+        found.append({(r.id, r.detected, r.score) for r in language.detect_language(df, "id", "text", profile).collect()})
+    assert found[0] == found[1] == {(1, "de", 0.9), (2, "en", 0.8), (3, "en", 0.6), (None, "en", 0.5)}
