@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from ticketloom.operators import cells, dense
+from ticketloom.plans.queries import QUERIES
 from ticketloom.sources import files
 
 
@@ -115,3 +116,27 @@ def test_a_small_table_is_searched_whole(spark):
     df = frame(spark, x, np.arange(9))
     found = cells.dense_topk_ivf(df.selectExpr("id as q", "vec"), cells.build_vector_index(df, 15), 15, "others")
     assert found.count() == 9 * 8
+
+
+def test_queries_in_blocks_of_any_size_find_the_same(spark, monkeypatch):
+    """A block of few numbers takes one query at a time; ids may repeat, and ties go to the lower id."""
+    x = clustered(tight=300, apart=100)
+    df = frame(spark, x, np.arange(len(x)) // 2)
+    index = cells.build_vector_index(df, 15)
+    found = []
+    for numbers in (cells._SCORES, 1):
+        monkeypatch.setattr(cells, "_SCORES", numbers)
+        best = cells.dense_topk_ivf(df.selectExpr("id as q", "vec"), index, 15, "others").collect()
+        found.append(sorted((r.q, r["rank"], r.id, round(r.score, 9)) for r in best))
+    assert found[0] == found[1] and all(q != i for q, _, i, _ in found[0])
+
+
+def test_the_registered_search_asks_every_fiftieth_vector(spark, tmp_path):
+    x = unit(np.random.default_rng(5).standard_normal((160, 8))).astype(np.float32)
+    rows = [(int(i), [float(a) for a in v], int(i % 3)) for i, v in zip(range(7, 167), x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = QUERIES["dense_topk_ivf"](spark, str(tmp_path)).collect()
+    assert {r.q for r in found} == {50, 100, 150}
+    best = dense.dense_topk(*(spark.read.parquet(f"{tmp_path}/embeddings.parquet").selectExpr(f"vec_id as {c}", "embedding as vec") for c in ("q", "id")), 15, None, "others")
+    want = {(r.q, r.id) for r in best.collect() if r.q % 50 == 0}
+    assert len(found) == 45 and len({(r.q, r.id) for r in found} & want) >= 0.9 * len(want)
