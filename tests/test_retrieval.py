@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.config import CacheSettings, RetrievalSettings
 from ticketloom.operators import dense, hybrid, lexical, taxonomy
+from ticketloom.session import materialize
 
 
 def texts(n, seed, hot=0.0, words=60):
@@ -110,6 +111,33 @@ def test_terms_are_counted_in_partitions_of_bounded_text(spark, monkeypatch):
     assert few == many
 
 
+def test_terms_are_counted_a_few_at_a_time(spark, monkeypatch):
+    rows = [(None, 2), ("", 1), ("...", 3), *((t, i % 3 + 1) for i, (_, t) in enumerate(texts(80, 9)))]
+    reps = spark.createDataFrame([("", i, n, t) for i, (t, n) in enumerate(rows)], "grp string, doc long, n_copies long, text string").coalesce(2)
+    want = {}
+    for t, n in rows:
+        for w in (own := [x for x in (t or "").replace(".", "").split() if len(x) > 1 and x not in lexical.STOP_WORDS]):
+            tf, df = want.get(w, (0, 0))
+            want[w] = tf + n, df + (n / own.count(w))
+    monkeypatch.setattr(lexical, "_COUNTED", 7)
+    got = {r.term: (r.total_tf, r.df) for r in lexical.tfidf_vocabulary(reps).collect()}
+    assert got == {w: (tf, round(df)) for w, (tf, df) in want.items()}
+
+
+def test_postings_stay_where_they_are_when_few_terms_are_asked(spark):
+    """The asked terms and the block numbers are sent to the postings' tasks; only rows of asked terms are dealt to blocks."""
+    postings = materialize(spark.range(60_000).selectExpr("'' as grp", "concat('t', id % 400) as term", "id as doc", "1D as w"), "postings")
+    terms = materialize(spark.range(40).selectExpr("'' as grp", "id % 4 as q", "concat('t', id) as term", "1D as qw", "10L as n_posts"), "terms")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50000")  # more than the written tables, less than their product
+    try:
+        plan = lexical._block_scores(terms, postings, 3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert plan.count("BroadcastHashJoin") == 4 and plan.count("Exchange hashpartitioning") == 2
+
+
 @pytest.mark.parametrize("width, k", [(50, 4), (1000, 3), (1000, 15), (700, 900)])
 def test_best_of_ranks_few_numbers_and_equals_a_full_sort(width, k):
     rng = np.random.default_rng(width + k)
