@@ -315,3 +315,16 @@ def test_a_cluster_must_name_its_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_the_cache_is_searched_once_for_all_steps(spark, monkeypatch):
+    """What follows the cache reads its written hits, so their search is no part of the later plan."""
+    tickets = spark.createDataFrame([("a", "b", "red fox", 1), ("c", "b", "blue cat", 1)], "ticket_id string, brand string, query string, turn_count int")
+    corpus = tickets.selectExpr("concat('p', ticket_id) as passage_id", "brand", "query as customer_query", "query as historical_resolution")
+    intents = spark.createDataFrame([("b", "other", "Other", 0, True)], "brand string, intent_id string, name string, ord int, auto_handle_eligible boolean")
+    cache = tickets.limit(1).selectExpr("'k' as cache_id", "brand", "query", "'other' as intent", "'hello' as draft_reply")
+    found = scoring.text_cache_hits
+    monkeypatch.setattr(scoring, "text_cache_hits", lambda *a: found(*a).filter("ticket_id != 'searched again'"))
+    out = scoring.score_tickets(tickets, corpus, intents, spark.createDataFrame([("x", 1.0)], "word string, valence double"), lambda text: F.lit("other"), cache)
+    assert "searched again" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.ticket_id, r.cached) for r in out.collect()} == {("a", True), ("c", False)}

@@ -38,6 +38,7 @@ from ticketloom.operators.intents import validate_intent, with_eligibility
 from ticketloom.operators.language import with_sentiment
 from ticketloom.operators.policy import escalation_policy, golden_label, top_similarity
 from ticketloom.operators.sampling import seeded_sample
+from ticketloom.session import materialize
 
 SCORED_COLUMNS = (
     "ticket_id", "brand", "query", "predicted_intent", "classification_confidence",
@@ -138,7 +139,7 @@ def score_tickets(
     open_tickets = tickets
     hits = None
     if cache is not None:
-        hits = text_cache_hits(tickets, cache)
+        hits = materialize(text_cache_hits(tickets, cache), "cache-hits")  # five steps below read them
         open_tickets = cache_miss(tickets, hits, "ticket_id")
 
     contexts = nest_contexts(retrieve_contexts(open_tickets, corpus, retrieval, scorer, index))
