@@ -325,6 +325,28 @@ def test_token_output(documents):
     assert wavelet.token_output(documents([]), TOKENIZER).count() == 0
 
 
+def test_units_of_texts_are_encoded_like_whole_texts():
+    """The table holds every kind of white space, contractions, signs and characters beyond Latin, in any order."""
+    r = random.Random(3)
+    parts = [
+        *" \n\t\r\x0b\x0c\x1c\x85\xa0\u3000'',!-aBst1é×¿²中😀", " ", "'re", "'ll", "the", " the", "<|endoftext|>", "\x00", "x" * 70,
+    ]
+    table = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(3000)]
+    encoder = wavelet.Encoder(TOKENIZER)
+    for text, ids in zip(table, encoder.encode(table)):
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_encoder_remembers_short_words_only():
+    """Words of 20,000 letters would fill a worker: what it remembers has a bound in bytes, not in words alone."""
+    r = random.Random(4)
+    table = [" ".join("".join(r.choices("abcd", k=20_000)) for _ in range(5)) + " river" for _ in range(4)]
+    encoder = wavelet.Encoder(TOKENIZER)
+    for text, ids in zip(table, encoder.encode(table)):
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert " river" in encoder.words and sum(map(len, encoder.words)) < 1000
+
+
 def test_wavelet_matrix():
     ids = np.array([RNG.choice([0, 1, 5, 5, 5, 900, 65_535]) for _ in range(3000)])
     w = wavelet.WaveletMatrix.build(ids, 16)

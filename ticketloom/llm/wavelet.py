@@ -22,10 +22,11 @@ import unicodedata
 import zlib
 from array import array
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -185,7 +186,9 @@ class ShardFile:
 
 
 _LATIN = re.compile(r"[\x00-\u024f]*")
-_KNOWN = 900_000  # words that a worker remembers, some 200 bytes each
+_KNOWN = 600_000  # units and words that a worker remembers, some 200 bytes each
+_LONG = 64  # letters of the longest that it remembers
+_TOGETHER = 4 << 20  # bytes of texts cut at a time
 _JOINED = 20_000  # letters in one call of the library's model
 
 
@@ -219,23 +222,55 @@ def _words_of_latin() -> re.Pattern:
 _WORDS = _words_of_latin()
 
 
-class _Words(dict):
-    """Ids of known words; asked for a new one it gives nothing and notes it."""
+# Kinds of bytes: a text is cut only where bytes alone tell what their characters are.
+_SPACE, _BREAK, _SIGN, _ALNUM, _MARKED, _UNSURE = range(6)
 
-    def __init__(self, known=()):
-        super().__init__(known)
-        self.new: set[str] = set()
 
-    def __missing__(self, word: str) -> None:
-        self.new.add(word)
+def _kinds_of_bytes() -> np.ndarray:
+    """Space, other white space, signs, letters or digits, first bytes of U+00C0 to U+024F, all others."""
+    kinds = np.full(256, _UNSURE, np.uint8)
+    kinds[:128] = [_ALNUM if chr(b).isalnum() else _SIGN for b in range(128)]
+    kinds[9:14], kinds[32], kinds[0xC3:0xCA] = _BREAK, _SPACE, _MARKED
+    return kinds
+
+
+_KINDS = _kinds_of_bytes()
+
+
+def units_of(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """Parts of texts that a byte-level tokenizer of this kind encodes by themselves; the number of parts of each text.
+
+    A part starts only where one of the tokenizer's words does: at a space before what is no white space, at white space
+    after what is none, after a single white space other than the space, and at a sign after a letter or digit.  The last
+    character of longer white space depends on what follows, so nothing else is cut there.
+    """
+    edges = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
+    low, high = edges[0], edges[-1]
+    if low == high:
+        return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
+    kind = _KINDS[np.frombuffer(texts.buffers()[2], np.uint8, high - low, low)]
+    edges = edges - low
+    ink = (kind > _BREAK) & (kind < _UNSURE)
+    plain = ink & (kind < _MARKED)
+    start = np.zeros(len(kind), bool)
+    start[:-1] = (kind[:-1] == _SPACE) & ink[1:]
+    start[edges[1:-1][edges[1:-1] > 0] - 1] = False  # what follows the last character stands in another text
+    start[1:] |= plain[:-1] & (kind[1:] <= _BREAK)
+    start[1:] |= (kind[:-1] == _ALNUM) & (kind[1:] == _SIGN)
+    start[2:] |= plain[:-2] & (kind[1:-1] == _BREAK) & ink[2:]
+    start[edges[:-1][edges[:-1] < len(kind)]] = True
+    places = np.flatnonzero(start)
+    offsets = np.append(places + low, high).astype(np.int32)
+    return pa.StringArray.from_buffers(len(places), pa.py_buffer(offsets), texts.buffers()[2]), np.diff(np.searchsorted(places, edges))
 
 
 class Encoder:
     """Ids of texts by a tokenizer file, as little-endian numbers; every id comes from the tokenizers library.
 
-    A byte-level tokenizer encodes each word of a text by itself, so words are encoded once while they are
+    A byte-level tokenizer encodes each word of a text by itself, so texts are cut into units of few words, each
+    different unit of a few texts is looked up once, and units and words are encoded once while they are
     remembered.  New words go to the library's model many at a time, with a byte between them that no merge of
-    the vocabulary holds.  Texts with characters beyond Latin are cut into words by the library; texts that hold
+    the vocabulary holds.  Units with characters beyond Latin are cut into words by the library; texts that hold
     an added token's string, and tokenizers of another kind, are encoded whole.
     """
 
@@ -258,7 +293,7 @@ class Encoder:
         self.between = free[0] if free else ""
         most = max(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end)
         self.bits, self.kind = most.bit_length(), np.dtype("<u2" if most < 1 << 16 else "<u4")
-        self.words = _Words()
+        self.words: dict[str, bytes] = {}  # ids of units and words
 
     def _learn(self, new: list[str], shown: list[str]) -> None:
         """Encode words, given also in the library's byte letters."""
@@ -278,29 +313,54 @@ class Encoder:
                 start = cut + 1
             at = last
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(texts)
-        cut = []
-        for i, t in enumerate(texts):
-            if not self.by_word or any(a in t for a in self.added):
-                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind)
-            elif _LATIN.fullmatch(t):
-                cut.append((i, _WORDS.findall(t)))
-            else:
-                shown = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(t)]
-                cut.append((i, [bytes(map(_BYTES.__getitem__, w)).decode("utf-8") for w in shown]))
-        for at in range(0, len(cut), 256):
-            some = cut[at : at + 256]
-            if len(self.words) > _KNOWN:
-                # frequent words come early and stay
-                self.words = _Words(islice(self.words.items(), _KNOWN // 2))
-            ids = [list(map(self.words.__getitem__, words)) for _, words in some]
-            new, self.words.new = list(self.words.new), set()
-            self._learn(new, [w.encode().decode("latin-1").translate(_LETTERS) for w in new])
-            for (i, words), known in zip(some, ids):
-                if new and None in known:
-                    known = map(self.words.__getitem__, words)
-                out[i] = np.frombuffer(b"".join(known), self.kind)
+    def _cut(self, unit: str) -> list[str]:
+        if _LATIN.fullmatch(unit):
+            return _WORDS.findall(unit)
+        shown = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(unit)]
+        return [bytes(map(_BYTES.__getitem__, w)).decode("utf-8") for w in shown]
+
+    def _ids_of(self, units: list[str]) -> list[bytes]:
+        """Ids of different units."""
+        if len(self.words) > _KNOWN:
+            # frequent ones come early and stay
+            self.words = dict(islice(self.words.items(), _KNOWN // 2))
+        words = self.words
+        found = list(map(words.get, units))
+        unknown = [i for i, x in enumerate(found) if x is None]
+        cut = [self._cut(units[i]) for i in unknown]
+        new = list({w: None for c in cut for w in c if w not in words})
+        self._learn(new, [w.encode().decode("latin-1").translate(_LETTERS) for w in new])
+        for i, c in zip(unknown, cut):
+            found[i] = words[units[i]] = b"".join(map(words.__getitem__, c))
+        for u in chain((units[i] for i in unknown), new):
+            if len(u) > _LONG:
+                words.pop(u, None)
+        return found
+
+    def _encode_units(self, texts: pa.StringArray) -> list[np.ndarray]:
+        units, n_units = units_of(texts)
+        coded = units.dictionary_encode()
+        found = pa.array(self._ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.binary()).take(coded.indices)
+        ends = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1, 4 * found.offset) // self.kind.itemsize
+        edges = ends[np.concatenate(([0], np.cumsum(n_units)))].tolist()
+        ids = np.frombuffer(found.buffers()[2] or b"", self.kind, edges[-1])
+        return [ids[a:z] for a, z in zip(edges, edges[1:])]
+
+    def encode(self, texts: pa.StringArray | list[str]) -> list[np.ndarray]:
+        texts = texts if isinstance(texts, pa.StringArray) else pa.array(texts, pa.string())
+        whole = np.full(len(texts), not self.by_word)
+        for a in self.added:
+            whole |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        out: list = []
+        if whole.any():
+            kept = [t if w else None for t, w in zip(texts.to_pylist(), whole)]
+            texts = pc.if_else(pa.array(whole), "", texts)
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // _TOGETHER
+        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
+        for low, high in zip(cuts, cuts[1:]):
+            out += self._encode_units(texts.slice(low, high - low))
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = np.array(self.tokenizer.encode(kept[i], add_special_tokens=False).ids, self.kind)
         return out
 
 
@@ -331,7 +391,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int = END, s
             held, names, n = [], [], 0
 
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
+            texts = pc.fill_null(b.column("text").cast(pa.string()), "")
             for name, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(texts)):
                 names.append(name)
                 held.append(np.concatenate((ids, tail)))
