@@ -181,6 +181,22 @@ def test_text_baseline_beats_majority(spark):
     assert out.filter("predicted_intent = label").count() == 60
 
 
+def test_text_baseline_fits_in_as_many_partitions_as_cores(spark, monkeypatch):
+    """Each step of the fit shuffles a gradient per partition, so these must not grow with the rows."""
+    seen, fit = [], scoring.LogisticRegression.fit
+
+    def spy(self, rows):
+        seen.append((rows.rdd.getNumPartitions(), rows.count()))
+        return fit(self, rows)
+
+    monkeypatch.setattr(scoring.LogisticRegression, "fit", spy)
+    rows = [(i, "parcel late delivery" if i % 3 else "refund my money", "track" if i % 3 else "refund") for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, query string, label string").repartition(40)
+    out = scoring.text_logreg(df, df, "query", "label")
+    assert out.filter("predicted_intent = label").count() == 60
+    assert seen == [(max(8, spark.sparkContext.defaultParallelism), 60)]
+
+
 def test_end_to_end_ticket(spark):
     tickets = spark.createDataFrame(
         [(1, "amazonhelp", "Where is my package? The tracking link says delayed.", 1), (2, "amazonhelp", "zzz", 1)],

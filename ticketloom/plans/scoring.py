@@ -274,11 +274,15 @@ def baseline_escalation(
     )
 
 
+_LEAST_FIT_PARTS = 8  # of training rows, where few cores are registered yet
+
+
 def text_logreg(train: DataFrame, apply_to: DataFrame, text: str, label: str) -> DataFrame:
     """tf-idf and multinomial logistic regression; adds ``predicted_intent, classification_confidence``.
 
     The vocabulary and idf (at most 5,000 numbers) are the only model parts on
-    the driver.
+    the driver.  Every step of the fit shuffles one gradient (5,000 numbers a class) per partition, and a persisted
+    table keeps all partitions it was made with, so the weighed rows are put into one partition per core.
     """
     params = lexical.TfIdf(max_features=5000, ngrams=2)
 
@@ -295,10 +299,11 @@ def text_logreg(train: DataFrame, apply_to: DataFrame, text: str, label: str) ->
         )
         unit = Normalizer(inputCol="raw", outputCol="features", p=2.0)
         index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(fit_rows)
+        cores = max(_LEAST_FIT_PARTS, train.sparkSession.sparkContext.defaultParallelism)
         model = LogisticRegression(
             labelCol="_y", family="multinomial", regParam=1.0 / max(1, fit_rows.count()),
             standardization=False, maxIter=1000,
-        ).fit(index.transform(unit.transform(weigh.transform(counted))))
+        ).fit(index.transform(unit.transform(weigh.transform(counted))).coalesce(cores))
     finally:
         fit_rows.unpersist()
     names = F.array(*[F.lit(n) for n in index.labels])
